@@ -51,7 +51,7 @@ def dedup_phrases(docs: DataFrame, size: int = 20, block_bytes: int = B.BLOCK_BY
     A null text has no words and an empty kept; a null doc_id counts as the least; rows that share a doc_id are parts of one document in order
     of their texts, and no window crosses rows. An empty table gives an empty table. Texts may have any length; one row is held in memory.
     """
-    texts, all_ = B.blocked(docs.select("doc_id", "text", *carry), block_bytes)
+    texts, all_ = B.blocked(docs.select("doc_id", "text", *(c for c in carry if c not in ("doc_id", "text"))), block_bytes)
     bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
 
     def first(block: int, t: pa.Table) -> pa.Table:

@@ -18,6 +18,41 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store
+
+    return store(id_text(table(spark, sf_dir, "documents"))).drop("media")
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edit_fingerprints
+
+    return edit_fingerprints(id_text(table(spark, sf_dir, "documents")))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    out = encode(id_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_lm
+
+    return score_lm(id_text(table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(id_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import dedup_phrases
 
@@ -25,12 +60,39 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_labels, judge
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_labels(docs, table(spark, sf_dir, "labels"))
+    return judge(docs.select("doc_id", "text", "source", "lang"), model).select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", "rejected")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dups
+
+    out = near_dups(id_text(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
+_ALL = (
+    op1_suffix_dedup, op2_media_columns, op3_document_fingerprints, op4_byte_bpe, op5_lm_scoring, op6_packing, op7_substring_dedup, op8_quality_classifier, op9_url_filters, op10_simhash_near_dedup,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op7_substring_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
