@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: At most so many labelled documents are fitted on: those of the least hashes of their ids.
 FIT_DOCS = 6000
 _WORD = re.compile(r"\w+")
+_STEPS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
 _MARKS = re.compile(r"[^\w\s]{2,}")
 
 
@@ -26,14 +27,15 @@ def features(text: str) -> set[str]:
     """Words, beginnings of long words, and the shape of the whole text in steps."""
     tokens = text.split()
     words = set(_WORD.findall(text.lower()))
-    out = words | {"^" + w[:5] for w in words if len(w) > 5}
+    out = words | {"^" + w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
     n = len(tokens) or 1
+    marks = _MARKS.findall(text)
+    out |= {"\0" + m[:4] for m in set(marks)}
     shape = {
-        "again": sum(map(str.__eq__, tokens, tokens[1:])), "upper": sum(map(str.isupper, tokens)), "marks": len(_MARKS.findall(text)),
-        "bars": tokens.count("|"), "kinds": len(set(tokens)), "digits": sum(map(str.isdigit, text[:: max(1, len(text) // 2000)])),
+        "again": sum(map(str.__eq__, tokens, tokens[1:])), "upper": sum(map(str.isupper, tokens)), "marks": len(marks),
+        "bars": tokens.count("|"), "alike": n - len(set(tokens)),
     }
-    out |= {f"\0{k}{min(20, int(20 * v / n))}" for k, v in shape.items() if v or k == "kinds"}
-    out.add(f"\0size{n.bit_length()}")
+    out |= {f"\0{k}{step}" for k, v in shape.items() for step in _STEPS if v > step * n}
     return out
 
 
@@ -48,8 +50,10 @@ class Model:
         return self.bias + sum(get(f, 0.0) for f in features(text or ""))
 
 
-def fit(texts: list[str], bad: list[int], rounds: int = 80, least_docs: int = 3, shrink: float = 1e-4, most_words: int = 200_000) -> Model:
-    """Logistic regression on the presence of features, by full-batch gradient steps with a rate for each weight. Without both kinds of label there is nothing to learn: all are fit."""
+def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3, surprise: float = 3.5, shrink: float = 5e-5) -> Model:
+    """Logistic regression on the presence of those features whose share among unfit documents differs from that among the others by `surprise` standard errors, by full-batch gradient steps with a rate for each weight.
+
+    Without both kinds of label there is nothing to learn: all are fit."""
     y = np.asarray(bad, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -3.0)
@@ -57,9 +61,10 @@ def fit(texts: list[str], bad: list[int], rounds: int = 80, least_docs: int = 3,
     rows = [np.fromiter((number.setdefault(f, len(number)) for f in features(t)), np.int64) for t in texts]
     ids = np.concatenate(rows)
     seen = np.bincount(ids, minlength=len(number))
-    keep = seen >= min(least_docs, max(1, len(y) // 50))
-    if keep.sum() > most_words:
-        keep &= seen >= np.sort(seen[keep])[-most_words]
+    rate = y.mean()
+    with_ = np.bincount(ids, np.repeat(y, [len(r) for r in rows]), len(number))
+    z = (with_ - seen * rate) / np.sqrt(seen * rate * (1 - rate) * np.maximum(1 - seen / len(y), 1 / len(y)))
+    keep = (seen >= min(least_docs, max(1, len(y) // 50))) & (np.abs(z) > min(surprise, 0.3 * math.sqrt(len(y))))
     new = np.cumsum(keep) - 1
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[keep[ids]]
     ids = new[ids[keep[ids]]]
@@ -69,7 +74,7 @@ def fit(texts: list[str], bad: list[int], rounds: int = 80, least_docs: int = 3,
         p = 1 / (1 + np.exp(-(b + np.bincount(row, w[ids], n)).clip(-30, 30)))
         g = np.bincount(ids, (p - y)[row], len(w)) / n + shrink * w
         square += g * g
-        w -= 0.25 * g / np.sqrt(square)
+        w -= 0.5 * g / np.sqrt(square)
         gb = (p - y).mean()
         square_b += gb * gb
         b -= 0.1 * gb / math.sqrt(square_b)

@@ -37,7 +37,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     h = np.array([xxh(joined[a:b], 42) for a, b in zip(starts[: len(w) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], U64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
