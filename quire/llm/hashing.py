@@ -57,8 +57,8 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def batches(off: np.ndarray, most: int = 1 << 20):
-    """Runs of rows (first, end) of at most `most` bytes each, or one row."""
+def batches(off: np.ndarray, most: int = 1 << 17):
+    """Runs of rows (first, end) of at most `most` bytes each, or one row; small enough for hashes to stay in a core's cache."""
     a, n = 0, len(off) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
@@ -84,8 +84,8 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
     out = np.empty(len(starts), U64)
-    for a in range(0, len(starts), 1 << 17):
-        s, e = starts[a : a + (1 << 17)], ends[a : a + (1 << 17)]
+    for a in range(0, len(starts), 1 << 14):
+        s, e = starts[a : a + (1 << 14)], ends[a : a + (1 << 14)]
         lo, hi = int(s[0]), int(e[-1])
         power, back = _pow(hi - lo + 1)
         total = np.zeros(hi - lo + 1, U64)
@@ -110,20 +110,22 @@ def runs_of(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix(out + U64(size)) if out is not h else mix(h + U64(size))
 
 
-def byte_windows(data: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """The hash of each `size`-byte string of the data (size >= 16), from overlapping power-of-two parts."""
+def byte_windows(data: np.ndarray, size: int, anchor: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each `size`-byte string of the data (size >= 16), from overlapping power-of-two parts, and on the way that of each `anchor`-byte string (a power of two from 8, below size)."""
     n = len(data) - size + 1
     if n <= 0:
-        return np.zeros(0, U64)
-    part = mix(eights(data) + U64(salt))
-    width, out, at = 8, None, 0
+        return np.zeros(0, U64), np.zeros(0, U64)
+    part = mix(eights(data))
+    width, short = 8, part[:0]
     while width * 2 <= size:
-        part, width = pair(part[:-width], part[width:], salt), width * 2
+        short = part if width == anchor else short
+        part, width = pair(part[:-width], part[width:]), width * 2
+    short = part if width == anchor else short
     out, at = part[:n], width
     while at < size:  # the same width again, laid so that it ends where the string ends
         step = min(width, size - at)
-        out, at = pair(out, part[at + step - width : at + step - width + n], salt), at + step
-    return out
+        out, at = pair(out, part[at + step - width : at + step - width + n]), at + step
+    return out, short
 
 
 def eights(data: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ BLOCK_BYTES = 4 << 20
 class _Block:
     """The suffixes of a block's documents: those with `size` bytes in their row."""
 
-    def __init__(self, t: pa.Table, size: int):
+    def __init__(self, t: pa.Table, size: int, digits: bool = True):
         self.t = B.in_order(t)
         self.data, self.off = H.buffers(self.t["text"])
         self.rank = B.ranks(self.t)
@@ -41,8 +41,7 @@ class _Block:
             pos = np.flatnonzero(np.arange(len(owner)) + size <= ends[1:][owner])
             if not len(pos):
                 continue
-            deep = H.byte_windows(data, size, 3)
-            anchor = H.byte_windows(data, _ANCHOR)
+            deep, anchor = H.byte_windows(data, size, _ANCHOR)
             o = owner[pos]
             new = (anchor[pos] & _CUT) == 0
             new[0] = True
@@ -50,8 +49,10 @@ class _Block:
             heads = np.flatnonzero(new)
             number = np.cumsum(new) - 1
             k = deep[pos]
-            digest.append(H.mix(np.add.reduceat(H.mix(k + (pos - pos[heads][number]).astype(H.U64) * H.U64(0x9E3779B97F4A7C15)), heads)))
-            least.append(H.sliding_min(anchor, size - _ANCHOR + 1)[pos])
+            order = ((pos - pos[heads][number]).astype(H.U64) << H.U64(1)) | H.U64(1)
+            digest.append(H.mix(np.add.reduceat(k * order, heads)))
+            if digits:
+                least.append(H.sliding_min(anchor, size - _ANCHOR + 1)[pos])
             key.append(k)
             at.append(pos + self.off[lo])
             row.append((o + lo).astype(np.int32))
@@ -101,7 +102,7 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, block_bytes: int = BLOCK_BYT
     bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
 
     def zero(block: int, t: pa.Table) -> pa.Table:
-        return B.ask(block, 0, _Block(t, size).runs(), 64, parts)
+        return B.ask(block, 0, _Block(t, size, digits=False).runs(), 64, parts)
 
     def first(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, size)

@@ -96,7 +96,8 @@ def test_hashing():
         keys = [tuple(raw[s[k] : e[k]] for k in range(i, i + n)) for i in range(len(h) - n + 1)]
         assert len(w) == len(keys) and len(set(w.tolist())) == len(set(keys)) == len(set(zip(w.tolist(), keys)))
     for n in (16, 17, 50, 64):
-        w = H.byte_windows(data, n)
+        w, short = H.byte_windows(data, n, 16)
+        assert (short[: len(w)] == H.byte_windows(data, 16)[0][: len(w)]).all()
         keys = [raw[i : i + n] for i in range(len(raw) - n + 1)]
         assert len(w) == len(keys) and len(set(w.tolist())) == len(set(keys)) == len(set(zip(w.tolist(), keys)))
     x = np.array([r.getrandbits(60) for _ in range(300)], np.uint64)
