@@ -50,7 +50,7 @@ class Model:
         return self.bias + sum(get(f, 0.0) for f in features(text or ""))
 
 
-def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3, surprise: float = 3.5, shrink: float = 5e-5) -> Model:
+def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3, surprise: float = 4.5, shrink: float = 5e-5) -> Model:
     """Logistic regression on the presence of those features whose share among unfit documents differs from that among the others by `surprise` standard errors, by full-batch gradient steps with a rate for each weight.
 
     Without both kinds of label there is nothing to learn: all are fit."""
