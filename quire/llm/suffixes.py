@@ -27,14 +27,18 @@ BLOCK_BYTES = 4 << 20
 class _Block:
     """The suffixes of a block's documents: those with `size` bytes in their row."""
 
-    def __init__(self, t: pa.Table, size: int, digits: bool = True):
+    def __init__(self, t: pa.Table, size: int, digits: bool = True, keys: bool = True):
+        """Arrays run along the bytes; only those that a pass needs are kept (first digits, full depth)."""
         self.t = B.in_order(t)
         self.data, self.off = H.buffers(self.t["text"])
-        self.rank = B.ranks(self.t)
-        at, row, chunk, digest, least, key, chunks = [], [], [], [], [], [], 0
+        n = len(self.data)
+        self.rank, self.whole, self.chunk = B.ranks(self.t), np.zeros(n, bool), np.zeros(n, np.int32)
+        self.least, self.key = np.zeros(n if digits else 0, H.U64), np.zeros(n if keys else 0, H.U64)
+        digest, first, chunks = [], [], 0
         for lo, hi in H.batches(self.off):
-            data = self.data[self.off[lo] : self.off[hi]]
-            ends = self.off[lo : hi + 1] - self.off[lo]
+            base = int(self.off[lo])
+            data = self.data[base : self.off[hi]]
+            ends = self.off[lo : hi + 1] - base
             if len(data) < size:
                 continue
             owner = np.repeat(np.arange(hi - lo), np.diff(ends))[: len(data) - size + 1]
@@ -48,37 +52,38 @@ class _Block:
             new[1:] |= o[1:] != o[:-1]
             heads = np.flatnonzero(new)
             number = np.cumsum(new) - 1
-            k = deep[pos]
             order = ((pos - pos[heads][number]).astype(H.U64) << H.U64(1)) | H.U64(1)
-            digest.append(H.mix(np.add.reduceat(k * order, heads)))
+            digest.append(H.mix(np.add.reduceat(deep[pos] * order, heads)))
+            first.append(self.rank[lo + o[heads]])
+            self.whole[base + pos] = True
+            self.chunk[base + pos] = number + chunks
             if digits:
-                least.append(H.sliding_min(anchor, size - _ANCHOR + 1)[pos])
-            key.append(k)
-            at.append(pos + self.off[lo])
-            row.append((o + lo).astype(np.int32))
-            chunk.append((number + chunks).astype(np.int32))
+                self.least[base : base + len(owner)] = H.sliding_min(anchor, size - _ANCHOR + 1)
+            if keys:
+                self.key[base : base + len(owner)] = deep
             chunks += len(heads)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.at, self.row, self.chunk = cat(at, np.int64), cat(row, np.int32), cat(chunk, np.int32)
-        self.digest, self.least, self.key = cat(digest, H.U64), cat(least, H.U64), cat(key, H.U64)
-        self.doc = self.rank[self.row] if len(self.row) else np.zeros(0, np.int64)
+        self.digest, self.run_doc = cat(digest, H.U64), cat(first, np.int64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct digests of runs, and for each run which it has and whether a smaller document here has it."""
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return self.rank[np.searchsorted(self.off, at, "right") - 1]
+
+    def runs(self) -> np.ndarray:
+        """Distinct digests of runs; notes for each run which it has and whether a smaller document here has it."""
         keys, one, back = np.unique(self.digest, return_index=True, return_inverse=True)
-        heads = np.searchsorted(self.chunk, np.arange(len(self.digest)))
-        doc = self.doc[heads]
-        self.run_key, self.run_before = back, doc[one][back] < doc
+        self.run_key, self.run_before = back, self.run_doc[one][back] < self.run_doc
         return keys
 
-    def settle(self, replies: pa.Table, parts: int) -> np.ndarray:
-        """The suffixes that pass 0 settles: their windows start in a smaller document."""
+    def settle(self, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes begin suffixes that pass 0 settles, as their windows start in a smaller document; where the others begin."""
         keys = self.runs()
-        return (B.told(replies, 0, keys, 64, parts)[1][self.run_key] | self.run_before)[self.chunk]
+        known = B.told(replies, 0, keys, 64, parts)[1][self.run_key] | self.run_before
+        gone = self.whole & known[self.chunk] if len(known) else self.whole
+        return gone, np.flatnonzero(self.whole & ~gone)
 
     def digits(self, open_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the open suffixes: distinct first digits, whether several documents here have them, and each run of equal digits' own."""
-        least, doc = self.least[open_] >> H.U64(64 - bits), self.doc[open_]
+        least, doc = self.least[open_] >> H.U64(64 - bits), self.doc(open_)
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         keys, one, back = np.unique(least[new], return_index=True, return_inverse=True)
@@ -102,27 +107,28 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, block_bytes: int = BLOCK_BYT
     bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
 
     def zero(block: int, t: pa.Table) -> pa.Table:
-        return B.ask(block, 0, _Block(t, size, digits=False).runs(), 64, parts)
+        return B.ask(block, 0, _Block(t, size, digits=False, keys=False).runs(), 64, parts)
 
     def first(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(t, size)
-        return B.ask(block, 1, b.digits(np.flatnonzero(~b.settle(replies, parts)), bits)[0], bits, parts)
+        b = _Block(t, size, keys=False)
+        return B.ask(block, 1, b.digits(b.settle(replies, parts)[1], bits)[0], bits, parts)
 
     def second(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, size)
-        left = b.shared(replies, np.flatnonzero(~b.settle(replies, parts)), bits, parts)
+        left = b.shared(replies, b.settle(replies, parts)[1], bits, parts)
         return B.ask(block, 2, np.unique(b.key[left]), 64, parts)
 
     def cut(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, size)
-        gone = b.settle(replies, parts)
-        left = b.shared(replies, np.flatnonzero(~gone), bits, parts)
+        gone, left = b.settle(replies, parts)
+        left = b.shared(replies, left, bits, parts)
         keys, one, back = np.unique(b.key[left], return_index=True, return_inverse=True)
-        doc = b.doc[left]
+        doc = b.doc(left)
         gone[left[B.told(replies, 2, keys, 64, parts)[1][back] | (doc[one][back] < doc)]] = True
+        b.least = b.key = b.chunk = None
         cover = np.zeros(len(b.data) + 1, np.int32)
-        cover[b.at[gone]] += 1
-        cover[b.at[gone] + size] -= 1
+        cover[:-1] += gone
+        cover[size:] -= gone[: max(0, len(gone) - size + 1)]
         out = np.cumsum(cover)[:-1] > 0
         before = np.zeros(len(out) + 1, np.int64)
         np.cumsum(out, out=before[1:])

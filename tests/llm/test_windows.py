@@ -66,6 +66,13 @@ def test_suffixes_brute(docs):
         assert norm(got) == norm(brute_suffixes(ordered(docs), size)), (size, block)
 
 
+def test_short_texts(spark):
+    for n in (1, 30, 45, 49, 50, 60):
+        df = spark.createDataFrame([(1, "x" * n), (2, "x" * n)], "doc_id long, text string").coalesce(1)
+        got = sorted((r[0], r[2]) for r in dedup_suffixes(df).collect())
+        assert got == [(1, 0), (2, n if n >= 50 else 0)]
+
+
 def test_empty(empty):
     assert dedup_phrases(empty).collect() == [] and dedup_suffixes(empty).collect() == []
 
