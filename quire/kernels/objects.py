@@ -36,6 +36,10 @@ class ParseError(ValueError):
     pass
 
 
+class TooDeep(ParseError):
+    pass
+
+
 MAX_DEPTH = 128
 _WS = b"\0\t\n\f\r "
 _GAP = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
@@ -62,7 +66,7 @@ class Parser:
     def value(self, depth: int = 0):
         """The next object; Op for a keyword; ParseError at the end of data or for a stray closing mark."""
         if depth > MAX_DEPTH:
-            raise ParseError("nested too deeply")
+            raise TooDeep("nested too deeply")
         d, p = self.data, self.skip()
         if p >= len(d):
             raise ParseError("end of data")
@@ -116,9 +120,9 @@ class Parser:
                 return _END
             try:
                 x = self.value(depth + 1)
+            except TooDeep:
+                raise
             except ParseError:
-                if depth + 1 > MAX_DEPTH:
-                    raise
                 continue
             if isinstance(x, Op):
                 if x in ("endobj", "endstream", "stream"):  # the closing mark is missing
