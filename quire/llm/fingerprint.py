@@ -42,11 +42,11 @@ def signature(df: DataFrame, text: str, out: str, k: int = 2, tuple_size: int =
     df = df.withColumn(b, F.filter(F.col(b), lambda x, i: (i < tuple_size) | (bin_(F.get(F.col(b), i - tuple_size)) != bin_(x))))
     # back to text order: position over hash
     turned = F.sort_array(F.transform(F.col(b), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POS)), 35).bitwiseOR(F.shiftright(x, _POS_BITS))))
-    df = df.withColumn(b, turned)
     low, digits = F.lit((1 << 35) - 1), bins.bit_length() - 1
-    mine = lambda p: F.filter(F.col(b), lambda x: F.shiftright(x.bitwiseAND(low), 35 - digits) == p)
-    tuple_ = lambda p: F.transform(mine(p), lambda x: x.bitwiseAND(low))
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda p: F.transform(F.array(tuple_(p)), lambda t: F.when(F.size(t) > 0, F.xxhash64(t)))[0])).drop(b)
+    of = lambda p, t: F.transform(F.filter(t, lambda x: F.shiftright(x.bitwiseAND(low), 35 - digits) == p), lambda x: x.bitwiseAND(low))
+    hashed = lambda p, t: F.transform(F.array(of(p, t)), lambda v: F.when(F.size(v) > 0, F.xxhash64(v)))[0]
+    # what a lambda reads many times is bound once, as the element of an array of one
+    return df.withColumn(out, F.transform(F.array(turned), lambda t: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda p: hashed(p, t)))[0]).drop(b)
 
 
 def shown(sig: Column) -> Column:
