@@ -11,15 +11,17 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAF_CHARS, WORDS_KEPT = 4096, 400_000
+LEAF_CHARS, WORDS_KEPT = 4096, 600_000
 #: A space that may not be a sync point: at the start, or after white space.
 _ODD = re.compile(r"\A |\s ")
+_BEFORE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"]
 _SYNC = re.compile(r"(?<=\S)(?= )")
 
 
@@ -32,6 +34,28 @@ def library(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _odd(text: str) -> bool:
+    """Does some space stand at the start or after white space?"""
+    if text[0] == " " or any(p in text for p in _BEFORE):
+        return True
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+
+
+class _Numbers(dict):
+    """Numbers of pieces; a new one is encoded when it is first asked for."""
+
+    def __init__(self, add, lead: str):
+        self.add, self.lead = add, lead
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = self.add(self.lead + piece)
+        return k
+
+
 class Words:
     """Ids of text cut at sync points, remembered by piece; memory is bounded by starting anew."""
 
@@ -40,49 +64,30 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.plain, self.spaced = _Numbers(self._add, ""), _Numbers(self._add, " ")  # the second's pieces stand without the space that begins them
+        self.flat, self.at, self.size = array("I"), array("q"), array("q")
 
     def _add(self, piece: str) -> int:
         ids = self.encode(piece)
-        k, n = len(self.number), len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if k == len(self.at):
-            self.at, self.size = (np.concatenate([z, np.zeros_like(z)]) for z in (self.at, self.size))
-        self.flat[self.used : self.used + n] = ids
-        self.at[k], self.size[k] = self.used, n
-        self.used += n
-        self.number[piece] = k
-        return k
+        self.at.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.at) - 1
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if len(self.number) > WORDS_KEPT or self.used > 16 * WORDS_KEPT:
+        if len(self.at) > WORDS_KEPT or len(self.flat) > 16 * WORDS_KEPT:
             self.clear()
-        if _ODD.search(text):
-            pieces = _SYNC.split(text)
-        else:  # the space that begins each piece but the first is put back where a piece is new
+        if _odd(text):
+            k = list(map(self.plain.__getitem__, _SYNC.split(text)))
+        else:
             first, *rest = text.split(" ")
-            pieces = [first, *rest]
-            get = self.number.get
-            k = [get(" " + p) for p in rest]
-            k.insert(0, get(first))
-            return self._gather(k, lambda i: pieces[i] if not i else " " + pieces[i])
-        return self._gather([self.number.get(p) for p in pieces], pieces.__getitem__)
-
-    def _gather(self, k: list, piece) -> np.ndarray:
-        if None in k:
-            for i, x in enumerate(k):
-                if x is None:
-                    p = piece(i)
-                    k[i] = self.number[p] if p in self.number else self._add(p)
+            k = [self.plain[first], *map(self.spaced.__getitem__, rest)]
         k = np.array(k)
-        n = self.size[k]
+        n = np.frombuffer(self.size, np.int64)[k]
         ends = np.cumsum(n)
-        return self.flat[np.repeat(self.at[k] - ends + n, n) + np.arange(ends[-1])]
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.at, np.int64)[k] - ends + n, n) + np.arange(ends[-1])]
 
 
 class Node:

@@ -2,7 +2,7 @@
 
 Documents are cut into full sequences and a rest, and a long rest into a few nearly equal pieces. The pieces of a run of documents are dealt into as
 many windows as they need at least: two partial partitions are merged at a time, those of largest imbalance first, the fullest windows of one onto the emptiest of the other, which gives
-nearly equal windows; where one exceeds the capacity, the number of windows rises by one.
+nearly equal windows. Their number rises with what exceeds their capacity together; what exceeds that of a single window is cut off and goes to the emptiest.
 """
 
 from __future__ import annotations
@@ -60,15 +60,30 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    if not len(sizes):
-        return []
-    k = -(-int(sizes.sum()) // capacity)
-    while True:
-        got = difference(sizes, k)
-        if max(int(sizes[w].sum()) for w in got) <= capacity:
-            return [w for w in got if w]
-        k += max(1, k // 500)
+def windows(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, first id in it, ids), as few as hold all: their number is the least at first and rises while they hold too little.
+
+    Where differencing leaves a window above capacity, what is too much of its longest item is cut off and goes to the emptiest windows.
+    """
+    total = int(sizes.sum())
+    k = -(-total // capacity)
+    while k * capacity < total:
+        k += 1
+    out = [[(i, 0, int(sizes[i])) for i in w] for w in difference(sizes, k)] if k else []
+    room = [capacity - sum(n for _, _, n in w) for w in out]
+    free = sorted((j for j in range(len(out)) if room[j] > 0), key=lambda j: room[j])
+    for j, w in enumerate(out):
+        while room[j] < 0:
+            at = max(range(len(w)), key=lambda x: w[x][2])
+            i, s, n = w[at]
+            to = free[-1]
+            m = min(-room[j], n - 1, room[to]) or 1
+            w[at] = (i, s, n - m)
+            out[to].append((i, s + n - m, m))
+            room[j], room[to] = room[j] + m, room[to] - m
+            if not room[to]:
+                free.pop()
+    return [w for w in out if w]
 
 
 def cuts(n: int, capacity: int, piece: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -110,7 +125,7 @@ def _ranks(model: dict):
     return tiktoken.Encoding("vocab", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(char[c] for c in s): i for s, i in vocab.items() if i in keep}, special_tokens={})
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, piece: int = 256, run_docs: int = RUN_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, piece: int = 512, run_docs: int = RUN_DOCS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
     docs: doc_id, text. A document's ids are those of its whole text and then `end`; a null or empty text has `end` alone. Each id lies in exactly one piece; the pieces of a
@@ -130,9 +145,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, piece:
             sizes += [n for _, n in rest]
         sizes = np.array(sizes, np.int64)
         for w in windows(sizes, capacity):
-            total, at = int(sizes[w].sum()), 0
-            for k in w:
-                (d, s), n = items[k], int(sizes[k])
+            total, at = sum(n for _, _, n in w), 0
+            for k, more, n in w:
+                d, s = items[k]
+                s += more
                 i, ids = run[d]
                 rows.append((i, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), seq, at, total if total & (total - 1) == 0 else capacity))
                 at += n
