@@ -43,27 +43,50 @@ class Ruling(NamedTuple):
     width: float
 
 
+#: The common tokens at one go: a number, a string without escapes, a plain name, a keyword. What doesn't match is left to the parser.
+_FAST = re.compile(rb"[\0\t\n\f\r ]*(?:([+-]?(?:\d{1,15}(?:\.\d*)?|\.\d+))(?![^\0\t\n\f\r ()<>\[\]{}/%])|\(([^()\\\r]*)\)|/([!-\x22$-&*-.0-;=?-Z\\^-z|~]+)(?![^\0\t\n\f\r ()<>\[\]{}/%])|([A-Za-z'\"]\*?[A-Za-z0-9*]*)(?![^\0\t\n\f\r ()<>\[\]{}/%]))")
+_CONSTANTS = {b"true", b"false", b"null"}
+
+
 def operators(data: bytes):
     """(operator, operands, first byte, end) in order; unknown operators are dropped with their operands, an inline image is one BI."""
-    p, operands, start = Parser(data, 0, refs=False), [], None
+    p, operands, start, at, fast = Parser(data, 0, refs=False), [], None, 0, _FAST.match
     while True:
-        at = p.skip()
-        if at >= len(data):
-            return
-        start = at if start is None else start
-        try:
-            x = p.value()
-        except ParseError:
-            if p.pos <= at:
-                p.pos = at + 1
-            continue
-        if not isinstance(x, Op):
-            operands.append(x)
-            if len(operands) > 4096:
-                operands = operands[-64:]
-            continue
+        m = fast(data, at)
+        kind = m.lastindex if m else 0
+        if kind and not (kind == 4 and m[4] in _CONSTANTS):
+            if start is None:
+                start = m.start(kind) - (kind in (2, 3))
+            at = m.end()
+            raw = m[kind]
+            if kind == 1:
+                operands.append(float(raw) if b"." in raw else int(raw))
+            elif kind == 2:
+                operands.append(raw)
+            elif kind == 3:
+                operands.append(Name(raw.decode("ascii")))
+            if kind < 4:
+                if len(operands) > 4096:
+                    operands = operands[-64:]
+                continue
+            x = Op(raw.decode("ascii"))
+        else:
+            p.pos = at
+            at = p.skip()
+            if at >= len(data):
+                return
+            start = at if start is None else start
+            try:
+                x = p.value()
+            except ParseError:
+                at = max(p.pos, at + 1)
+                continue
+            at = p.pos
+            if not isinstance(x, Op):
+                operands.append(x)
+                continue
         if x == "BI":
-            attrs = {}
+            p.pos, attrs = at, {}
             while True:
                 try:
                     k = p.value()
@@ -78,10 +101,10 @@ def operators(data: bytes):
                 attrs[full] = Name(INLINE.get(str(v), str(v))) if full == "ColorSpace" and isinstance(v, Name) else v
             body = p.pos + 1
             m = _EI.search(data, body)
-            end, p.pos = (m.start() - 1, m.end()) if m else (len(data), len(data))
-            yield "BI", [Stream(attrs, data[body : max(body, end)])], start, p.pos
+            end, at = (m.start() - 1, m.end()) if m else (len(data), len(data))
+            yield "BI", [Stream(attrs, data[body : max(body, end)])], start, at
         elif x in KNOWN:
-            yield str(x), operands, start, p.pos
+            yield str(x), operands, start, at
         operands, start = [], None
 
 

@@ -231,6 +231,10 @@ def test_fonts():
 def test_content():
     ops = list(content.operators(b"q 1 0 0 RG bogus 5 w BI /W 2 /H 1 /BPC 8 /CS /G ID \x01EI\x02 EI Q"))
     assert [o[0] for o in ops] == ["q", "RG", "w", "BI", "Q"] and isinstance(ops[3][1][0], Stream) and ops[3][1][0].attrs == {"Width": 2, "Height": 1, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}
+    data = b" /F#31 1.5 Tf (a\\)) Tj[(b)-5.]TJ true <</A 1>> /x BDC % c\n T* f*"
+    assert [(o[0], o[1], data[o[2] : o[3]]) for o in content.operators(data)] == [
+        ("Tf", [Name("F1"), 1.5], b"/F#31 1.5 Tf"), ("Tj", [b"a)"], b"(a\\)) Tj"), ("TJ", [[b"b", -5.0]], b"[(b)-5.]TJ"), ("BDC", [True, {"A": 1}, Name("x")], b"true <</A 1>> /x BDC"), ("T*", [], b"T*"), ("f*", [], b"f*"),
+    ]
     m = (2, 1, 0, 3, 5, 7)
     assert content.apply(content.invert(m), *content.apply(m, 4, 9)) == pytest.approx((4, 9)) and content.invert((1, 1, 1, 1, 0, 0)) is None
     d = Document(C.document([b"2 w 10 10 m 10 200 l S 20 20 100 2 re f 0 0 m 5 0 l S 10 10 m 20 40 l S 0 0 m 1 2 3 4 5 60 c 10 10 m 10 90 l S"]))
