@@ -57,29 +57,30 @@ def test_order_and_occurrence(spark):
     for c in "abcd":
         df = signature(df, c, f"s{c}")
     row = df.select(*(likeness(F.col("sa"), F.col(f"s{c}")).alias(c) for c in "abcd")).first()
-    assert row.a == 1 and row.b < 0.1 and 0.5 < row.c < 1 and row.d < 0.9
+    assert row.a == 1 and row.b < 0.15 and 0.5 < row.c < 1 and row.d < 0.9
     plain = spark.createDataFrame([("p q p q p q x p q",)], "t string")
-    got = signature(plain, "t", "s", k=1, tuple_size=2, bins=2).first()["s"]
-    assert got == _plain(spark, "p q p q p q x p q".split(), 2, 2)
+    got = signature(plain, "t", "s", k=1, bins=2).first()["s"]
+    assert got == _plain(spark, "p q p q p q x p q".split(), 2)
 
 
-def _plain(spark, words, tuple_size, bins):
+def _plain(spark, words, bins):
     h = lambda *x: spark.range(1).select(F.xxhash64(*x).alias("h")).first()["h"]
     mask = ((1 << 35) - 1) << 28
     seen, entries = {}, []
     for pos, x in enumerate(words):
         a = h(F.lit(x)) & mask
         n = seen[x] = seen.get(x, -1) + 1
-        entries.append(((h(F.lit(a), F.lit(n)) & mask) >> 28, pos))
+        entries.append(((a if not n else h(F.lit(a), F.lit(n)) & mask) >> 28, pos))
     out = []
     for b in range(bins):
-        mine = sorted(e for e in entries if e[0] >> 34 == b)[:tuple_size]
+        mine = sorted(e for e in entries if e[0] >> 34 == b)[:2]
         mine.sort(key=lambda e: e[1])
-        out.append(h(F.array(*(F.lit(e[0]).cast("long") for e in mine))) if mine else None)
+        if mine:
+            out.append(b << 27 | h(*(F.lit(e[0]).cast("long") for e in mine)) & ((1 << 27) - 1))
     return out
 
 
 @pytest.mark.parametrize("t", ["", None, "one", "a" * 100])
 def test_short(spark, t):
     s = signature(spark.createDataFrame([(t,)], "t string"), "t", "s").first()["s"]
-    assert len(s) == 32 and (any(s) == bool(t))
+    assert (len(s) > 0) == bool(t) and len(s) <= 32
