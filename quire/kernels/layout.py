@@ -284,11 +284,12 @@ def cells_of(line: Line) -> list[list[Span]]:
 def lane_tables(lines: list[Line]) -> list[Line | Block]:
     """Lines with stretches of at least three even rows that keep two or more lanes apart turned into tables."""
     out: list[Line | Block] = []
+    cells = [cells_of(x) if len(x.spans) > 1 else [] for x in lines]
     k = 0
     while k < len(lines):
         rows, end = [], k
-        while end < len(lines) and len(c := cells_of(lines[end])) >= 2:
-            trial = [*rows, c]
+        while end < len(lines) and len(cells[end]) >= 2:
+            trial = [*rows, cells[end]]
             if len(columns_of(trial)) < 2:
                 break
             rows, end = trial, end + 1
@@ -334,9 +335,9 @@ def lane_block(rows, lines: list[Line]) -> Block | None:
         for c in r:
             a = max(0, bisect_right(starts, c[0].x + 0.5) - 1)
             b = max(a, bisect_right(starts, max(s.end_x for s in c) - 0.5) - 1)
-            while len([1 for _ in cells]) and sum(n for _, n in cells) > a:
-                a = sum(n for _, n in cells)
-            cells += [(None, 1)] * (a - sum(n for _, n in cells))
+            at = sum(n for _, n in cells)
+            a = max(a, at)
+            cells += [(None, 1)] * (a - at)
             cells.append((assemble(c), max(1, b - a + 1)))
         cells += [(None, 1)] * (len(columns) - sum(n for _, n in cells))
         out.append(cells)
@@ -367,7 +368,6 @@ def blocks_of(lines: list[Line | Block], sizes: Sizes) -> list[Block]:
         out.extend(prose(run))
         run.clear()
 
-    below = sizes.ladder[-1] if sizes.ladder else None
     all_bold = all(is_title(x) or all(b for t, b, _ in x.inlines if t.strip()) for x in lines if isinstance(x, Line))
     for x in lines:
         if isinstance(x, Block):
@@ -393,7 +393,6 @@ def blocks_of(lines: list[Line | Block], sizes: Sizes) -> list[Block]:
             done += prose(b.lines)
         else:
             done.append(b)
-    del below
     return done
 
 
@@ -524,10 +523,9 @@ def block_markdown(b: Block) -> str:
         return "#" * b.level + " " + " ".join(emphasis(x, plain=True).strip() for x in b.lines)
     if b.kind == "list":
         out = []
-        for bullet, number, length, at in b.items:
+        for _, number, length, at in b.items:
             first = emphasis(b.lines[at[0]], skip=length).strip()
             rest = [emphasis(b.lines[k]).strip() for k in at[1:]]
-            del bullet
             out.append((f"{number}. " if number is not None else "- ") + " ".join([first, *rest]))
         return "\n".join(out)
     if b.kind == "table":
