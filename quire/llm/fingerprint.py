@@ -95,7 +95,7 @@ def _follow(ids: DataFrame) -> DataFrame:
     """
     row = ids.agg(F.count(F.lit(1)).alias("n"), F.min("key.id").alias("lo"), F.max("key.id").alias("hi"), F.percentile_approx(F.col("key.id"), [p / 64 for p in range(1, 64)], 2000).alias("cuts")).first()
     ranged = ids.withColumn("r", F.lit(0))
-    if row["n"] > RANGE_ROWS:
+    if row["n"]:  # for one range too: a constant would make the join below a product
         cuts, n = sorted({row["lo"], *row["cuts"], row["hi"] + 1}), -(-row["n"] // RANGE_ROWS)
         case = "CASE WHEN NOT key.given THEN 0"
         for k in range(1, len(cuts)):
