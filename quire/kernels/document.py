@@ -242,16 +242,19 @@ class Document:
             if "Root" not in self.trailer:
                 raise DocumentError("no catalog") from None
         if "Encrypt" in self.trailer:
-            enc = self.resolve(self.trailer["Encrypt"])
-            enc = {k: self.resolve(v) for k, v in enc.items()} if isinstance(enc, dict) else {}
-            ids = self.resolve(self.trailer.get("ID"))
-            first = self.resolve(ids[0]) if isinstance(ids, list) and ids else b""
-            try:
-                self.decryptor = Decryptor(enc, first if isinstance(first, bytes) else b"", password.encode("utf-8" if enc.get("R", 2) >= 5 else "latin-1", "replace"))
-            except (ValueError, TypeError, AttributeError):
-                raise DocumentError("encrypted: wrong password") from None
-            self._cache.clear()
-            self._stores.clear()
+            self._unlock(password)
+
+    def _unlock(self, password: str) -> None:
+        enc = self.resolve(self.trailer["Encrypt"])
+        enc = {k: self.resolve(v) for k, v in enc.items()} if isinstance(enc, dict) else {}
+        ids = self.resolve(self.trailer.get("ID"))
+        first = self.resolve(ids[0]) if isinstance(ids, list) and ids else b""
+        try:
+            self.decryptor = Decryptor(enc, first if isinstance(first, bytes) else b"", password.encode("utf-8" if enc.get("R", 2) >= 5 else "latin-1", "replace"))
+        except (ValueError, TypeError, AttributeError):
+            raise DocumentError("encrypted: wrong password") from None
+        self._cache.clear()
+        self._stores.clear()
 
     def _merge(self) -> None:
         self.xref: dict[int, Entry] = {}
@@ -273,9 +276,7 @@ class Document:
             ref, x, a, b = indirect(self.data, e.a, self.resolve)
             if ref.num != num:
                 raise ParseError("another object is there")
-            if self.decryptor and not (isinstance(self.trailer.get("Encrypt"), Ref) and self.trailer["Encrypt"].num == num):
-                x = self.decryptor.object(x, ref.num, ref.gen)
-            return x, (a, b), None
+            return self._opened(num, ref, x), (a, b), None
         if e.a not in self._stores:
             store = self.get(e.a)
             self._stores[e.a] = members(store, self.resolve) if isinstance(store, Stream) else ([], [], b"")
@@ -287,6 +288,10 @@ class Document:
         x = parser.value()
         return (None if isinstance(x, Op) else x), None, (e.a, (spans[k][0], parser.pos))
 
+    def _opened(self, num: int, ref: Ref, x):
+        own = self.trailer.get("Encrypt")
+        return self.decryptor.object(x, ref.num, ref.gen) if self.decryptor and not (isinstance(own, Ref) and own.num == num) else x
+
     def get(self, num: int):
         """An object by number; None where it is missing, unreadable or asked for while it is being read."""
         if num in self._cache:

@@ -254,3 +254,46 @@ def test_render():
     raw = zlib.decompress(png[png.index(b"IDAT") + 4 :])
     at = lambda x, y: tuple(raw[y * 241 + 1 + 3 * x :][:3])
     assert at(15, 20) == (255, 0, 0) and at(50, 20) == (0, 0, 255) and at(35, 20) == (255, 255, 255) and at(65, 25) == (128, 255, 128) and at(2, 5) == (128, 128, 128) and at(63, 3) == (255, 128, 128)
+
+
+def test_ranged(tmp_path):
+    import http.server
+    import threading
+
+    from quire.sources.ranged import CachedBackend, FileBackend, MemBackend, open_ranged
+
+    big = C.document([C.text_page([(f"page {k} " + "filler " * 9, 12, "F1")] * 36) for k in range(900)])
+    for flavour in ("classic", "objstm", "flate"):
+        b = C.from_text("hello\nworld", flavour)
+        (tmp_path / "a.pdf").write_bytes(b)
+        for spec in (b, str(tmp_path / "a.pdf"), FileBackend(str(tmp_path / "a.pdf"))):
+            assert text_of(open_ranged(spec)) == "hello\nworld"
+    d = open_ranged(CachedBackend(MemBackend(big), most=1 << 20))
+    assert d.declared_pages() == 900 and d.backend.fetched < 0.2 * len(big) and d.get(1)["Type"] == "Catalog"
+    assert text_of(open_ranged(encrypted(b"me", b"boss", "secret text"), "me")) == "secret text"
+    with pytest.raises(DocumentError):
+        open_ranged(C.from_text("x", "broken"))
+    data = C.from_text("over http")
+
+    class Ranges(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):  # noqa: N802
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+
+        def do_GET(self):  # noqa: N802
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            self.send_response(206 if self.path == "/good" else 200)
+            self.end_headers()
+            self.wfile.write(data[a : b + 1])
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert text_of(open_ranged(url + "/good")) == "over http"
+    with pytest.raises(DocumentError):
+        open_ranged(url + "/whole")
+    server.shutdown()
