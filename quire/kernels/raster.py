@@ -1,6 +1,6 @@
 """Rendering: filled and stroked paths, clips, constant alpha, separable blend modes, axial and radial shadings, and unpacked images, to RGB and PNG.
 
-Glyphs, patterns, soft masks and image codecs are left out, each reported in the warnings.
+Glyphs come from embedded TrueType programs and Type 3 procedures. Other font programs, patterns, soft masks and image codecs are left out, each reported in the warnings.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from collections import Counter
 
 import numpy as np
 
-from . import filters
+from . import filters, fonts
 from .content import apply, concat, invert, operators
-from .objects import Name, Stream
+from .glyphs import TrueType
+from .objects import Name, Ref, Stream
 
 SUB = 4  # lines sampled within a pixel row
 MAX_PIXELS = 64 << 20
@@ -223,6 +224,73 @@ class Canvas:
         self.doc, self.w, self.h = doc, w, h
         self.px = np.ones((h, w, 3), np.float32)
         self.warn: Counter = Counter()
+        self.fonts: dict = {}
+        self.faces: dict = {}
+
+    def face(self, ref):
+        """(font, TrueType program, character procedures by code, its matrix, its resources) of a font."""
+        r = self.doc.resolve
+        key = ref.num if isinstance(ref, Ref) else id(ref)
+        if key in self.faces:
+            return self.faces[key]
+        font, attrs = fonts.load(self.doc, ref, self.fonts), r(ref)
+        program = procs = None
+        matrix, own = (0.001, 0, 0, 0.001, 0, 0), None
+        if font is not None and font.kind == "Type3":
+            table, enc = r(attrs.get("CharProcs")), r(attrs.get("Encoding"))
+            names, code = {}, 0
+            for x in (r(enc.get("Differences")) or []) if isinstance(enc, dict) else []:
+                x = r(x)
+                if isinstance(x, Name):
+                    names[code] = str(x)
+                    code += 1
+                elif isinstance(x, int):
+                    code = x
+            procs = {c: r(table[n]) for c, n in names.items() if isinstance(table, dict) and n in table}
+            m = [r(v) for v in r(attrs.get("FontMatrix")) or []]
+            matrix, own = tuple(m) if len(m) == 6 else matrix, r(attrs.get("Resources"))
+        elif font is not None:
+            kids = r(attrs.get("DescendantFonts"))
+            inner = r(kids[0]) if isinstance(kids, list) and kids else attrs
+            desc = r(inner.get("FontDescriptor")) if isinstance(inner, dict) else None
+            file = r(desc.get("FontFile2")) if isinstance(desc, dict) else None
+            if isinstance(file, Stream):
+                try:
+                    program = TrueType(self.doc.stream_data(file))
+                except ValueError:
+                    pass
+        self.faces[key] = font, program, procs, matrix, own
+        return self.faces[key]
+
+    def show(self, s: bytes, st: dict, tm, ctm, scopes, depth: int):
+        """Paints a string and moves the text matrix."""
+        if st["face"] is None or st["face"][0] is None:
+            self.warn["Glyph NoGlyph"] += 1
+            return tm
+        font, program, procs, matrix, own = st["face"]
+        step = 2 if font.two_bytes else 1
+        seen = False
+        for k in range(0, len(s) - step + 1, step):
+            raw = s[k : k + step]
+            text, w, _, space = font.show(raw)
+            code = int.from_bytes(raw, "big")
+            at = concat((st["size"] * st["tz"], 0, 0, st["size"], 0, st["ts"]), concat(tm, ctm))
+            if program is not None and st["mode"] in (0, 2, 4, 6) and st["fill"] is not None:
+                path = program.path(code if font.two_bytes else program.glyph(code, text))
+                if path:
+                    self.paint(coverage(flatten(path, concat((0.001, 0, 0, 0.001, 0, 0), at)), self.w, self.h), st["fill"], st, st["ca"])
+                    seen = True
+            elif procs and isinstance(procs.get(code), Stream) and depth < 8:
+                try:
+                    self.run(self.doc.stream_data(procs[code]), [own, *scopes] if isinstance(own, dict) else scopes, concat(matrix, at), dict(st), depth + 1)
+                    seen = True
+                except ValueError as e:
+                    self.warn[f"Glyph {e}"] += 1
+            seen = seen or not text.strip()
+            tm = concat((1, 0, 0, 1, (w * st["size"] + st["tc"] + (st["tw"] if space else 0.0)) * st["tz"], 0), tm)
+        if s and not seen and st["mode"] != 3:
+            self.warn["Glyph NoGlyph"] += 1
+        return tm
 
     def paint(self, mask: np.ndarray, color, st: dict, alpha: float) -> None:
         m = mask * alpha if st["clip"] is None else mask * st["clip"] * alpha
@@ -237,6 +305,7 @@ class Canvas:
 
     def run(self, data: bytes, scopes: list[dict], ctm, st: dict, depth: int = 0) -> None:
         stack, path, start, pending = [], [], None, None
+        tm = tlm = (1, 0, 0, 1, 0, 0)
         r = self.doc.resolve
 
         def resource(group, name):
@@ -329,8 +398,29 @@ class Canvas:
                     self.image(x, ctm, st)
             elif op == "BI":
                 self.image(v[0], ctm, st)
-            elif op in ("Tj", "TJ", "'", '"'):
-                self.warn["Glyph NoGlyph"] += 1
+            elif op == "BT":
+                tm = tlm = (1, 0, 0, 1, 0, 0)
+            elif op == "Tf" and len(v) >= 2 and n:
+                ref = next((d[str(v[-2])] for q in scopes if isinstance(d := r(q.get("Font")), dict) and str(v[-2]) in d), None)
+                st["face"], st["size"] = (self.face(ref) if ref is not None else None), n[-1]
+            elif op in ("Td", "TD") and len(n) >= 2:
+                st["tl"] = -n[-1] if op == "TD" else st["tl"]
+                tm = tlm = concat((1, 0, 0, 1, n[-2], n[-1]), tlm)
+            elif op == "Tm" and len(n) >= 6:
+                tm = tlm = tuple(n[-6:])
+            elif op in ("Tc", "Tw", "TL", "Ts", "Tr", "Tz") and n:
+                key = {"Tr": "mode"}.get(op, op.lower())
+                st[key] = n[-1] / 100 if op == "Tz" else n[-1]
+            elif op in ("T*", "Tj", "'", '"', "TJ"):
+                if op == '"' and len(n) >= 2:
+                    st["tw"], st["tc"] = n[0], n[1]
+                if op in ("T*", "'", '"'):
+                    tm = tlm = concat((1, 0, 0, 1, 0, -st["tl"]), tlm)
+                for x in (v[-1] if op == "TJ" and v and isinstance(v[-1], list) else v[-1:] if op != "T*" else []):
+                    if isinstance(x, bytes):
+                        tm = self.show(x, st, tm, ctm, scopes, depth)
+                    elif isinstance(x, (int, float)):
+                        tm = concat((1, 0, 0, 1, -x / 1000 * st["size"] * st["tz"], 0), tm)
 
     def grid(self, ctm):
         inv = invert(ctm)
@@ -430,7 +520,7 @@ def _area(p: np.ndarray) -> float:
 def render(doc, page, scale: float = 1.0) -> tuple[int, int, bytes, list[str]]:
     """(width, height, PNG, warnings) of a page."""
     canvas = Canvas(doc, page, scale)
-    state = {"fill": (0.0,) * 3, "stroke": (0.0,) * 3, "w": 1.0, "cap": 0, "join": 0, "dash": [], "phase": 0.0, "ca": 1.0, "CA": 1.0, "blend": "Normal", "clip": None}
+    state = {"fill": (0.0,) * 3, "stroke": (0.0,) * 3, "w": 1.0, "cap": 0, "join": 0, "dash": [], "phase": 0.0, "ca": 1.0, "CA": 1.0, "blend": "Normal", "clip": None, "face": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "mode": 0}
     ctm = base_matrix(page, scale)
     try:
         canvas.run(page.content(), [page.resources], ctm, dict(state))

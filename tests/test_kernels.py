@@ -297,3 +297,52 @@ def test_ranged(tmp_path):
     with pytest.raises(DocumentError):
         open_ranged(url + "/whole")
     server.shutdown()
+
+
+def truetype() -> bytes:
+    """A program with a square (A) and a composite of two of them (B)."""
+    import struct
+
+    pts = [(0, 0), (0, 1000), (500, 1000), (500, 0)]
+    body = lambda vals: b"".join(struct.pack(">h", b - a) for a, b in zip([0, *vals], vals))
+    square = struct.pack(">hhhhh", 1, 0, 0, 500, 1000) + struct.pack(">HH", 3, 0) + bytes([1] * 4) + body([x for x, _ in pts]) + body([y for _, y in pts])
+    both = struct.pack(">hhhhh", -1, 0, 0, 1000, 1000) + struct.pack(">HHhh", 0x23, 1, 0, 0) + struct.pack(">HHhhh", 0x0B, 1, 600, 0, 8192)
+    square += b"\0" * (len(square) % 2)
+    glyf = square + both
+    loca = struct.pack(">4H", 0, 0, len(square) // 2, len(glyf) // 2)
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + struct.pack(">HHHHHHH", 4, 32, 0, 4, 0, 0, 0) + struct.pack(">2H", 66, 0xFFFF) + b"\0\0" + struct.pack(">2H", 65, 0xFFFF) + struct.pack(">2H", (1 - 65) & 0xFFFF, 1) + struct.pack(">2H", 0, 0)
+    head = bytes(18) + struct.pack(">H", 1000) + bytes(34)
+    tables = {b"head": head, b"maxp": struct.pack(">IH", 0x10000, 3), b"loca": loca, b"glyf": glyf, b"cmap": cmap}
+    out, at = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for k, t in tables.items():
+        out += struct.pack(">4sIII", k, 0, at, len(t))
+        at += len(t)
+    return out + b"".join(tables.values())
+
+
+def test_glyphs():
+    import struct
+
+    from quire.kernels.glyphs import TrueType
+    from quire.kernels.raster import render
+
+    t = TrueType(truetype())
+    assert t.glyph(0, "A") == 1 and t.glyph(0, "B") == 2 and [p[0] for p in t.path(1)] == ["m", "l", "l", "l", "l", "h"] and len(t.path(2)) == 12 and t.path(2)[7][1:] == (600.0, 500.0) and t.path(9) == []
+    with pytest.raises(ValueError):
+        TrueType(b"junk")
+    w = C.Writer("flate")
+    cat, tree = w.add(None), w.add(None)
+    program = w.stream(truetype())
+    desc = w.add({"Type": Name("FontDescriptor"), "FontName": Name("Sq"), "Flags": 32, "FontFile2": program})
+    font = w.add({"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("Sq"), "Encoding": Name("WinAnsiEncoding"), "FirstChar": 65, "Widths": [600, 1000], "FontDescriptor": desc})
+    proc = w.stream(b"1000 0 0 0 500 500 d1 0 0 500 500 re f")
+    own = w.add({"Type": Name("Font"), "Subtype": Name("Type3"), "FontMatrix": [0.001, 0, 0, 0.001, 0, 0], "CharProcs": {"sq": proc}, "Encoding": {"Differences": [97, Name("sq")]}, "FirstChar": 97, "Widths": [1000]})
+    page = w.add({"Type": Name("Page"), "Parent": tree, "Contents": w.stream(b"BT /F 20 Tf 10 10 Td 1 0 0 rg (A) Tj 0 0 1 rg /G 20 Tf (aa) Tj ET")})
+    w.objects[cat.num] = ({"Type": Name("Catalog"), "Pages": tree}, None)
+    w.objects[tree.num] = ({"Type": Name("Pages"), "Kids": [page], "Count": 1, "MediaBox": [0, 0, 80, 40], "Resources": {"Font": {"F": font, "G": own}}}, None)
+    w.trailer["Root"] = cat
+    d = Document(w.bytes())
+    _, _, png, warnings = render(d, d.pages[0])
+    raw = zlib.decompress(png[png.index(b"IDAT") + 4 :])
+    at = lambda x, y: tuple(raw[y * 241 + 1 + 3 * x :][:3])
+    assert not warnings and at(15, 20) == (255, 0, 0) and at(21, 20) == (255, 255, 255) and at(25, 25) == (0, 0, 255) and at(45, 25) == (0, 0, 255) and at(35, 25) == (255, 255, 255) and struct.unpack(">I", png[16:20]) == (80,)
