@@ -285,4 +285,6 @@ class _Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known; its reader takes filters, which Spark allows only under this setting."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PdfDataSource)

@@ -61,7 +61,6 @@ def test_data_source(spark, folder):
     register(spark)
     df = spark.read.format("quire-pdf").option("view", "document_text").load(folder + "/*.pdf")
     assert df.count() == len(C.FLAVOURS)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     assert df.where(df.path == f"{folder}/lzw.pdf").collect()[0].text == "hello 5\nworld"
 
 
