@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,38 +17,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoints
+
 #: At most so many labelled documents are fitted on: those of the least hashes of their ids.
 FIT_DOCS = 6000
-_WORD = re.compile(r"\w+")
+_EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))  # ASCII punctuation
 _STEPS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
-_MARKS = re.compile(r"[^\w\s]{2,}")
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 
 
-def features(text: str) -> set[str]:
-    """Words, beginnings of long words, and the shape of the whole text in steps."""
+def features(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Words without punctuation round them, beginnings of long words, and the shape of the whole text in steps."""
     tokens = text.split()
-    words = set(_WORD.findall(text.lower()))
-    out = words | {"^" + w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
+    words = set(map(_bare, text.lower().split()))
     n = len(tokens) or 1
-    marks = _MARKS.findall(text)
-    out |= {"\0" + m[:4] for m in set(marks)}
-    shape = {
-        "again": sum(map(str.__eq__, tokens, tokens[1:])), "upper": sum(map(str.isupper, tokens)), "marks": len(marks),
-        "bars": tokens.count("|"), "alike": n - len(set(tokens)),
-    }
-    out |= {f"\0{k}{step}" for k, v in shape.items() for step in _STEPS if v > step * n}
-    return out
+    marks = _MARKS.findall(text.encode("utf-8", "replace"))
+    shape = {m[:4].decode("latin-1") for m in set(marks)}
+    counts = (
+        ("again", sum(map(str.__eq__, tokens, tokens[1:]))), ("upper", sum(map(str.isupper, tokens))), ("marks", len(marks)), ("bars", tokens.count("|")), ("alike", n - len(set(tokens))),
+    )
+    shape |= {f"{k}{step}" for k, v in counts if v for step in _STEPS if v > step * n}
+    return words, {w[:5] for w in words if len(w) > 5} | {w[:4] for w in words if len(w) > 4}, shape
+
+
+def _bare(token: str, edge: str = _EDGE) -> str:
+    return token.strip(edge)
 
 
 class Model:
-    """Weights by feature; only those worth keeping."""
+    """Weights by kind of feature; only those worth keeping."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: tuple[dict[str, float], dict[str, float], dict[str, float]], bias: float):
         self.weights, self.bias = weights, bias
 
     def __call__(self, text: str | None) -> float:
-        get = self.weights.get
-        return self.bias + sum(get(f, 0.0) for f in features(text or ""))
+        return self.bias + math.fsum(w[f] for w, found in zip(self.weights, features(text or ""), strict=True) for f in found & w.keys())
 
 
 def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3, surprise: float = 4.5, shrink: float = 5e-5) -> Model:
@@ -56,9 +60,9 @@ def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3
     Without both kinds of label there is nothing to learn: all are fit."""
     y = np.asarray(bad, float)
     if not len(y) or y.min() == y.max():
-        return Model({}, -3.0)
-    number: dict[str, int] = {}
-    rows = [np.fromiter((number.setdefault(f, len(number)) for f in features(t)), np.int64) for t in texts]
+        return Model(({}, {}, {}), -3.0)
+    number: dict[tuple[int, str], int] = {}
+    rows = [np.fromiter((number.setdefault((k, f), len(number)) for k, found in enumerate(features(t)) for f in found), np.int64) for t in texts]
     ids = np.concatenate(rows)
     seen = np.bincount(ids, minlength=len(number))
     rate = y.mean()
@@ -79,7 +83,11 @@ def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3
         square_b += gb * gb
         b -= 0.1 * gb / math.sqrt(square_b)
     names = [f for f, k in zip(number, keep, strict=True) if k]
-    return Model({f: round(float(x), 4) for f, x in zip(names, w, strict=True) if abs(x) > 0.01}, float(b))
+    weights: tuple = ({}, {}, {})
+    for (kind, f), x in zip(names, w.tolist(), strict=True):
+        if abs(x) > 0.01:
+            weights[kind][f] = round(x, 4)
+    return Model(weights, float(b))
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
@@ -93,40 +101,32 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
-    """All columns of docs, and evidence, host_rate, path_rate, quality_score (log-odds of being unfit) and rejected.
+def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns to keep (all) of docs, and evidence, host_rate, path_rate, quality_score (log-odds of being unfit) and rejected.
 
-    docs: doc_id, text and the two site columns. A null text counts as empty, a null host or path as one of its own; rows are judged each for itself, so repeated rows stay. An empty table gives an empty table. Sites are
-    aggregated before they are shuffled; documents meet the site table by a join that Spark broadcasts only if it is measured to be small, and whose hot keys it splits.
+    docs: doc_id, text and the two site columns. A null text counts as empty, a null host or path as one of its own; rows are judged each for itself, so repeated rows stay. An empty table gives an empty table. Each document is
+    scored once; scores (with what is kept) are written to the shared folder, as the rates need all of them first. Sites are aggregated before they are shuffled; documents meet the site table by a join that Spark
+    broadcasts only if it is measured to be small, and whose hot keys it splits.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("p"), pa.array([m(t) for t in b.column("text").to_pylist()], pa.float64())], ["h", "p", "evidence"])
+    spark = docs.sparkSession
+    checkpoints(spark)
+    held, names = spark.sparkContext.broadcast(model), list(docs.columns if keep is None else keep)
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m(t) for t in b.column("text").to_pylist()], pa.float64())], [*b.schema.names, "evidence"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), pa.array([m(t) for t in b.column(0).to_pylist()], pa.float64())], [*b.schema.names[1:], "evidence"])
 
+    # numbered columns, as docs may have any names
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "h"), (path, "p"))]
-    rate = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = docs.select("text", *site).mapInArrow(narrow, "h string, p string, evidence double").groupBy("h", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(rate).alias("bad"))
-    rates = site_rates(paths)
-    # positions, not names: docs may have any columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {c: f"c{i}" for i, c in enumerate(names)}
-    inner = inner.withColumnRenamed(at["text"], "text")
-    kinds = ", ".join(f"`{n}` {k}" for n, k in inner.dtypes)
-    full = inner.mapInArrow(wide, kinds + ", evidence double")
-    h, p = (F.coalesce(F.col(at[c]).cast("string"), F.lit("")) for c in (host, path))
-    full = full.join(rates, (h == F.col("site_host")) & (p == F.col("site_path")), "left")
-    full = full.withColumn("score_", F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("global_rate")))
-    mine = [F.col("text" if c == "text" else at[c]).alias(c) for c in names]
-    return full.select(*mine, "evidence", "host_rate", "path_rate", F.col("score_").alias("quality_score"), (F.col("score_") > 0).alias("rejected"))
+    inner = docs.select(F.col("text").alias("t"), *site, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    folder = f"{spark.sparkContext.getCheckpointDir()}/judged-{uuid.uuid4().hex}"
+    inner.mapInArrow(score, ", ".join(f"{n} {k}" for n, k in inner.dtypes[1:]) + ", evidence double").write.parquet(folder)
+    scored = spark.read.parquet(folder)
+    rates = site_rates(scored.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("evidence")))).alias("bad")))
+    full = scored.join(rates, (F.col("h") == F.col("site_host")) & (F.col("p") == F.col("site_path")))
+    odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
+    return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "evidence", "host_rate", "path_rate", odds.alias("quality_score"), (odds > 0).alias("rejected"))
 
 
 def site_rates(paths: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit_labels(docs, table(spark, sf_dir, "labels"))
-    return judge(docs.select("doc_id", "text", "source", "lang"), model).select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", "rejected")
+    return judge(docs, model, keep=("doc_id",)).select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", "rejected")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_fit_edges():
 
 
 def test_judge(docs, empty, spark):
-    m = Model({"alpha": 0.5}, -1.0)
+    m = Model(({"alpha": 0.5}, {}, {}), -1.0)
     got = judge(docs, m).collect()
     assert len(got) == docs.count() and set(docs.columns) < set(got[0].asDict())
     assert all((r.quality_score > 0) == r.rejected and 0 < r.path_rate < 1 for r in got)
