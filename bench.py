@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.plans import queries as Q
 from quire.sources.pdf import view
 
-HEADLINE = ("doc_text_roundtrip", "doc_page_count", "doc_markdown_roundtrip", "size_histogram", "lineitem_table_roundtrip", "element_kind_counts", "two_column_order", "xref_merge_latest", "value_tree_paths", "gutter_gaps", "interval_packing", "ruling_crossings")
+HEADLINE = ("doc_text_roundtrip", "doc_page_count", "doc_markdown_roundtrip", "size_histogram", "element_kind_counts", "two_column_order", "xref_merge_latest", "value_tree_paths", "gutter_gaps", "interval_packing", "ruling_crossings")
 
 
 def main() -> None:

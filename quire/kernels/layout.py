@@ -147,8 +147,10 @@ def segments(spans: list[Span]) -> list[list[Span]]:
         return [spans]
     bins = occupancy(lo, hi, [(s.x, s.end_x) for s in spans])
     few = max(1, len(spans) // 20)
-    best = None
-    for a, b in interior_gaps([0 if n <= few else n for n in bins], step):
+    best, lanes = None, interior_gaps([0 if n <= few else n for n in bins], step)
+    if len(lanes) > 1:  # more lanes than a gutter: a grid, which is read by rows
+        return [spans]
+    for a, b in lanes:
         mid = lo + (a + b) / 2 * step
         across = [s for s in spans if s.x < mid - 1 and s.end_x > mid + 1]
         left, right = [s for s in spans if s.end_x <= mid + 1], [s for s in spans if s.x >= mid - 1]
