@@ -21,6 +21,7 @@ from .common import checkpoints
 
 #: At most so many labelled documents are fitted on: those of the least hashes of their ids.
 FIT_DOCS = 6000
+SALT = 32
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))  # ASCII punctuation
 _STEPS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
@@ -106,7 +107,7 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
 
     docs: doc_id, text and the two site columns. A null text counts as empty, a null host or path as one of its own; rows are judged each for itself, so repeated rows stay. An empty table gives an empty table. Each document is
     scored once; scores (with what is kept) are written to the shared folder, as the rates need all of them first. Sites are aggregated before they are shuffled; documents meet the site table by a join that Spark
-    broadcasts only if it is measured to be small, and whose hot keys it splits.
+    broadcasts only if it is measured to be small, and whose hot keys are salted.
     """
     spark = docs.sparkSession
     checkpoints(spark)
@@ -124,7 +125,10 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
     inner.mapInArrow(score, ", ".join(f"{n} {k}" for n, k in inner.dtypes[1:]) + ", evidence double").write.parquet(folder)
     scored = spark.read.parquet(folder)
     rates = site_rates(scored.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("evidence")))).alias("bad")))
-    full = scored.join(rates, (F.col("h") == F.col("site_host")) & (F.col("p") == F.col("site_path")))
+    # a hot site's documents are dealt over SALT keys; the site table has a row for each
+    salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    scored = scored.withColumn("own_salt", F.pmod(F.xxhash64("evidence"), F.lit(SALT)).cast("int"))
+    full = scored.join(salted, (F.col("h") == F.col("site_host")) & (F.col("p") == F.col("site_path")) & (F.col("own_salt") == F.col("salt")))
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
     return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "evidence", "host_rate", "path_rate", odds.alias("quality_score"), (odds > 0).alias("rejected"))
 
