@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a weighted vocabulary (operator 9).
 
 Where no rule fits, one Aho-Corasick automaton finds all terms in the lower-cased host and path; a hit counts where neither neighbour is a letter or digit. One strict term blocks, as do
-soft terms whose distinct weights add up to the limit.
+soft terms whose distinct weights add up to the limit; terms of harmless contexts weigh below zero.
 """
 
 from __future__ import annotations
@@ -13,10 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-STRICT = ("porn", "xxx", "hentai", "camgirl", "camgirls", "viagra", "warez")
-#: Each with its weight; SOFT_LIMIT of weight over distinct terms rejects.
-SOFT = {"sex": 1, "sexy": 1, "adult": 1, "nude": 1, "naked": 1, "casino": 1, "poker": 1, "betting": 1, "jackpot": 1, "escort": 1, "dating": 1, "pills": 1, "crack": 1, "keygen": 1, "torrent": 1, "hookup": 1}
-SOFT_LIMIT = 2
+#: One of these rejects.
+STRICT = tuple((
+    "porn porno pornos pornography pornographic pornstar pornstars pornhub freeporn xxx xvideos xnxx xhamster redtube youporn brazzers hentai camgirl camgirls camsex sexcam sexcams sexchat sexshop "
+    "milf milfs gangbang blowjob blowjobs cumshot cumshots creampie bukkake deepthroat bdsm upskirt incest nsfw onlyfans fuck fucking fucked pussy cunt handjob threesome "
+    "viagra cialis levitra kamagra sildenafil tadalafil phentermine "
+    "warez keygen keygens cracked nulled onlinecasino casinoonline casinobonus freespins pokerstars sportsbook sportsbooks"
+).split())
+#: Each with its weight; SOFT_LIMIT of weight over distinct terms rejects. Terms that speak against have a weight below zero.
+SOFT = {term: weight for weight, terms in (
+    (8, "backlinks bets betting pills nude nudes naked escort escorts erotic erotica fetish stripper strippers striptease slots roulette blackjack baccarat jackpot jackpots hookup hookups steroids xanax tramadol oxycodone ambien"),
+    (7, "sex sexy casino casinos poker spam gambling gamble bookmaker bookmakers lottery lotto bingo torrent torrents weightloss payday replica replicas lesbian webcam webcams spammer spammers"),
+    (5, "adult adults x bet wager wagers odds dating singles lingerie slut sluts babes amateur teens horny cam cams crack cracks serial serials pill pharmacy pharma drugstore prescription meds seo loans loan"),
+    (3, "win wins winner winners winning bonus farm farms video videos tube pics spin spins hot girls vegas deposit wagering enlargement diet hoodia live chat link"),
+    (2, "free cheap cheapest discount online buy order click now sale offer offers generic deals instant fast money cash download downloads guaranteed unlimited"),
+    (-6, "education educational health healthcare university hospital clinic museum news law laws court policy research recovery addiction helpline prevention awareness equality rights biology filter filters antispam royale"),
+) for term in terms.split()}
+SOFT_LIMIT = 10
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
