@@ -3,8 +3,8 @@
 Windows of `size` words that follow one another in a document are compared over the whole corpus by the exchange in
 blocks.py: a first pass finds the windows that recur (by a hash with few chance meetings), a second confirms those that
 do by another, 64-bit hash, and tells which occurrence is the first. Each block then compiles Aho-Corasick automata from the texts of
-its confirmed phrases (tiles that cover each recurring passage), a shard for each MB of text, and streams its documents through them;
-every occurrence found that isn't the first is cut.
+its confirmed phrases (tiles that cover each recurring passage), a shard for each MB of text, and streams that shard through them;
+every occurrence found that isn't the first is cut. The hashes decide: an automaton only finds again what they found in its own shard.
 """
 
 from __future__ import annotations
