@@ -1,11 +1,11 @@
-"""Suffix dedup by a depth-limited radix sort (operator 1).
+"""Suffix dedup by window hashes, in place of a depth-limited radix sort (operator 1).
 
-Suffixes are ordered by their first `size` bytes only, most significant digit first, and a group of one is dropped as soon as it is alone:
+Suffixes are grouped by hashes of their first `size` bytes, not ordered by text, and a group of one is dropped as soon as it is alone:
 
 * pass 0 settles long equal stretches at once: content-cut runs of suffixes whose whole windows are equal; only the first such run goes on;
 * pass 1 deals suffixes by their first digit, the least hash among the 16-byte strings in the window (so that neighbours share
   it and it is sent once); suffixes alone in theirs are dropped;
-* pass 2 orders the rest through the full depth; equal groups are exactly the repeated windows, and the first member's document stays.
+* pass 2 groups the rest by a 64-bit hash of the full depth; equal groups are exactly the repeated windows, and the first member's document stays.
 
 Each pass is one exchange of digits between blocks of documents (blocks.py); texts move once.
 """
