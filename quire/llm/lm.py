@@ -1,10 +1,10 @@
-"""LM scoring by a weighted backoff automaton (operator 5).
+"""LM scoring by interpolated word pairs, in place of a weighted backoff automaton (operator 5).
 
 Words and word pairs are counted over all training documents by the exchange in blocks.py: a block sends its distinct hashes
 with counts, and the part that owns a hash answers with the corpus count. A second round counts in how many kinds
-of pairs each word comes first. From the answers a block builds its share of the automaton: a root with an arc for each word, a state for each known word
-with an arc for each pair seen, and a failure arc from each state to the root that carries the weight held back (absolute discounting, with
-discounts from the numbers of words and pairs seen once and twice). One left-to-right traversal carries the state and adds log10 probabilities.
+of pairs each word comes first. From the answers a block builds sorted arrays of pair probabilities and,
+for each known word, the weight held back (absolute discounting, with discounts from the numbers of words and pairs seen once and twice), and
+looks up all pairs at once: the pair's part plus the weight held back times the word's, summed as log10. Order 2 is the highest.
 All unseen words are one class, as in the base score, and share the weight held back at the root.
 """
 
