@@ -2,7 +2,7 @@
 
 Documents are cut into full sequences and a rest, and a long rest into a few nearly equal pieces. The pieces of a run of documents are dealt into as
 many windows as they need at least: two partial partitions are merged at a time, those of largest imbalance first, the fullest windows of one onto the emptiest of the other, which gives
-nearly equal windows. Their number rises with what exceeds their capacity together; what exceeds that of a single window is cut off and goes to the emptiest.
+nearly equal windows. Their number is the least that can hold all and never rises; what exceeds that of a single window is cut off and goes to the emptiest.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
 
 
 def windows(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, first id in it, ids), as few as hold all: their number is the least at first and rises while they hold too little.
+    """Windows of (item, first id in it, ids), as few as hold all.
 
     Where differencing leaves a window above capacity, what is too much of its longest item is cut off and goes to the emptiest windows.
     """
