@@ -1,10 +1,10 @@
-"""Exchange of window hashes between blocks of documents.
+"""Exchange of hashes and fragments of text between blocks of documents.
 
 Documents are dealt into blocks of a few MB by ranges of doc_id, so that the order of blocks is the order of
-ids. A block asks about the distinct hashes of its windows: it sends them, sorted and as byte-wide differences, to
+ids. A block asks about distinct hashes: it sends them, sorted and as byte-wide differences, to
 parts that each own a range of hash values. A part compares what all blocks sent and answers with two bits for each hash:
-does another block have it, and does an earlier one. Hot hashes cost a part one entry for each block at most, and
-neither texts nor positions travel. Ids, links or hashes of all documents are never gathered in one place.
+does another block have it, and does an earlier one. Hot hashes cost a part one entry for each block at most.
+Fragments of text whose hashes recur go to parts the same way, once for each block. Ids, links or hashes of all documents are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -15,34 +15,102 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 ASKED = "block int, pass int, part int, asked binary, more binary"
 BLOCK_BYTES = 8 << 20
-_CUTS = 64
+#: Cuts by quantiles in each of two levels; bytes that count as one row; bytes of rows that a task compresses together.
+_CUTS, _STEP, _HELD = 64, 4096, 32 << 20
 
 
 def blocked(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict]:
-    """The rows with a block number that rises with doc_id, and what holds for all: blocks, parts, bytes, rows.
+    """The rows as compressed tables (block int, rows binary), block numbers rising with doc_id, and what holds for all: blocks, parts, bytes, rows.
 
-    Cuts follow 64 approximate quantiles of the ids, evenly within them; equal ids share a block, and a null id counts as the least.
+    Cuts follow up to _CUTS * _CUTS approximate quantiles of the ids, in which a row counts once for each _STEP bytes of its text, evenly within them; so neither clustered ids nor
+    runs of long texts overfill a block. Equal ids share a block, and a null id counts as the least.
     """
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-        F.percentile_approx("doc_id", [k / _CUTS for k in range(1, _CUTS)], 2000).alias("cuts"),
+    weighed = df.select("doc_id", F.octet_length("text").alias("n")).select("doc_id", "n", F.explode(F.expr(f"sequence(0, coalesce(n, 0) div {_STEP})")).alias("k"))
+    row = weighed.agg(
+        F.sum(F.expr("if(k = 0, 1, 0)")).alias("rows"), F.coalesce(F.sum(F.expr("if(k = 0, n, 0)")), F.lit(0)).alias("bytes"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.percentile_approx("doc_id", [k / _CUTS**2 for k in range(1, _CUTS**2)], 20000).alias("cuts"),
     ).first()
-    n = max(1, math.ceil((row["bytes"] + 64 * row["rows"]) / block_bytes))
+    n = max(1, math.ceil((row["bytes"] + 64 * (row["rows"] or 0)) / block_bytes))
+    all_ = {"blocks": n, "parts": max(1, n // 4), "bytes": row["bytes"], "rows": row["rows"] or 0}
     if n == 1 or row["lo"] is None:
-        return df.withColumn("block", F.lit(0)), {"blocks": 1, "parts": 1, "bytes": row["bytes"], "rows": row["rows"]}
-    cuts = sorted({row["lo"], *row["cuts"], row["hi"] + 1})
-    parts = []
-    for k in range(1, len(cuts)):
-        lo, hi, first, end = cuts[k - 1], cuts[k], (k - 1) * n // (len(cuts) - 1), k * n // (len(cuts) - 1)
-        parts.append(f"WHEN doc_id < {hi}L THEN {first} + CAST(floor(least((doc_id - {lo}L) / {float(hi - lo)}D, 0.999999999D) * {max(1, end - first)}) AS INT)")
-    block = f"CASE WHEN doc_id IS NULL THEN 0 {' '.join(parts)} ELSE {n - 1} END"
-    return df.withColumn("block", F.expr(block)), {"blocks": n, "parts": max(1, n // 4), "bytes": row["bytes"], "rows": row["rows"]}
+        return _zipped(df.withColumn("block", F.lit(0))), {**all_, "blocks": 1, "parts": 1}
+    step = max(1, math.ceil(_CUTS**2 / n))
+    cuts = sorted({row["lo"], *row["cuts"][step - 1 :: step], row["hi"] + 1})
+    cells, top = len(cuts) - 1, cuts[:-1:_CUTS]
+    first = [k * n // cells for k in range(cells + 1)]
+    longs = lambda x: "array(" + ",".join(f"{v}L" for v in x) + ")"
+    below = "array(" + ",".join(longs(cuts[k : min(k + _CUTS, cells)]) for k in range(0, cells, _CUTS)) + ")"
+    df = df.withColumn("block", F.expr(f"size(filter({longs(top)}, x -> x <= doc_id)) - 1"))
+    df = df.withColumn("block", F.expr(f"block * {_CUTS} + size(filter(get({below}, block), x -> x <= doc_id)) - 1"))
+    share = f"least((doc_id - get({longs(cuts)}, block)) / double(get({longs(cuts)}, block + 1) - get({longs(cuts)}, block)), 0.999999999D)"
+    df = df.withColumn("block", F.expr(f"int(if(doc_id is null, 0, get({longs(first)}, block) + floor({share} * greatest(1, get({longs(first)}, block + 1) - get({longs(first)}, block)))))"))
+    return _zipped(df), all_
+
+
+def _zipped(df: DataFrame) -> DataFrame:
+    """(block, rows): the rows of a block that a task reads one after another, as one compressed table."""
+    names = [c for c in df.columns if c != "block"]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > _HELD:
+                yield _cut(held)
+                held, size = [], 0
+        if held:
+            yield _cut(held)
+
+    def _cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).sort_by("block")
+        k = t["block"].to_numpy()
+        edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
+        t = t.select(names).combine_chunks()
+        blobs = [_sent(t.slice(a, b - a)) for a, b in zip(edge, edge[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(k[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
+
+    return df.select("block", *names).mapInArrow(f, "block int, rows binary")
+
+
+def _sent(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema) as w:
+        w.write_table(t)
+    return zipped(out.getvalue().to_pybytes())
+
+
+def _got(t: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(unzipped(x.as_buffer().to_pybytes())).read_all() for x in t["rows"]])
+
+
+def zipped(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def unzipped(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def part_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The part that owns each key."""
+    edges = np.array([((p << bits) + parts - 1) // parts for p in range(1, parts)], dtype=object).astype(U64) if parts > 1 else np.zeros(0, U64)
+    return np.searchsorted(edges, keys, "right")
+
+
+def rows_for(block: int, step: int, parts: list[int], asked: list[bytes], more: list[bytes] | None = None) -> pa.Table:
+    n = len(parts)
+    return pa.table({
+        "block": pa.array([block] * n, pa.int32()), "pass": pa.array([step] * n, pa.int32()), "part": pa.array(parts, pa.int32()),
+        "asked": pa.array(asked, pa.binary()), "more": pa.array(more if more is not None else [b""] * n, pa.binary()),
+    })
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -152,8 +220,11 @@ def ranks(t: pa.Table) -> np.ndarray:
 
 
 def first_ask(texts: DataFrame, f: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
-    return texts.groupBy("block").applyInArrow(lambda key, t: f(key[0].as_py(), t), ASKED)
+    return texts.groupBy("block").applyInArrow(lambda key, t: f(key[0].as_py(), _got(t)), ASKED)
 
 
 def with_answers(texts: DataFrame, replies: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str = ASKED) -> DataFrame:
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda key, t, r: f(key[0].as_py(), t, r), schema)
+    def g(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        return f(key[0].as_py(), _got(t), r)
+
+    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(g, schema)

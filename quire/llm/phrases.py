@@ -1,10 +1,12 @@
 """Substring dedup by repeated-phrase automata (operator 7).
 
-Windows of `size` words that follow one another in a document are compared over the whole corpus by the exchange in
-blocks.py: a first pass finds the windows that recur (by a hash with few chance meetings), a second confirms those that
-do by another, 64-bit hash, and tells which occurrence is the first. Each block then compiles Aho-Corasick automata from the texts of
-its confirmed phrases (tiles that cover each recurring passage), a shard for each MB of text, and streams that shard through them;
-every occurrence found that isn't the first is cut. The hashes decide: an automaton only finds again what they found in its own shard.
+* Candidates: each window of `size` words belongs to the least hash among the word groups in it, and neighbours share it; windows whose least group stands nowhere else are dropped.
+* Confirmed: runs of neighbouring candidates go as text to the part that owns their least group, equal ones once for each block; there windows are compared byte by byte, and the part sends to
+  each block the text of the phrases (runs of repeated windows) that it holds, marked by whether an earlier block holds them too. No positions travel.
+* Located: a block compiles Aho-Corasick automata of its phrases, a shard of SHARD_PHRASES at a time, and streams all of its documents through each. An automaton holds the first words of each phrase;
+  where it hits, the whole phrase is compared with the text. What these hits cover is cut, but for the first hit of a window that no earlier block has.
+
+Hashes only choose what is compared and where; they miss no repeat and decide none. A block without a phrase's text can't cut it.
 """
 
 from __future__ import annotations
@@ -16,31 +18,96 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import hashing as H
+from .radix import equal_groups
 
-SHARD_BYTES = 1 << 20
+#: Phrases of one automaton; words of each that it holds; words of the groups that choose parts.
+SHARD_PHRASES, HEAD, GROUP = 1 << 15, 8, 5
 
 
 class _Block:
+    """The documents of a block: words joined by single spaces, documents by a line feed (no word can hold one)."""
+
     def __init__(self, t: pa.Table, size: int):
-        self.t = B.in_order(t)
+        self.t, self.size = B.in_order(t), size
         self.data, self.off = H.buffers(self.t["text"])
         self.starts, self.ends, self.first = H.words(self.data, self.off)
-        self.hashes = H.word_hashes(self.data, self.starts, self.ends)
-        n = max(0, len(self.starts) - size + 1)
-        whole = np.zeros(n, bool)
-        for a, b in zip(self.first, self.first[1:], strict=False):
-            if b - a >= size:
-                whole[a : b - size + 1] = True
-        self.at, self.size = np.flatnonzero(whole), size
-
-    def recur(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = H.runs_of(self.hashes, self.size)[self.at] >> H.U64(64 - bits)
-        return np.unique(h, return_inverse=True, return_counts=True)
-
-    def confirmed(self, replies: pa.Table, bits: int, parts: int) -> np.ndarray:
-        """Where the windows stand that recur by the first pass."""
-        keys, back, n = self.recur(bits)
-        return self.at[(B.told(replies, 1, keys, bits, parts)[0] | (n > 1))[back]]
+        raw = self.data.tobytes()
+        self.pieces = [b" ".join(raw[a:b].split()) for a, b in zip(self.off[:-1].tolist(), self.off[1:].tolist(), strict=True)]
+        self.length = self.ends - self.starts
+        words = np.diff(self.first)
+        gaps = np.where(words > 0, 2, 3)
+        self.begin = 1 + np.cumsum(self.length + 1) - (self.length + 1) + np.repeat(np.cumsum(gaps) - gaps, words)
+
+    def text(self) -> bytes:
+        return b" " + b" \n ".join(self.pieces) + b" "
+
+    def runs(self, bits: int) -> np.ndarray:
+        """Runs of windows (first word, number, least group's hash, row); the distinct hashes. A window that begins with the least group is the last that holds it there."""
+        width = min(GROUP, self.size)
+        groups = H.runs_of(H.word_hashes(self.data, self.starts, self.ends), width)
+        low = H.sliding_min(groups, self.size - width + 1)
+        row = np.repeat(np.arange(len(self.off) - 1), np.diff(self.first))
+        at = np.flatnonzero(np.arange(len(low)) + self.size <= self.first[1:][row[: len(low)]])
+        v = low[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1) | (groups[at[:-1]] == v[:-1])
+        heads = np.flatnonzero(new)
+        self.start, self.count, self.least = at[heads], np.diff(np.append(heads, len(at))), v[heads] >> H.U64(64 - bits)
+        keys, self.which, n = np.unique(self.least, return_inverse=True, return_counts=True)
+        self.several = n > 1
+        return keys
+
+    def fragments(self, replies: pa.Table, bits: int, parts: int) -> list[tuple[int, bytes]]:
+        """For each part the distinct texts of runs that may recur, and whether each stands here several times."""
+        keys = self.runs(bits)
+        open_ = np.flatnonzero((B.told(replies, 1, keys, bits, parts)[0] | self.several)[self.which]) if len(keys) else np.zeros(0, np.int64)
+        text, last = self.text(), self.start[open_] + self.count[open_] + self.size - 2
+        a, z = self.begin[self.start[open_]], self.begin[last] + self.length[last] if len(open_) else open_
+        part = B.part_of(self.least[open_], bits, parts)
+        found: list[dict[bytes, int]] = [{} for _ in range(parts)]
+        for p, x, y in zip(part.tolist(), a.tolist(), z.tolist(), strict=True):
+            s, d = text[x:y], found[p]
+            d[s] = d.get(s, 0) + 1
+        return [(p, B.zipped(bytes(n > 1 for n in d.values()) + b"\n" + b"\n".join(d))) for p, d in enumerate(found) if d]
+
+    def located(self, phrases: list[tuple[bytes, bool]]) -> np.ndarray:
+        """Which words the phrases cover where automata find them; (text, here first): of a window of a phrase here first the first hit doesn't count."""
+        cover = np.zeros(len(self.starts) + 1, np.int64)
+        whole = self.text().decode("latin-1")
+        firsts: dict[str, int] = {}
+        own: dict[int, str] = {}
+        for k in range(0, len(phrases), SHARD_PHRASES):
+            heads: dict[str, list] = {}
+            for x, here in phrases[k : k + SHARD_PHRASES]:
+                s = x.decode("latin-1") + " "
+                w = s.split(" ", HEAD)
+                head = " " + " ".join(w[:-1]) + " " if len(w) > HEAD else " " + s
+                heads.setdefault(head, []).append((s, s.count(" "), here))
+            automaton = ahocorasick.Automaton()
+            for head, of in heads.items():
+                automaton.add_word(head, (len(head) - 2, of))
+            automaton.make_automaton()
+            hits, spans = [], []
+            for end, (back, of) in automaton.iter(whole):
+                at = end - back
+                for s, n, here in of:
+                    if whole.startswith(s, at):
+                        hits.append(at)
+                        spans.append(-n if here else n)
+            first = np.searchsorted(self.begin, np.array(hits, np.int64))
+            n = np.array(spans, np.int64)
+            later = n > 0
+            np.add.at(cover, first[later], 1)
+            np.add.at(cover, first[later] + n[later], -1)
+            for w, m in zip(first[~later].tolist(), (-n[~later]).tolist(), strict=True):
+                for i in range(w, w + m - self.size + 1):
+                    if i not in own:
+                        s = own[i] = whole[self.begin[i] : self.begin[i + self.size - 1] + self.length[i + self.size - 1]]
+                        firsts[s] = min(i, firsts.get(s, i))
+        again = np.array([i for i, s in own.items() if firsts[s] != i], np.int64)
+        np.add.at(cover, again, 1)
+        np.add.at(cover, again + self.size, -1)
+        return np.cumsum(cover)[:-1] > 0
 
 
 def dedup_phrases(docs: DataFrame, size: int = 20, block_bytes: int = B.BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -55,66 +122,75 @@ def dedup_phrases(docs: DataFrame, size: int = 20, block_bytes: int = B.BLOCK_BY
     bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
 
     def first(block: int, t: pa.Table) -> pa.Table:
-        return B.ask(block, 1, _Block(t, size).recur(bits)[0], bits, parts)
+        return B.ask(block, 1, _Block(t, size).runs(bits), bits, parts)
 
     def second(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(t, size)
-        return B.ask(block, 2, np.unique(H.runs_of(b.hashes, size, 5)[b.confirmed(replies, bits, parts)]), 64, parts)
+        out = _Block(t, size).fragments(replies, bits, parts)
+        return B.rows_for(block, 2, [p for p, _ in out], [x for _, x in out])
 
-    def cut(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
+    def cut(block: int, t: pa.Table, phrases: pa.Table) -> pa.Table:
         b = _Block(t, size)
-        at = b.confirmed(replies, bits, parts)
-        keys, one, back = np.unique(H.runs_of(b.hashes, size, 5)[at], return_index=True, return_inverse=True)
-        later = at[B.told(replies, 2, keys, 64, parts)[1][back] | (one[back] != np.arange(len(at)))]
-        gone = _located(b, later)
-        kept, removed = [], np.add.reduceat(np.append(gone, False), np.minimum(b.first[:-1], len(gone))) * (np.diff(b.first) > 0) if len(b.first) > 1 else []
-        raw = b.data.tobytes()
-        for k in range(len(b.off) - 1):
-            w = raw[b.off[k] : b.off[k + 1]].split()
-            kept.append(b" ".join([x for x, out in zip(w, gone[b.first[k] : b.first[k + 1]].tolist(), strict=True) if not out] if removed[k] else w))
-        out = {"doc_id": b.t["doc_id"], "n_words": pa.array(np.diff(b.first), pa.int64()), "n_removed": pa.array(np.asarray(removed, np.int64)), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        gone = b.located([(s, here) for _, *kinds in B.rows_of(phrases, 2) for here, x in zip((False, True), kinds, strict=True) if x for s in B.unzipped(x).split(b"\n")])
+        before = np.concatenate([[0], np.cumsum(gone)])[b.first]
+        removed = np.diff(before)
+        kept = list(b.pieces)
+        for k in np.flatnonzero(removed).tolist():
+            kept[k] = b" ".join([x for x, out in zip(kept[k].split(b" "), gone[b.first[k] : b.first[k + 1]].tolist(), strict=True) if not out])
+        out = {"doc_id": b.t["doc_id"], "n_words": pa.array(np.diff(b.first), pa.int64()), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
         return pa.table(out | {c: b.t[c] for c in carry})
 
     one = B.answers(B.first_ask(texts, first))
-    two = B.answers(B.with_answers(texts, one, second))
+    phrases = B.answers(B.with_answers(texts, one, second), lambda t: confirmed(t, size))
     kinds = dict(docs.dtypes)
-    return B.with_answers(texts, one.unionAll(two), cut, ", ".join(["doc_id long, n_words long, n_removed long, kept string", *(f"`{c}` {kinds[c]}" for c in carry)]))
-
-
-def _located(b: _Block, later: np.ndarray) -> np.ndarray:
-    """Which words the occurrences cover that automata of the tiled later windows find, shard by shard."""
-    size, gone = b.size, np.zeros(len(b.starts) + 1, np.int64)
-    is_later = np.zeros(len(b.starts) + 1, bool)
-    is_later[later] = True
-    raw = b.data.tobytes()
-    for lo, hi in H.batches(b.off, SHARD_BYTES):
-        w0, w1 = int(b.first[lo]), int(b.first[hi])
-        here = later[np.searchsorted(later, w0) : np.searchsorted(later, w1)]
-        if not len(here):
-            continue
-        # the words joined by single spaces; a lone line feed parts documents, and no word can be one
-        pieces, begins, at = [], np.empty(w1 - w0 + 1, np.int64), 0
-        for k in range(lo, hi):
-            p = b" ".join(raw[b.off[k] : b.off[k + 1]].split())
-            pieces.append(p)
-            f, e = int(b.first[k]), int(b.first[k + 1])
-            lengths = (b.ends[f:e] - b.starts[f:e]) + 1
-            begins[f - w0 : e - w0] = at + 1 + np.concatenate([[0], np.cumsum(lengths)[:-1]]) if e > f else 0
-            at += len(p) + 3
-        begins[-1] = at
-        text = " " + b" \n ".join(pieces).decode("latin-1") + " "
-        run = np.concatenate([[True], np.diff(here) > 1])
-        head = here[run][np.cumsum(run) - 1]
-        last = np.append(run[1:], True)
-        tiles = here[((here - head) % size == 0) | last]
-        automaton = ahocorasick.Automaton()
-        for w in tiles.tolist():
-            s, e = int(begins[w - w0]), int(begins[w - w0 + size - 1]) + int(b.ends[w + size - 1] - b.starts[w + size - 1])
-            automaton.add_word(text[s - 1 : e + 1], e - s + 1)
-        automaton.make_automaton()
-        hits = np.array([e - n for e, n in automaton.iter(text)], np.int64) + 1
-        found = w0 + np.searchsorted(begins[: w1 - w0], hits - 1 + 0)
-        found = found[is_later[found]]
-        np.add.at(gone, found, 1)
-        np.add.at(gone, found + size, -1)
-    return np.cumsum(gone)[:-1] > 0
+    return B.with_answers(texts, phrases, cut, ", ".join(["doc_id long, n_words long, n_removed long, kept string", *(f"`{c}` {kinds[c]}" for c in carry)]))
+
+
+def confirmed(asked: pa.Table, size: int) -> pa.Table:
+    """For each block the phrases of its fragments whose windows repeat, as text: those that an earlier block has too (asked), and those that stand several times in this one, the first to have them (more)."""
+    asked = asked.sort_by("block")
+    blobs, multi, owner = [], [], []
+    for k, x in enumerate(asked["asked"]):
+        raw = B.unzipped(x.as_buffer().to_pybytes())
+        n = raw.index(b"\n")
+        multi.append(np.frombuffer(raw, np.uint8, n) > 0)
+        blobs.append(raw[n + 1 :])
+        owner.append(np.full(n, k))
+    multi, owner = np.concatenate(multi), np.concatenate(owner)
+    raw = b"\n".join(blobs) + b"\n"
+    del blobs
+    data = np.frombuffer(raw, np.uint8)
+    off = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    starts, ends, first = H.words(data, off)
+    windows = np.diff(first) - (size - 1)
+    begin = np.cumsum(windows) - windows
+    fragment = np.repeat(np.arange(len(windows)), windows)
+    word = np.repeat(first[:-1], windows) + np.arange(len(fragment)) - begin[fragment]
+    at, length = starts[word], ends[word + size - 1] - starts[word]
+    eights = H.eights(np.append(data, np.zeros(8, np.uint8)))
+
+    def digit(k: int, of: np.ndarray) -> np.ndarray:
+        left = length[of] - 8 * k
+        d = eights[np.where(left > 0, at[of] + 8 * k, 0)].byteswap()
+        return np.where(left >= 8, d, d & ~(H.U64(0xFFFFFFFFFFFFFFFF) >> (8 * left.clip(0, 7)).astype(H.U64)))
+
+    bucket = H.runs_of(H.word_hashes(data, starts, ends), size)[word] + length.astype(H.U64)
+    members, group = equal_groups(bucket, digit, -(-int(length.max(initial=0)) // 8))
+    state = multi[fragment].astype(np.int8) * 2  # 1: an earlier block has the window; 2: only this one and later ones, and here several times
+    if len(members):
+        mine = owner[fragment[members]]
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.minimum.reduceat(mine, heads)[group]
+        here = np.bincount(group[mine == least], minlength=len(heads))[group] > 1
+        state[members[(mine == least) & here]] = 2
+        state[members[mine > least]] = 1
+    new = np.ones(len(state), bool)
+    new[1:] = (state[1:] != state[:-1]) | (fragment[1:] != fragment[:-1])
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(state)) - 1
+    keep = state[a] > 0
+    a, z = a[keep], z[keep]
+    out: list[tuple[dict, dict]] = [({}, {}) for _ in range(asked.num_rows)]
+    for k, s, x, y in zip(owner[fragment[a]].tolist(), state[a].tolist(), at[a].tolist(), ends[word[z] + size - 1].tolist(), strict=True):
+        out[k][s - 1][raw[x:y]] = None
+    packed = [[B.zipped(b"\n".join(d)) if d else b"" for d in o] for o in out]
+    return asked.set_column(3, "asked", pa.array([x for x, _ in packed], pa.binary())).set_column(4, "more", pa.array([y for _, y in packed], pa.binary()))

@@ -1,13 +1,13 @@
-"""Suffix dedup by window hashes, in place of a depth-limited radix sort (operator 1).
+"""Suffix dedup by a depth-limited radix sort (operator 1).
 
-Suffixes are grouped by hashes of their first `size` bytes, not ordered by text, and a group of one is dropped as soon as it is alone:
+Suffixes are ordered only through their first `size` bytes, and only those that can have an equal elsewhere:
 
-* pass 0 settles long equal stretches at once: content-cut runs of suffixes whose whole windows are equal; only the first such run goes on;
-* pass 1 deals suffixes by their first digit, the least hash among the 16-byte strings in the window (so that neighbours share
-  it and it is sent once); suffixes alone in theirs are dropped;
-* pass 2 groups the rest by a 64-bit hash of the full depth; equal groups are exactly the repeated windows, and the first member's document stays.
+* each suffix belongs to the least hash among the 16-byte strings in its window, and neighbours share it; suffixes whose least string no other document has are alone and are dropped;
+* what is left goes to the part that owns its least string, as fragments of text: a run of neighbouring suffixes is one fragment, and a block sends equal fragments once;
+* a part deals its suffixes by a digit of their first and last eight bytes, then orders each bucket by most-significant-digit passes of eight bytes through the full depth. Groups that
+  are left are equal byte by byte: they are the repeated windows, and the member in the smallest document stays.
 
-Each pass is one exchange of digits between blocks of documents (blocks.py); texts move once.
+Hashes only choose what is compared and where; they miss no repeat and decide none. Texts move once, a hot window costs one fragment for each block.
 """
 
 from __future__ import annotations
@@ -18,23 +18,21 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import hashing as H
+from .radix import equal_groups
 
-_ANCHOR, _CUT = 16, H.U64(63)
+_ANCHOR = 16
 #: Bytes of text in a block: hashes take eight times as much.
 BLOCK_BYTES = 4 << 20
 
 
 class _Block:
-    """The suffixes of a block's documents: those with `size` bytes in their row."""
+    """The suffixes of a block's documents with `size` bytes in their row, as runs of neighbours that share their least string."""
 
-    def __init__(self, t: pa.Table, size: int, digits: bool = True, keys: bool = True):
-        """Arrays run along the bytes; only those that a pass needs are kept (first digits, full depth)."""
-        self.t = B.in_order(t)
+    def __init__(self, t: pa.Table, size: int, bits: int):
+        self.t, self.size = B.in_order(t), size
         self.data, self.off = H.buffers(self.t["text"])
-        n = len(self.data)
-        self.rank, self.whole, self.chunk = B.ranks(self.t), np.zeros(n, bool), np.zeros(n, np.int32)
-        self.least, self.key = np.zeros(n if digits else 0, H.U64), np.zeros(n if keys else 0, H.U64)
-        digest, first, chunks = [], [], 0
+        self.rank = B.ranks(self.t)
+        start, count, least, doc = [], [], [], []
         for lo, hi in H.batches(self.off):
             base = int(self.off[lo])
             data = self.data[base : self.off[hi]]
@@ -45,56 +43,38 @@ class _Block:
             pos = np.flatnonzero(np.arange(len(owner)) + size <= ends[1:][owner])
             if not len(pos):
                 continue
-            deep, anchor = H.byte_windows(data, size, _ANCHOR)
-            o = owner[pos]
-            new = (anchor[pos] & _CUT) == 0
-            new[0] = True
-            new[1:] |= o[1:] != o[:-1]
+            anchor = H.byte_windows(data, _ANCHOR)[0]
+            low, o = H.sliding_min(anchor, size - _ANCHOR + 1)[pos], owner[pos]
+            new = np.ones(len(pos), bool)  # a suffix that begins with the least string is the last that holds it there
+            new[1:] = (low[1:] != low[:-1]) | (o[1:] != o[:-1]) | (anchor[pos[:-1]] == low[:-1])
             heads = np.flatnonzero(new)
-            number = np.cumsum(new) - 1
-            order = ((pos - pos[heads][number]).astype(H.U64) << H.U64(1)) | H.U64(1)
-            digest.append(H.mix(np.add.reduceat(deep[pos] * order, heads)))
-            first.append(self.rank[lo + o[heads]])
-            self.whole[base + pos] = True
-            self.chunk[base + pos] = number + chunks
-            if digits:
-                self.least[base : base + len(owner)] = H.sliding_min(anchor, size - _ANCHOR + 1)
-            if keys:
-                self.key[base : base + len(owner)] = deep
-            chunks += len(heads)
+            start.append(base + pos[heads])
+            count.append(np.diff(np.append(heads, len(pos))))
+            least.append(low[heads] >> H.U64(64 - bits))
+            doc.append(self.rank[lo + o[heads]])
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.digest, self.run_doc = cat(digest, H.U64), cat(first, np.int64)
+        self.start, self.count, self.least, self.doc = cat(start, np.int64), cat(count, np.int64), cat(least, H.U64), cat(doc, np.int64)
 
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        return self.rank[np.searchsorted(self.off, at, "right") - 1]
-
-    def runs(self) -> np.ndarray:
-        """Distinct digests of runs; notes for each run which it has and whether a smaller document here has it."""
-        keys, one, back = np.unique(self.digest, return_index=True, return_inverse=True)
-        self.run_key, self.run_before = back, self.run_doc[one][back] < self.run_doc
+    def digits(self) -> np.ndarray:
+        """Distinct least strings; notes which several documents here have, and each run's own."""
+        keys, one, self.which = np.unique(self.least, return_index=True, return_inverse=True)
+        self.several = np.zeros(len(keys), bool)
+        self.several[self.which[self.doc != self.doc[one][self.which]]] = True
         return keys
 
-    def settle(self, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which bytes begin suffixes that pass 0 settles, as their windows start in a smaller document; where the others begin."""
-        keys = self.runs()
-        known = B.told(replies, 0, keys, 64, parts)[1][self.run_key] | self.run_before
-        gone = self.whole & known[self.chunk] if len(known) else self.whole
-        return gone, np.flatnonzero(self.whole & ~gone)
-
-    def digits(self, open_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the open suffixes: distinct first digits, whether several documents here have them, and each run of equal digits' own."""
-        least, doc = self.least[open_] >> H.U64(64 - bits), self.doc(open_)
-        new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        keys, one, back = np.unique(least[new], return_index=True, return_inverse=True)
-        several = np.zeros(len(keys), bool)
-        d = doc[new]
-        several[back[d != d[one][back]]] = True
-        return keys, several, back, np.cumsum(new) - 1
-
-    def shared(self, replies: pa.Table, open_: np.ndarray, bits: int, parts: int) -> np.ndarray:
-        keys, several, back, run = self.digits(open_, bits)
-        return open_[(B.told(replies, 1, keys, bits, parts)[0] | several)[back][run]] if len(open_) else open_
+    def fragments(self, replies: pa.Table, bits: int, parts: int) -> None:
+        """Of the runs that may have an equal: the distinct fragment of each; of each fragment its text, part and first document here. Fragments are ordered by part."""
+        keys = self.digits()
+        self.open = np.flatnonzero((B.told(replies, 1, keys, bits, parts)[0] | self.several)[self.which]) if len(keys) else np.zeros(0, np.int64)
+        raw, number, more = self.data.tobytes(), {}, self.size - 1
+        own = np.array([number.setdefault(raw[a : a + n + more], len(number)) for a, n in zip(self.start[self.open].tolist(), self.count[self.open].tolist(), strict=True)], np.int64)
+        first = np.unique(own, return_index=True)[1]
+        part = B.part_of(self.least[self.open][first], bits, parts)
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        texts = list(number)
+        self.own, self.texts, self.part, self.first = back[own], [texts[k] for k in order.tolist()], part[order], self.doc[self.open][first][order]
 
 
 def dedup_suffixes(docs: DataFrame, size: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -106,26 +86,34 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, block_bytes: int = BLOCK_BYT
     texts, all_ = B.blocked(docs.select("doc_id", "text"), block_bytes)
     bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
 
-    def zero(block: int, t: pa.Table) -> pa.Table:
-        return B.ask(block, 0, _Block(t, size, digits=False, keys=False).runs(), 64, parts)
-
-    def first(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(t, size, keys=False)
-        return B.ask(block, 1, b.digits(b.settle(replies, parts)[1], bits)[0], bits, parts)
+    def first(block: int, t: pa.Table) -> pa.Table:
+        return B.ask(block, 1, _Block(t, size, bits).digits(), bits, parts)
 
     def second(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(t, size)
-        left = b.shared(replies, b.settle(replies, parts)[1], bits, parts)
-        return B.ask(block, 2, np.unique(b.key[left]), 64, parts)
+        b = _Block(t, size, bits)
+        b.fragments(replies, bits, parts)
+        used, begin = np.unique(b.part, return_index=True)
+        blobs = []
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(b.part)][: len(used)], strict=True):
+            lengths = np.fromiter(map(len, b.texts[lo:hi]), np.uint16, hi - lo)
+            blobs.append(B.zipped(np.uint32(hi - lo).tobytes() + lengths.tobytes() + b.first[lo:hi].astype(np.uint32).tobytes() + b"".join(b.texts[lo:hi])))
+        return B.rows_for(block, 2, used.tolist(), blobs)
 
     def cut(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(t, size)
-        gone, left = b.settle(replies, parts)
-        left = b.shared(replies, left, bits, parts)
-        keys, one, back = np.unique(b.key[left], return_index=True, return_inverse=True)
-        doc = b.doc(left)
-        gone[left[B.told(replies, 2, keys, 64, parts)[1][back] | (doc[one][back] < doc)]] = True
-        b.least = b.key = b.chunk = None
+        b = _Block(t, size, bits)
+        b.fragments(replies, bits, parts)
+        windows = np.fromiter(map(len, b.texts), np.int64, len(b.texts)) - (size - 1)
+        begin = np.concatenate([[0], np.cumsum(windows)])
+        edge = np.concatenate([[0], np.cumsum(np.bincount(b.part, windows, parts).astype(np.int64))])
+        earlier = np.zeros(begin[-1], bool)
+        for p, a, _ in B.rows_of(replies, 2):
+            earlier[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(a, np.uint8), count=int(edge[p + 1] - edge[p]))
+        # of each open run's suffixes: a smaller document has them, be it in another block or here
+        n = b.count[b.open]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        again = np.repeat(b.doc[b.open] > b.first[b.own], n) if len(n) else np.zeros(0, bool)
+        gone = np.zeros(len(b.data), bool)
+        gone[np.repeat(b.start[b.open], n) + within] = again | earlier[np.repeat(begin[b.own], n) + within]
         cover = np.zeros(len(b.data) + 1, np.int32)
         cover[:-1] += gone
         cover[size:] -= gone[: max(0, len(gone) - size + 1)]
@@ -142,7 +130,36 @@ def dedup_suffixes(docs: DataFrame, size: int = 50, block_bytes: int = BLOCK_BYT
         kept = [rest[x:y] for x, y in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
         return pa.table({"doc_id": b.t["doc_id"], "n_bytes": np.diff(b.off), "n_removed": np.diff(before[b.off]), "n_spans": np.diff(spans[b.off]), "kept": pa.array(kept, pa.binary())})
 
-    none = B.answers(B.first_ask(texts, zero))
-    one = B.answers(B.with_answers(texts, none, first))
-    two = B.answers(B.with_answers(texts, none.unionAll(one), second))
-    return B.with_answers(texts, none.unionAll(one).unionAll(two), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    one = B.answers(B.first_ask(texts, first))
+    two = B.answers(B.with_answers(texts, one, second), lambda t: _repeated(t, size))
+    return B.with_answers(texts, one.unionAll(two), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _repeated(asked: pa.Table, size: int) -> pa.Table:
+    """The answers of a part: a bit for each suffix of each block's fragments, is there an equal one in a smaller document."""
+    asked = asked.sort_by("block")
+    data, lengths, place = [], [], []
+    for block, x in zip(asked["block"].to_pylist(), asked["asked"], strict=True):
+        raw = B.unzipped(x.as_buffer().to_pybytes())
+        n = int(np.frombuffer(raw, np.uint32, 1)[0])
+        lengths.append(np.frombuffer(raw, np.uint16, n, 4).astype(np.int64))
+        place.append((block << 32) + np.frombuffer(raw, np.uint32, n, 4 + 2 * n).astype(np.int64))
+        data.append(raw[4 + 6 * n :])
+    sizes = [int((x - size + 1).sum()) for x in lengths]
+    n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+    place, windows = np.concatenate(place) if place else n, n - size + 1
+    eights = H.eights(np.frombuffer(b"".join(data) + bytes(8), np.uint8)) if len(n) else np.zeros(0, H.U64)
+    del data
+    many = windows.sum()
+    at = np.repeat(np.cumsum(n) - n, windows) + np.arange(many) - np.repeat(np.cumsum(windows) - windows, windows)
+    bucket = H.mix(eights[at] * H.U64(0x9E3779B97F4A7C15) + eights[at + size - 8]) if many else eights
+    steps = [min(k, size - 8) for k in range(0, size, 8)]
+    members, group = equal_groups(bucket, lambda k, of: eights[at[of] + steps[k]].byteswap(), len(steps))
+    earlier = np.zeros(many, bool)
+    if len(members):
+        mine = np.repeat(place, windows)[members]
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        earlier[members] = np.minimum.reduceat(mine, heads)[group] < mine
+    edge = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+    out = [np.packbits(earlier[a:b]).tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+    return asked.set_column(3, "asked", pa.array(out, pa.binary())).set_column(4, "more", pa.array([b""] * len(out), pa.binary()))
