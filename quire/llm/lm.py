@@ -1,24 +1,27 @@
-"""LM scoring by interpolated word pairs, in place of a weighted backoff automaton (operator 5).
-
-Words and word pairs are counted over all training documents by the exchange in blocks.py: a block sends its distinct hashes
-with counts, and the part that owns a hash answers with the corpus count. A second round counts in how many kinds
-of pairs each word comes first. From the answers a block builds sorted arrays of pair probabilities and,
-for each known word, the weight held back (absolute discounting, with discounts from the numbers of words and pairs seen once and twice), and
-looks up all pairs at once: the pair's part plus the weight held back times the word's, summed as log10. Order 2 is the highest.
-All unseen words are one class, as in the base score, and share the weight held back at the root.
+"""LM scoring by a weighted backoff automaton (operator 5).
+
+Words, word pairs and triples are counted over all training documents by the exchange in blocks.py: a block sends its distinct hashes
+with counts, and the part that owns a hash answers with the corpus count. Triples are counted where both of their pairs were seen LEAST times or more; others aren't part of the model.
+
+From the answers a block compiles the part of the automaton that its documents can reach. States are the root, known words, and pairs that begin counted triples; an arc leads from a state by a word to the longest
+known end of what was read, with the smoothed log-probability; a failure arc leads to the state without its first word, with the weight held back. Documents are traversed from left to right, many
+at a time, each carrying its state: a word without an arc adds the weight of the failure arc and is tried again from there. Smoothing is by absolute discounting of words and pairs (discounts from the
+numbers of those seen once and twice) and, for triples, interpolation that holds back HELD * n ** -FADE after a pair that begins n of them. All unseen words are one class, as in the base score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
 
+HELD, FADE, LEAST = 0.85, 0.1, 2
+#: Tokens that one lane of the traversal reads; a later stretch of a text is begun two tokens earlier, after which it is in the state that the text's own traversal is in.
+STRETCH = 512
 _END = H.U64(0x5851F42D4C957F2D)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -26,27 +29,35 @@ _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in the narrowest of four widths."""
+    """Counts in the narrowest of four widths, compressed."""
     top = int(x.max()) if len(x) else 0
     code = next(k for k, most in enumerate((1 << 8, 1 << 16, 1 << 32, 1 << 64)) if top < most)
-    return bytes([code]) + x.astype((np.uint8, np.uint16, np.uint32, np.uint64)[code]).tobytes()
+    return B.zipped(bytes([code]) + x.astype((np.uint8, np.uint16, np.uint32, np.uint64)[code]).tobytes())
 
 
 def _large(blob: bytes) -> np.ndarray:
+    blob = B.unzipped(blob)
     return np.frombuffer(blob, (np.uint8, np.uint16, np.uint32, np.uint64)[blob[0]], offset=1).astype(np.int64)
 
 
 def _totals(asked: pa.Table) -> pa.Table:
-    """For each pass in a part: the corpus counts of each block's keys, whether the block is the first to have counted them, and the part's totals."""
-    return pa.concat_tables([_total(asked.filter(pc.equal(asked["pass"], p))) for p in asked["pass"].unique().to_pylist()])
+    """For each pass in a part: the corpus counts of each block's keys and whether the block is the first to have counted them; pass 1 (words) also has this part's totals of words and pairs."""
+    asked = asked.sort_by("block")
+    step = asked["pass"].to_numpy()
+    out, totals = [], {}
+    for p in np.unique(step).tolist():
+        rows, totals[p] = _total(asked.filter(pa.array(step == p)))
+        out.append(rows)
+    head = b"".join(totals.get(p, np.zeros(4, np.int64)).tobytes() for p in (1, 2))
+    return pa.concat_tables([t.set_column(4, "more", pa.array([head] * t.num_rows, pa.binary())) if t["pass"][0].as_py() == 1 else t for t in out])
 
 
-def _total(asked: pa.Table) -> pa.Table:
-    asked = asked.sort_by("block")
+def _total(asked: pa.Table) -> tuple[pa.Table, np.ndarray]:
     got = [B.unpack(x.as_buffer().to_pybytes()) for x in asked["asked"]]
     counts = [_large(x.as_buffer().to_pybytes()) for x in asked["more"]]
     at = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(int)
     keys, n = np.concatenate(got), np.concatenate(counts)
+    del got, counts
     order = np.argsort(keys, kind="stable")
     s, c = keys[order], n[order]
     head = np.ones(len(s), bool)
@@ -58,47 +69,129 @@ def _total(asked: pa.Table) -> pa.Table:
     counted = order[c > 0]
     if len(counted):
         first[counted[np.concatenate([[True], keys[counted][1:] != keys[counted][:-1]])]] = True
-    stats = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64).tobytes()
-    return asked.set_column(3, "asked", pa.array([_small(sums[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())).set_column(
-        4, "more", pa.array([stats + np.packbits(first[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+    stats = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
+    out = asked.set_column(3, "asked", pa.array([_small(sums[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+    return out.set_column(4, "more", pa.array([np.packbits(first[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())), stats
 
 
-def _read(replies: pa.Table, step: int, keys: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Corpus counts, first-counted flags, and the sum of all parts' totals."""
+def _asked(block: int, step: int, keys: np.ndarray, n: np.ndarray, bits: int, parts: int) -> pa.Table:
+    """Rows that ask about sorted distinct keys with their counts here; about words, every part is asked, for its totals."""
     cut = B.split(keys, bits, parts)
-    sums, first, stats = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(4, np.int64)
-    for p, a, b in B.rows_of(replies, step):
+    to = [p for p in range(parts) if cut[p + 1] > cut[p] or step == 1]
+    return B.rows_for(block, step, to, [B.pack(keys[cut[p] : cut[p + 1]]) for p in to], [_small(n[cut[p] : cut[p + 1]]) for p in to])
+
+
+def _counts(replies: pa.Table, step: int, keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    cut, sums = B.split(keys, bits, parts), np.zeros(len(keys), np.int64)
+    for p, a, _ in B.rows_of(replies, step):
         sums[cut[p] : cut[p + 1]] = _large(a)
-        stats += np.frombuffer(b, np.int64, 4)
-        first[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(b, np.uint8, offset=32), count=int(cut[p + 1] - cut[p]))
-    return sums, first, stats
+    return sums
+
+
+def _first(replies: pa.Table, step: int, keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    cut, first = B.split(keys, bits, parts), np.zeros(len(keys), bool)
+    for p, _, b in B.rows_of(replies, step):
+        first[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=int(cut[p + 1] - cut[p]))
+    return first
+
+
+def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, the sum of its weights, and which of them each key is."""
+    order = np.argsort(keys)
+    s = keys[order]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    heads, which = np.flatnonzero(head), np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return s[heads], order[heads], np.add.reduceat(weights[order].astype(np.int64), heads) if len(heads) else heads, which
 
 
 class _Block:
+    """The tokens of a block's documents, and its distinct words, pairs and triples with their counts here."""
+
     def __init__(self, t: pa.Table, bits: int):
-        self.t = t
+        self.t, self.bits = t, bits
         data, off = H.buffers(t["text"])
         data = _LOWER[data]
         starts, ends, first = H.words(data, off)
         rows = len(off) - 1
-        self.begin = first[:-1] + np.arange(rows)
-        end = first[1:] + np.arange(rows)
+        self.begin, self.end = first[:-1] + np.arange(rows), first[1:] + np.arange(rows)
         self.token = np.empty(len(starts) + rows, H.U64)
         is_end = np.zeros(len(self.token), bool)
-        is_end[end] = True
+        is_end[self.end] = True
         self.token[~is_end] = H.word_hashes(data, starts, ends)
-        self.token[end] = _END
+        self.token[self.end] = _END
         self.held = t["held_out"].to_numpy(zero_copy_only=False).astype(bool) if rows else np.zeros(0, bool)
-        train = np.repeat(~self.held, np.diff(first) + 1)
-        self.word, self.which = np.unique(self.token, return_inverse=True)
-        self.counts = np.bincount(self.which, train, len(self.word)).astype(np.int64)
-        later = np.ones(len(self.token), bool)
-        later[self.begin] = False
-        self.second = np.flatnonzero(later)
-        pairs = H.pair(self.token[self.second - 1], self.token[self.second]) >> H.U64(64 - bits)
-        self.pair, one, self.pair_of = np.unique(pairs, return_index=True, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair_of, train[self.second], len(self.pair)).astype(np.int64)
-        self.before = self.which[self.second[one] - 1] if len(one) else np.zeros(0, np.int64)
+        self.train = np.repeat(~self.held, np.diff(first) + 1)
+        self.place = np.arange(len(self.token)) - np.repeat(self.begin, np.diff(first) + 1)
+        shift = H.U64(64 - bits)
+        self.word, _, self.counts, self.which = _distinct(self.token >> shift, self.train)
+        self.second = np.flatnonzero(self.place >= 1)
+        self.pair_hash = H.pair(self.token[self.second - 1], self.token[self.second])
+        self.pair, one, self.pair_counts, pair_of = _distinct(self.pair_hash >> shift, self.train[self.second])
+        self.before, self.after = self.which[self.second[one] - 1], self.which[self.second[one]]
+        self.pair_of = np.full(len(self.token), -1)
+        self.pair_of[self.second] = pair_of
+
+    def triples(self, pairs: np.ndarray) -> None:
+        """Distinct triples of pairs whose corpus counts are LEAST or more: their counts here, their two pairs and last word; of each such pair, how many triples here it begins."""
+        hashes = np.zeros(len(self.token), H.U64)
+        hashes[self.second] = self.pair_hash
+        third = np.flatnonzero(self.place >= 2)
+        third = third[np.minimum(pairs[self.pair_of[third - 1]], pairs[self.pair_of[third]]) >= LEAST]
+        keys = H.pair(hashes[third - 1], self.token[third], 1) >> H.U64(64 - self.bits)
+        self.triple, one, self.triple_counts, _ = _distinct(keys, self.train[third])
+        self.one, self.two, self.third = self.pair_of[third[one] - 1], self.pair_of[third[one]], self.which[third[one]]
+        self.deep = np.flatnonzero(pairs >= LEAST)
+        self.begun = np.bincount(self.pair_of[third - 1], self.train[third], len(pairs)).astype(np.int64)[self.deep]
+
+
+class Automaton:
+    """States 0 (the root), words and pairs; arcs sorted by state and word; failure arcs."""
+
+    def __init__(self, source: np.ndarray, word: np.ndarray, log: np.ndarray, to: np.ndarray, fail_log: np.ndarray, fail_to: np.ndarray, root_log: np.ndarray, root_to: np.ndarray):
+        key = source * len(root_log) + word
+        order = np.argsort(key)
+        self.key, self.log, self.to = np.append(key[order], -1), log[order], to[order]
+        self.fail_log, self.fail_to, self.root_log, self.root_to = fail_log, fail_to, root_log, root_to
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probability of each word in its state, and the state after it."""
+        log, new = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left, s = np.arange(len(state)), state
+        while len(left):
+            w = word[left]
+            root = s == 0
+            if root.any():
+                log[left[root]] += self.root_log[w[root]]
+                new[left[root]] = self.root_to[w[root]]
+                left, s, w = left[~root], s[~root], w[~root]
+            key = s * len(self.root_log) + w
+            arc = np.searchsorted(self.key[:-1], key)
+            hit = self.key[arc] == key
+            log[left[hit]] += self.log[arc[hit]]
+            new[left[hit]] = self.to[arc[hit]]
+            left, s = left[~hit], s[~hit]
+            log[left] += self.fail_log[s]
+            s = self.fail_to[s]
+        return log, new
+
+    def traverse(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The log-probability of each word of the texts that begin and end there."""
+        many = -(-(end - begin) // STRETCH)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        a = np.repeat(begin, many) + nth * STRETCH
+        z = np.minimum(a + STRETCH, np.repeat(end, many))
+        early = np.where(nth > 0, 2, 0)
+        order = np.argsort(-(z - a + early), kind="stable")
+        a, z, early = a[order] - early[order], z[order], early[order]
+        lengths, state, out = z - a, np.zeros(len(a), np.int64), np.zeros(len(words))
+        for t in range(int(lengths.max(initial=0))):
+            n = int(np.searchsorted(-lengths, -t))
+            log, state = self.step(state[:n], words[a[:n] + t])
+            counts = early[:n] <= t
+            out[a[:n][counts] + t] = log[counts]
+        return out
 
 
 def score_lm(docs: DataFrame, holdout: int = 10, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -110,44 +203,54 @@ def score_lm(docs: DataFrame, holdout: int = 10, block_bytes: int = B.BLOCK_BYTE
     """
     flagged = docs.select("doc_id", "text", (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % holdout == 0).alias("held_out"))
     texts, all_ = B.blocked(flagged, block_bytes)
-    bits, parts = B.bits_for(all_["bytes"]), all_["parts"]
-
-    def packed(block: int, step: int, keys: np.ndarray, width: int, n: np.ndarray) -> pa.Table:
-        t, cut = B.ask(block, step, keys, width, parts, n), B.split(keys, width, parts)
-        return t.set_column(4, "more", pa.array([_small(n[cut[p] : cut[p + 1]]) for p in t["part"].to_pylist()], pa.binary()))
+    bits, parts = B.bits_for(all_["bytes"], 31), all_["parts"]
 
     def count(block: int, t: pa.Table) -> pa.Table:
         b = _Block(t, bits)
-        return pa.concat_tables([packed(block, 1, b.word, 64, b.counts), packed(block, 2, b.pair, bits, b.pair_counts)])
+        return pa.concat_tables([_asked(block, 1, b.word, b.counts, bits, parts), _asked(block, 2, b.pair, b.pair_counts, bits, parts)])
 
-    def kinds(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
+    def more(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, bits)
-        first = _read(replies, 2, b.pair, bits, parts)[1]
-        return packed(block, 3, b.word, 64, np.bincount(b.before[first], minlength=len(b.word)))
+        followers = np.bincount(b.before[_first(replies, 2, b.pair, bits, parts)], minlength=len(b.word))
+        b.triples(_counts(replies, 2, b.pair, bits, parts))
+        return pa.concat_tables([_asked(block, 3, b.triple, b.triple_counts, bits, parts), _asked(block, 4, b.word, followers, bits, parts), _asked(block, 5, b.pair[b.deep], b.begun, bits, parts)])
 
     def score(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, bits)
-        c, _, (n, v, n1, n2) = _read(replies, 1, b.word, 64, parts)
-        pairs, _, (_, _, p1, p2) = _read(replies, 2, b.pair, bits, parts)
-        followers = _read(replies, 3, b.word, 64, parts)[0]
-        d1, d2 = (min(0.9, max(0.1, a / (a + 2 * z))) if a + z else 0.5 for a, z in ((n1, n2), (p1, p2)))
+        totals = sum((np.frombuffer(x, np.int64) for _, _, x in B.rows_of(replies, 1)), np.zeros(8, np.int64))
+        (n, v, n1, n2), (_, _, p1, p2) = totals[:4].tolist(), totals[4:].tolist()
+        c, pairs = _counts(replies, 1, b.word, bits, parts), _counts(replies, 2, b.pair, bits, parts)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        root = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(len(c))  # arcs of the root, and its one for all unseen words
-        fail = d2 * followers / np.maximum(c, 1)  # the failure arc of each word's state
-        state = np.full(len(b.token), -1)  # the root; else the state of the word before, if training has it
-        before = b.which[b.second - 1]
-        state[b.second] = np.where(c[before] > 0, before, -1)
-        p = root[b.which]
-        deep = state[b.second] >= 0
-        at, s = b.second[deep], before[deep]
-        seen = pairs[b.pair_of[deep]]
-        p[at] = np.where(seen > 0, (seen - d2) / np.maximum(c[s], 1), 0) + fail[s] * p[at]
+        b.triples(pairs)
+        triples, begun = _counts(replies, 3, b.triple, bits, parts), np.zeros(len(pairs), np.int64)
+        begun[b.deep] = _counts(replies, 5, b.pair[b.deep], bits, parts)
+        log = _automaton(b, c, pairs, triples, begun, _counts(replies, 4, b.word, bits, parts), n, v, _discount(n1, n2), _discount(p1, p2)).traverse(b.which, b.begin, b.end + 1)
         add = lambda x: np.add.reduceat(x, b.begin) if len(b.begin) else x[:0]
         return pa.table({
             "doc_id": b.t["doc_id"], "held_out": pa.array(b.held), "n_tokens": np.diff(np.append(b.begin, len(b.token))), "n_known": add((c > 0)[b.which].astype(np.int64)),
-            "train_tokens": np.full(len(b.begin), n, np.int64), "base_score": add(base[b.which]), "score": add(np.log10(p)),
+            "train_tokens": np.full(len(b.begin), n, np.int64), "base_score": add(base[b.which]), "score": add(log),
         })
 
     counted = B.answers(B.first_ask(texts, count), _totals)
-    contexts = B.answers(B.with_answers(texts, counted, kinds), _totals)
-    return B.with_answers(texts, counted.unionAll(contexts), score, _SCHEMA)
+    further = B.answers(B.with_answers(texts, counted, more), _totals)
+    return B.with_answers(texts, counted.unionAll(further), score, _SCHEMA)
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+def _automaton(b: _Block, c: np.ndarray, pairs: np.ndarray, triples: np.ndarray, begun: np.ndarray, followers: np.ndarray, n: int, v: int, d1: float, d2: float) -> Automaton:
+    words = len(b.word)
+    root = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(len(c))  # arcs of the root, and its one for all unseen words
+    fail = d2 * followers / np.maximum(c, 1)
+    by_pair = np.where(pairs > 0, (pairs - d2) / np.maximum(c[b.before], 1), 0) + fail[b.before] * root[b.after]
+    held = np.where(begun > 0, HELD * np.maximum(begun, 1).astype(float) ** -FADE, 1)
+    two, three = np.flatnonzero(pairs > 0), np.flatnonzero(triples > 0)
+    first, deep = b.one[three], begun[two] > 0
+    by_triple = (1 - held[first]) * triples[three] / begun[first] + held[first] * by_pair[b.two[three]]
+    fail_log = np.log10(np.concatenate([[1.0], np.where(followers > 0, fail, 1), held]))
+    return Automaton(
+        np.concatenate([1 + b.before[two], 1 + words + first]), np.concatenate([b.after[two], b.third[three]]), np.log10(np.concatenate([by_pair[two], by_triple])),
+        np.concatenate([np.where(deep, 1 + words + two, 1 + b.after[two]), 1 + words + b.two[three]]), fail_log, np.concatenate([[0], np.zeros(words, np.int64), 1 + b.after]), np.log10(root), np.where(c > 0, 1 + np.arange(words), 0),
+    )
