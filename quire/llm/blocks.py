@@ -38,7 +38,7 @@ def blocked(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, d
         F.percentile_approx("doc_id", [k / _CUTS**2 for k in range(1, _CUTS**2)], 20000).alias("cuts"),
     ).first()
     n = max(1, math.ceil((row["bytes"] + 64 * (row["rows"] or 0)) / block_bytes))
-    all_ = {"blocks": n, "parts": max(1, n // 4), "bytes": row["bytes"], "rows": row["rows"] or 0}
+    all_ = {"blocks": n, "parts": max(1, n // 2), "bytes": row["bytes"], "rows": row["rows"] or 0}
     if n == 1 or row["lo"] is None:
         return _zipped(df.withColumn("block", F.lit(0))), {**all_, "blocks": 1, "parts": 1}
     step = max(1, math.ceil(_CUTS**2 / n))

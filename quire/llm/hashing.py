@@ -128,6 +128,11 @@ def byte_windows(data: np.ndarray, size: int, anchor: int = 0) -> tuple[np.ndarr
     return out, short
 
 
+def eight_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each of these places as one integer that sorts as they do; eight bytes must follow the last."""
+    return np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1))[at].view(">u8").ravel().astype(U64)
+
+
 def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position, as one integer."""
     return np.lib.stride_tricks.as_strided(np.frombuffer(data.tobytes(), np.uint8)[: len(data)], (len(data) - 7, 8), (1, 1)).copy().view("<u8").ravel()

@@ -166,11 +166,11 @@ def confirmed(asked: pa.Table, size: int) -> pa.Table:
     fragment = np.repeat(np.arange(len(windows)), windows)
     word = np.repeat(first[:-1], windows) + np.arange(len(fragment)) - begin[fragment]
     at, length = starts[word], ends[word + size - 1] - starts[word]
-    eights = H.eights(np.append(data, np.zeros(8, np.uint8)))
+    padded = np.append(data, np.zeros(8, np.uint8))
 
     def digit(k: int, of: np.ndarray) -> np.ndarray:
         left = length[of] - 8 * k
-        d = eights[np.where(left > 0, at[of] + 8 * k, 0)].byteswap()
+        d = H.eight_at(padded, np.where(left > 0, at[of] + 8 * k, 0))
         return np.where(left >= 8, d, d & ~(H.U64(0xFFFFFFFFFFFFFFFF) >> (8 * left.clip(0, 7)).astype(H.U64)))
 
     bucket = H.runs_of(H.word_hashes(data, starts, ends), size)[word] + length.astype(H.U64)

@@ -148,13 +148,13 @@ def _repeated(asked: pa.Table, size: int) -> pa.Table:
     sizes = [int((x - size + 1).sum()) for x in lengths]
     n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     place, windows = np.concatenate(place) if place else n, n - size + 1
-    eights = H.eights(np.frombuffer(b"".join(data) + bytes(8), np.uint8)) if len(n) else np.zeros(0, H.U64)
+    text = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
     del data
     many = windows.sum()
     at = np.repeat(np.cumsum(n) - n, windows) + np.arange(many) - np.repeat(np.cumsum(windows) - windows, windows)
-    bucket = H.mix(eights[at] * H.U64(0x9E3779B97F4A7C15) + eights[at + size - 8]) if many else eights
+    bucket = H.mix(H.eight_at(text, at) * H.U64(0x9E3779B97F4A7C15) + H.eight_at(text, at + size - 8)) if many else np.zeros(0, H.U64)
     steps = [min(k, size - 8) for k in range(0, size, 8)]
-    members, group = equal_groups(bucket, lambda k, of: eights[at[of] + steps[k]].byteswap(), len(steps))
+    members, group = equal_groups(bucket, lambda k, of: H.eight_at(text, at[of] + steps[k]), len(steps))
     earlier = np.zeros(many, bool)
     if len(members):
         mine = np.repeat(place, windows)[members]
