@@ -26,7 +26,7 @@ WIDTH, RADIUS, FRONT, DEALS = 5, 72, 12, 2
 NEAR = (4, 5)
 _SALTS = mix(np.arange(1, 5, dtype=U64))
 _BANDS = [band for deal in range(DEALS) for band in np.random.RandomState(deal).permutation(256)[: 256 // FRONT * FRONT].reshape(-1, FRONT)]
-_FP, _FEW, _ROWS = ("f0", "f1", "f2", "f3"), 16, 1 << 14
+_FP, _ROWS = ("f0", "f1", "f2", "f3"), 1 << 14
 
 
 def shingle_sets(column, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -118,59 +118,18 @@ def _matrix(x) -> np.ndarray:
     return np.stack([np.asarray(x.column(k)).view(U64) for k in _FP], axis=1) if x.num_rows else np.zeros((0, 4), U64)
 
 
-def _far(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(-1, dtype=np.int64)
-
-
 def _tied(rows: pa.Table) -> pa.RecordBatch:
-    top, nodes, x = rows["top"].to_numpy(), rows["node"].to_numpy(), _matrix(rows)
+    top, x = rows["top"].to_numpy(), _matrix(rows)
+    order = np.lexsort((gray_rank(x[:, 0]), top))
+    top, nodes, x = top[order], rows["node"].to_numpy()[order], x[order]
     heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(top)), bool), top[1:] != top[:-1]]))
-    sizes = np.diff(np.append(heads, len(top)))
-    size, up = np.repeat(sizes, sizes), np.arange(len(top))
-    for lag in range(1, min(_FEW, int(sizes.max(initial=1)))):
-        i = np.flatnonzero((top[lag:] == top[:-lag]) & (size[lag:] <= _FEW))
-        for p in i[_far(x[i] ^ x[i + lag]) <= RADIUS].tolist():
-            _join(up, p, p + lag)
-    for k in np.flatnonzero(sizes > _FEW):
-        i = heads[k] + np.argsort(gray_rank(x[heads[k] : heads[k] + sizes[k], 0]))
-        for p, q in zip(*(z.tolist() for z in Wide(x[i], RADIUS).links()), strict=True):
-            _join(up, int(i[p]), int(i[q]))
-    while (up != up[up]).any():
-        up = up[up]
+    up = Tree(x, RADIUS, heads).labels()
     least = np.full(len(top), np.iinfo(np.int64).max)
     np.minimum.at(least, up, nodes)
     a = np.flatnonzero(least[up] != nodes)
     return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(least[up][a])], ["a", "b"])
 
 
-def _join(up: np.ndarray, p: int, q: int) -> None:
-    for k in (p, q):
-        while up[k] != up[up[k]]:
-            up[k] = up[up[k]]
-    r, s = up[p], up[q]
-    up[max(r, s)] = min(r, s)
-
-
-class Wide(Tree):
-    """The tree over fingerprints of several words."""
-
-    def apart(self, level: int, i: int, j: int) -> bool:
-        _, _, all_, any_ = self.levels[level]
-        return int(_far((all_[i] ^ all_[j]) & ~(all_[i] ^ any_[i]) & ~(all_[j] ^ any_[j]))) > self.d
-
-    def leaves(self, i: int, j: int) -> None:
-        h, e, _, _ = self.levels[0]
-        a, b = np.nonzero(_far(self.x[h[i] : e[i], None] ^ self.x[None, h[j] : e[j]]) <= self.d)
-        a, b = a + h[i], b + h[j]
-        while True:
-            r, s = self.root(a), self.root(b)
-            a, b, r, s = (z[r != s] for z in (a, b, r, s))
-            if not len(a):
-                return
-            self.up[max(r[0], s[0])] = min(r[0], s[0])
-            self.found.append((int(a[0]), int(b[0])))
-
-
 def confirmed(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the least place of those that it reaches over pairs of similarity NEAR or more."""
     up = np.arange(len(sets))

@@ -1,15 +1,15 @@
 """SimHash near-dedup by a Gray-order hierarchical index (operator 10).
 
-Fingerprints that differ in at most d bits agree on all but d of d + 2 bands, so each distinct fingerprint enters one table for every
-pair of bands, with these two moved to the front. In a table, fingerprints are sorted by Gray rank; those with equal front bands form a top node, and below it runs of
-neighbours in Gray order share nodes that hold the bits common to all their members (mask and pattern). A join of two nodes is pruned as a
-whole when the shared bits alone differ in more than d places, or when all members are linked already. Links are joined into components.
+Fingerprints that differ in at most d bits agree on one of d + 1 bands. Each distinct fingerprint enters one table for each band, with that band moved to the front, and is dealt there by its
+leading bits into buckets of about BUCKET; a bucket over its bound is dealt once more, by bands of the bits that are left. In a bucket all fingerprints are sorted by Gray rank and neighbours are
+gathered into nodes, level by level. A node holds the bits that its members share (mask and pattern) without those that a node above holds already. A fingerprint descends from the top and adds up the
+differences that it meets; a node is pruned, with all below it, when they exceed d or when its members and the fingerprint are joined already. Links are joined into components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ from .common import checkpoints
 from .components import components
 from .hashing import U64
 
-_LEAF, _FAN, _FEW = 64, 8, 16
+_LEAF, _FAN, _CHUNK = 8, 8, 1 << 21
+#: Fingerprints in a bucket, about; above HOT times that it is dealt again.
+BUCKET, HOT = 1 << 14, 4
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -52,20 +54,20 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, fp long")
 
 
-def bands(d: int) -> list[tuple[int, int]]:
-    """First bits and widths of the d + 2 bands."""
-    n = d + 2
-    return [(64 * k // n, 64 * (k + 1) // n - 64 * k // n) for k in range(n)]
+def bands(d: int, bits: int = 64) -> list[tuple[int, int]]:
+    """First bits and widths of d + 1 bands of the low bits."""
+    n = d + 1
+    return [(bits * k // n, bits * (k + 1) // n - bits * k // n) for k in range(n)]
 
 
-def permuted(fp: np.ndarray, d: int, a: int, b: int) -> tuple[np.ndarray, int]:
-    """The fingerprints with bands a and b first, and how many bits these have."""
-    rest = [k for k in range(d + 2) if k not in (a, b)]
-    out = np.zeros(len(fp), U64)
-    for k in (a, b, *rest):
-        lo, width = bands(d)[k]
-        out = (out << U64(width)) | ((fp >> U64(lo)) & U64((1 << width) - 1))
-    return out, bands(d)[a][1] + bands(d)[b][1]
+def permuted(fp: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The fingerprints with a band moved to the front."""
+    if width == 64:
+        return fp
+    low = fp & U64((1 << first) - 1)
+    band = (fp >> U64(first)) & U64((1 << width) - 1)
+    high = (fp >> U64(first + width)) if first + width < 64 else U64(0) * fp
+    return (band << U64(64 - width)) | (high << U64(first)) | low
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -75,117 +77,136 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def links(fps: DataFrame, d: int = 2) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that join all of those at d or fewer differing bits; not all pairs of a dense group."""
-    tables = list(combinations(range(d + 2), 2))
+def _depth(n: int, width: int, bucket: int = BUCKET) -> int:
+    """So many leading bits part n fingerprints into buckets."""
+    return min(width, max(0, math.ceil(math.log2(max(1, n / bucket)))))
+
+
+def links(fps: DataFrame, n: int, d: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between the n distinct fingerprints (column fp) that join all of those at d or fewer differing bits; in a bucket each is tied to the least of those that it reaches."""
+    tables = bands(d)
+    depth = _depth(n, min(w for _, w in tables), bucket)
+    if not depth:
+        tables = tables[:1]  # all share the only bucket
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             fp = x.column("fp").to_numpy(zero_copy_only=False).view(U64)
-            for k, (a, b) in enumerate(tables):
-                p, front = permuted(fp, d, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((p >> U64(64 - front)).view(np.int64)), pa.array(gray_rank(p).view(np.int64)), x.column("fp")], ["tab", "front", "rank", "fp"])
+            for k, (first, width) in enumerate(tables):
+                front = permuted(fp, first, width) >> U64(64 - depth) if depth else np.zeros(len(fp), U64)
+                yield pa.RecordBatch.from_arrays([pa.array((front.astype(np.int64) << 8) + k), x.column("fp")], ["bucket", "fp"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "sub", "fp"]
         for x in batches:
-            cols = [x.column(k).to_numpy(zero_copy_only=False) for k in ("tab", "front", "fp")]
-            cols = [np.concatenate(z) for z in zip(rest, cols, strict=True)] if rest else cols
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            cut = int(new[-1]) if len(new) else 0
-            yield _links([z[:cut] for z in cols], d)
-            rest = [z[cut:] for z in cols]
-        if rest:
-            yield _links(rest, d)
-
-    dealt = fps.select("fp").mapInArrow(spread, "tab int, front long, rank long, fp long").repartition("tab", "front")
-    # signed order is Gray order but for the first bit, which all of a top node share
-    return dealt.sortWithinPartitions("tab", "front", "rank").mapInArrow(joined, "a long, b long")
-
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def _links(cols: list[np.ndarray], d: int) -> pa.RecordBatch:
-    tab, front, fp = cols
-    x = fp.view(U64)
-    new = np.ones(len(x), bool)
-    new[1:] = (tab[1:] != tab[:-1]) | (front[1:] != front[:-1])
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(x)))
-    group, size = np.cumsum(new) - 1, np.repeat(sizes, sizes)
-    out = []
-    for lag in range(1, min(_FEW, int(sizes.max(initial=1)))):
-        i = np.flatnonzero((group[lag:] == group[:-lag]) & (size[lag:] <= _FEW))
-        i = i[_bits(x[i] ^ x[i + lag]) <= d]
-        out.append((i, i + lag))
-    for k in np.flatnonzero(sizes > _FEW):
-        a, b = Tree(x[heads[k] : heads[k] + sizes[k]], d).links()
-        out.append((a + heads[k], b + heads[k]))
-    a, b = (np.concatenate(z) if out else np.zeros(0, np.int64) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+            size = x.column("size").fill_null(0).to_numpy()
+            cool = pa.array(size == 0)
+            yield pa.RecordBatch.from_arrays([x.column("bucket").filter(cool), pa.array(np.full(int((size == 0).sum()), -1)), x.column("fp").filter(cool)], names)
+            for many in np.unique(size[size > 0]).tolist():
+                hot = np.flatnonzero(size == many)
+                name = x.column("bucket").to_numpy()[hot]
+                fp = x.column("fp").to_numpy(zero_copy_only=False).view(U64)[hot]
+                for k, (first, width) in enumerate(tables):
+                    of = np.flatnonzero(name & 255 == k)
+                    rest = permuted(fp[of], first, width) << U64(depth)  # what the bucket's members don't share, moved up
+                    for j, (low, wide) in enumerate(bands(d, 64 - depth)):
+                        take = _depth(many, wide, bucket)
+                        part = (rest << U64(64 - depth - low - wide)) >> U64(64 - take) if take else np.zeros(len(of), U64)
+                        yield pa.RecordBatch.from_arrays([pa.array(name[of]), pa.array((part.astype(np.int64) << 8) + j), pa.array(fp[of].view(np.int64))], names)
+
+    def joined(t: pa.Table) -> pa.Table:
+        k = int(t["bucket"][0].as_py()) & 255
+        fp = t["fp"].to_numpy().view(U64)
+        x = fp[np.argsort(gray_rank(permuted(fp, *tables[k])))]
+        least = Tree(x[:, None], d).labels()
+        tied = np.flatnonzero(least != np.arange(len(x)))
+        return pa.table({"a": x[tied].view(np.int64), "b": x[least[tied]].view(np.int64)})
+
+    dealt = fps.select("fp").mapInArrow(spread, "bucket long, fp long")
+    # a hot bucket has over n / 100000 rows and there are d + 1 tables, so this table has 100000 * (d + 1) rows at most
+    hot = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(HOT * bucket, n // 100_000))
+    dealt = dealt.join(F.broadcast(hot), "bucket", "left").mapInArrow(again, "bucket long, sub long, fp long")
+    return dealt.groupBy("bucket", "sub").applyInArrow(joined, "a long, b long")
 
 
 class Tree:
-    """Nodes over fingerprints in Gray order; each has the bits that all its members share."""
-
-    def __init__(self, x: np.ndarray, d: int):
-        self.x, self.d, self.up = x, d, np.arange(len(x))
-        heads = np.arange(0, len(x), _LEAF)
-        self.levels = [(heads, np.append(heads[1:], len(x)), np.bitwise_and.reduceat(x, heads), np.bitwise_or.reduceat(x, heads))]
-        while len(self.levels[-1][0]) > 1:
-            h, e, all_, any_ = self.levels[-1]
-            g = np.arange(0, len(h), _FAN)
-            self.levels.append((h[g], e[np.append(g[1:], len(h)) - 1], np.bitwise_and.reduceat(all_, g), np.bitwise_or.reduceat(any_, g)))
-        self.found: list[tuple[int, int]] = []
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
-        while stack:
-            level, i, j = stack.pop()
-            if self.apart(level, i, j) or self.one(level, i, j):
-                continue
-            if not level:
-                self.leaves(i, j)
-                continue
-            n = len(self.levels[level - 1][0])
-            ours, theirs = (range(_FAN * k, min(n, _FAN * k + _FAN)) for k in (i, j))
-            pairs = [(level - 1, p, q) for p in ours for q in theirs if q >= p]
-            stack += sorted(pairs, key=lambda z: z[1] - z[2])  # near pairs are taken first
-        f = np.array(self.found, np.int64).reshape(-1, 2)
-        return f[:, 0], f[:, 1]
-
-    def apart(self, level: int, i: int, j: int) -> bool:
-        _, _, all_, any_ = self.levels[level]
-        shared = ~(all_[i] ^ any_[i]) & ~(all_[j] ^ any_[j])
-        return int(_bits((all_[i] ^ all_[j]) & shared)) > self.d
-
-    def one(self, level: int, i: int, j: int) -> bool:
-        """All members are joined already."""
-        h, e, _, _ = self.levels[level]
-        if i == j and e[i] - h[i] == 1:
-            return True
-        r = np.concatenate([self.root(np.arange(h[i], e[i])), self.root(np.arange(h[j], e[j]))])
-        return bool((r == r[0]).all())
-
-    def root(self, i: np.ndarray) -> np.ndarray:
-        r = self.up[i]
-        while (r != (s := self.up[r])).any():
-            r = s
-        self.up[i] = r
-        return r
-
-    def leaves(self, i: int, j: int) -> None:
-        h, e, _, _ = self.levels[0]
-        a, b = np.nonzero(_bits(self.x[h[i] : e[i], None] ^ self.x[None, h[j] : e[j]]) <= self.d)
-        for p, q in zip((a + h[i]).tolist(), (b + h[j]).tolist(), strict=True):
-            if p != q:
-                r, s = (int(z) for z in self.root(np.array([p, q])))
-                if r != s:
-                    self.up[max(r, s)] = min(r, s)
-                    self.found.append((p, q))
+    """Fingerprints (rows of 64-bit words) in Gray order, in groups that are compared within themselves, with one top node each."""
+
+    def __init__(self, x: np.ndarray, d: int, heads: np.ndarray | None = None):
+        self.x, self.d, n = x, d, len(x)
+        heads = np.zeros(min(1, n), np.int64) if heads is None else heads
+        self.size = np.diff(np.append(heads, n))
+        self.top = np.repeat(np.arange(len(heads)), self.size)
+        # levels from the leaves up: first members (and one more), first child nodes (and one more), bits all members have, bits any has
+        step, count, of = _LEAF, self.size, np.arange(n + 1)
+        all_, any_, self.levels = x, x, []
+        while True:
+            nodes = -(-count // step)
+            nth = np.arange(nodes.sum()) - np.repeat(np.cumsum(nodes) - nodes, nodes)
+            child = np.append(np.repeat(np.cumsum(count) - count, nodes) + nth * step, count.sum())
+            of = of[child]
+            all_, any_ = (f.reduceat(z, child[:-1], axis=0) if n else z for f, z in ((np.bitwise_and, all_), (np.bitwise_or, any_)))
+            self.levels.append([of, child, all_, ~(all_ ^ any_)])
+            if not n or count.max() <= step:
+                break
+            step, count = _FAN, nodes
+        for (*_, mask), (_, child, _, above) in reversed(list(zip(self.levels, self.levels[1:], strict=False))):
+            mask &= ~np.repeat(above if above is self.levels[-1][3] else self._whole(above, child), np.diff(child), axis=0)
+        self.up = np.arange(n)
+
+    def _whole(self, own: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """All bits that the members of these nodes share, those held above too."""
+        k = next(i for i, level in enumerate(self.levels) if level[1] is child)
+        whole, nodes = own, np.arange(len(own))
+        for _, above, _, mask in self.levels[k + 1 :]:
+            nodes = np.searchsorted(above, nodes, "right") - 1
+            whole = whole | mask[nodes]
+        return whole
+
+    def labels(self) -> np.ndarray:
+        """For each fingerprint the least place of those that it reaches over differences of d or fewer bits."""
+        ends = np.searchsorted(np.cumsum(self.size[self.top]), np.arange(_CHUNK, self.size[self.top].sum() + _CHUNK, _CHUNK)) if len(self.x) else []
+        a = 0
+        for b in np.unique(np.minimum(np.append(ends, len(self.x)), len(self.x))).tolist():
+            if b > a:
+                self._unite(*self._near(np.arange(a, b)))
+            a = b
+        return self.up
+
+    def _near(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (p, later place) at d or fewer differing bits, but for those joined already."""
+        node, seen = self.top[q], np.zeros(len(q), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            first, child, pattern, mask = self.levels[k]
+            low, high = (f.reduceat(self.up, first[:-1]) for f in (np.minimum, np.maximum))
+            seen = seen + _differences((self.x[q] ^ pattern[node]) & mask[node])
+            keep = (seen <= self.d) & (first[node + 1] > q + 1) & ~((low[node] == high[node]) & (low[node] == self.up[q]))
+            q, node, seen = q[keep], node[keep], seen[keep]
+            n = child[node + 1] - child[node]
+            lower = np.repeat(child[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            if k:
+                q, seen, node = np.repeat(q, n), np.repeat(seen, n), lower
+            else:
+                q, seen, shared = np.repeat(q, n), np.repeat(seen, n), np.repeat(node, n)
+                keep = (lower > q) & (self.up[lower] != self.up[q])
+                q, lower, seen, shared = q[keep], lower[keep], seen[keep], shared[keep]
+                whole = self._whole(mask, child)
+                keep = seen + _differences((self.x[q] ^ self.x[lower]) & ~whole[shared]) <= self.d
+                return q[keep], lower[keep]
+        return q, node
+
+    def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            r, s = self.up[a], self.up[b]
+            keep = r != s
+            a, b, r, s = a[keep], b[keep], r[keep], s[keep]
+            np.minimum.at(self.up, np.maximum(r, s), np.minimum(r, s))
+            while (self.up != (up := self.up[self.up])).any():
+                self.up = up
+
+
+def _differences(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(1, dtype=np.int64)
 
 
 def near_dups(docs: DataFrame, d: int = 2, width: int = 3) -> DataFrame:
@@ -196,10 +217,15 @@ def near_dups(docs: DataFrame, d: int = 2, width: int = 3) -> DataFrame:
     """
     checkpoints(docs.sparkSession)
     rows = fingerprints(docs, width).checkpoint()
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tied = components(links(groups, d))
+    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).checkpoint()
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tied = components(links(groups, n, d))
     tied = tied.unionAll(tied.selectExpr("root node", "root").distinct())
     known = tied.join(groups, tied["node"] == groups["fp"]).select("fp", "root", "least")
     named = known.groupBy("root").agg(F.min("least").alias("component"))
     tied = known.join(named, "root").select("fp", "component")
-    return rows.join(groups.join(tied, "fp", "left").selectExpr("fp", "if(component is null, least, component) component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = groups.join(tied, "fp", "left").selectExpr("fp", "n", "if(component is null, least, component) component_id").checkpoint()
+    # fingerprints of over a thousandth of all rows are a thousand at most; rows of others spread over the join's keys
+    often = named.where(F.col("n") > total // 1000).drop("n")
+    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(named.where(F.col("n") <= total // 1000).drop("n"), "fp")
+    return rows.join(F.broadcast(often), "fp").unionByName(rest).select("doc_id", "fp", "component_id")

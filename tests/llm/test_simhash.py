@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from quire.llm.components import components
-from quire.llm.simhash import Tree, fingerprint, gray_rank, near_dups
+from quire.llm.simhash import Tree, fingerprint, gray_rank, links, near_dups
 
 
 def brute_fp(t, width=3):
@@ -45,18 +45,52 @@ def test_gray():
     assert gray_rank(code).tolist() == x.tolist()
 
 
+def neighbours(r, n, spread, groups=8):
+    base = [r.getrandbits(64) for _ in range(groups)]
+    fps = {b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, spread))) & ((1 << 64) - 1) for b in base for _ in range(n // groups)}
+    x = np.array(sorted(fps), np.uint64)
+    return x[np.argsort(gray_rank(x))]
+
+
+near2 = lambda x: lambda i, j: bin(int(x[i]) ^ int(x[j])).count("1") <= 2
+
+
 def test_tree():
+    """Groups of every size from one on, dense and sparse; several groups in one tree stay apart."""
     r = random.Random(6)
-    for n, spread in ((17, 3), (300, 4), (700, 12)):
-        base = [r.getrandbits(64) for _ in range(8)]
-        fps = {b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, spread))) & ((1 << 64) - 1) for b in base for _ in range(n // 8)}
-        x = np.array(sorted(fps), np.uint64)
-        x = x[np.argsort(gray_rank(x))]
-        a, b = Tree(x, 2).links()
-        up = brute_components(range(len(x)), lambda i, j: bin(int(x[i]) ^ int(x[j])).count("1") <= 2)
-        pairs = set(zip(a.tolist(), b.tolist())) | set(zip(b.tolist(), a.tolist()))
-        got = brute_components(range(len(x)), lambda i, j: (i, j) in pairs)
-        assert got == up and len(a) < len(x)
+    for n, spread in ((8, 1), (16, 2), (17, 3), (70, 3), (300, 4), (700, 12), (900, 2)):
+        x = neighbours(r, n, spread)
+        want = brute_components(range(len(x)), near2(x))
+        got = Tree(x[:, None], 2).labels()
+        assert got.tolist() == [want[i] for i in range(len(x))]
+    parts = [neighbours(r, 8 * r.randint(1, 30), 2, 4) for _ in range(40)]
+    x, heads = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+    got = Tree(x[:, None], 2, heads).labels()
+    want = [h + brute_components(range(len(p)), near2(p))[i] for h, p in zip(heads, parts) for i in range(len(p))]
+    assert got.tolist() == want and Tree(x[:0, None], 2).labels().tolist() == []
+
+
+def test_nodes_hold_bits_once():
+    x = neighbours(random.Random(1), 700, 12)
+    t = Tree(x[:, None], 2)
+    held = np.zeros((len(x), 1), np.uint64)
+    for first, _, pattern, mask in reversed(t.levels):
+        mine = np.repeat(mask, np.diff(first), axis=0)
+        assert not (mine & held).any()  # a bit lies in one node of each path
+        assert not ((x[:, None] ^ np.repeat(pattern, np.diff(first), axis=0)) & mine).any()  # and all members agree on it
+        held |= mine
+    assert len(t.levels) > 2
+
+
+def test_links_of_buckets(spark):
+    """Buckets of a few fingerprints, some of which are hot and dealt again."""
+    x = neighbours(random.Random(8), 1200, 3, 3)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(3)
+    want = brute_components(range(len(x)), near2(x))
+    at = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    for bucket in (4, 64, 1 << 14):
+        pairs = {(at[a], at[b]) for a, b in links(df, len(x), 2, bucket).collect()}
+        assert brute_components(range(len(x)), lambda i, j: (i, j) in pairs or (j, i) in pairs) == want
 
 
 def test_near_dups(spark, docs, empty):
