@@ -52,7 +52,7 @@ class _Block:
         new = np.ones(len(at), bool)
         new[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1) | (groups[at[:-1]] == v[:-1])
         heads = np.flatnonzero(new)
-        self.start, self.count, self.least = at[heads], np.diff(np.append(heads, len(at))), v[heads] >> H.U64(64 - bits)
+        self.start, self.count, self.least = at[heads], np.diff(np.append(heads, len(at))), H.mix(v[heads]) >> H.U64(64 - bits)  # mixed anew: least hashes are small
         keys, self.which, n = np.unique(self.least, return_inverse=True, return_counts=True)
         self.several = n > 1
         return keys

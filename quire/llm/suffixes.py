@@ -50,7 +50,7 @@ class _Block:
             heads = np.flatnonzero(new)
             start.append(base + pos[heads])
             count.append(np.diff(np.append(heads, len(pos))))
-            least.append(low[heads] >> H.U64(64 - bits))
+            least.append(H.mix(low[heads]) >> H.U64(64 - bits))  # mixed anew: least hashes are small
             doc.append(self.rank[lo + o[heads]])
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.count, self.least, self.doc = cat(start, np.int64), cat(count, np.int64), cat(least, H.U64), cat(doc, np.int64)
