@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.llm.bpe import Codec, encode, library
-from quire.llm.packing import cuts, difference, pack, windows
+from quire.llm.packing import cuts, difference, pack, tokenizer, windows
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -49,31 +49,64 @@ def test_encode(docs, empty):
     assert encode(empty, PATH, P.PATTERN).collect() == []
 
 
+def brute_difference(sizes, k):
+    """Multiway differencing with full lists of k windows, item by item."""
+    parts = [(s, -i, [(s, [i])] + [(0, [])] * (k - 1)) for i, s in enumerate(sizes)]
+    turn = len(sizes)
+    key = lambda p: (p[2][0][0] - p[2][-1][0], p[1])
+    while len(parts) > 1:
+        parts.sort(key=key)
+        a, b = parts.pop()[2], parts.pop()[2]
+        both = sorted(((x + y, sorted(p + q)) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda w: -w[0])
+        parts.append((0, -turn, both))
+        turn += 1
+    return parts[0][2] if parts else []
+
+
 def test_difference():
     r = random.Random(3)
-    for _ in range(50):
-        sizes, k = np.array([r.randint(1, 60) for _ in range(r.randint(1, 80))]), r.randint(1, 12)
-        got = difference(sizes, k)
+    for _ in range(150):
+        sizes, k = [r.randint(1, 60) for _ in range(r.randint(1, 60))], r.randint(1, 12)
+        got = difference(np.array(sizes), k)
         assert len(got) == k and sorted(i for w in got for i in w) == list(range(len(sizes)))
+        sums = sorted(sum(sizes[i] for i in w) for w in got)
+        assert sums == sorted(s for s, _ in brute_difference(sizes, k))
     sums = [sum(int(x) for x in np.arange(1, 201)[w]) for w in difference(np.arange(1, 201), 7)]
     assert max(sums) - min(sums) <= 7
-    for _ in range(50):
-        sizes, cap = np.array([r.randint(1, 40) for _ in range(r.randint(1, 60))]), r.randint(1, 50)
+
+
+def test_windows():
+    """No item is cut; the number of windows is the first one from the least on whose differencing fits."""
+    r, rose = random.Random(4), 0
+    for _ in range(150):
+        cap = r.randint(20, 60)
+        sizes = np.array([r.randint(1, cap) for _ in range(r.randint(1, 60))])
         got = windows(sizes, cap)
-        parts = sorted(x for w in got for x in w)
-        assert len(got) == -(-int(sizes.sum()) // cap) and all(sum(n for _, _, n in w) <= cap for w in got)
-        for i, n in enumerate(sizes.tolist()):
-            mine = [(s, m) for k, s, m in parts if k == i]
-            assert [s for s, _ in mine] == [sum(m for _, m in mine[:k]) for k in range(len(mine))] and sum(m for _, m in mine) == n and all(m > 0 for _, m in mine)
-    assert windows(np.zeros(0, np.int64), 9) == []
+        assert sorted(i for w in got for i in w) == list(range(len(sizes))) and all(sizes[w].sum() <= cap for w in got)
+        k = -(-int(sizes.sum()) // cap)
+        while max(s for s, _ in brute_difference(sizes.tolist(), k)) > cap:
+            k += 1
+            rose += 1
+        assert len(got) == k
+    assert rose > 20 and windows(np.zeros(0, np.int64), 9) == []
     assert cuts(2048, 2048, 256) == ([(0, 2048)], []) and cuts(2049, 2048, 256)[1] == [(2048, 1)] and cuts(600, 2048, 256)[1] == [(0, 200), (200, 200), (400, 200)]
 
 
+def test_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    t, ids = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokenizer(P.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext|", "don't we'll", "  a  b\n\n c ", "é😀 日本語 \xa0x", "word " * 40000 + "  end", "x" * 70000 + " y " * 9, "\n " * 300]
+    texts += ["".join(r.choice(["a", " the", "  ", "\n", "é", "1", "!", "'s", "<|endoftext|>"]) for _ in range(r.randint(0, 200))) for _ in range(100)]
+    for s in texts:
+        assert ids(s).tolist() == t.encode(s, add_special_tokens=False).ids, s[:50]
+
+
 def test_pack(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in rows.collect()}
     got = pack(rows, P.path("byte_bpe_50k.json")).collect()
@@ -91,7 +124,12 @@ def test_pack(docs, empty):
             assert at == len(of[k]) if of else at <= 2048
     assert set(by_doc) == set(ids)
     assert pack(empty, P.path("byte_bpe_50k.json")).collect() == []
-    assert pack(docs, P.path("byte_bpe_50k.json")).select("doc_id", "doc_tokens").distinct().count() > 0
+    every = [(r.doc_id, r.length) for r in pack(docs, P.path("byte_bpe_50k.json")).collect()]  # repeated and null ids: each row's ids are there
+    total = lambda i: sum(n for d, n in every if d == i)
+    want = defaultdict(int)
+    for i, x in docs.select("doc_id", "text").collect():
+        want[i] += len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    assert None in want and {i: total(i) for i in want} == want
 
 
 def test_padding():
