@@ -114,21 +114,24 @@ def rows_for(block: int, step: int, parts: list[int], asked: list[bytes], more:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted integers as their number, the first, and differences of a common byte width."""
+    """Sorted integers as the first and differences of a common byte width; the highest byte of all, mostly small, is compressed."""
     if not len(keys):
         return b""
     steps = np.diff(keys)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    raw = steps.view(np.uint8).reshape(-1, 8)
+    high = zipped(raw[:, width - 1].tobytes())
+    return bytes([width]) + keys[:1].tobytes() + len(high).to_bytes(4, "little") + high + np.ascontiguousarray(raw[:, : width - 1]).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U64)
-    width, first = blob[0], np.frombuffer(blob, U64, 1, 1)
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(raw) + 1, 8), np.uint8)
-    steps[1:, :width] = raw
+    width, first, n = blob[0], np.frombuffer(blob, U64, 1, 1), int.from_bytes(blob[9:13], "little")
+    high = np.frombuffer(unzipped(blob[13 : 13 + n]), np.uint8)
+    steps = np.zeros((len(high) + 1, 8), np.uint8)
+    steps[1:, width - 1] = high
+    steps[1:, : width - 1] = np.frombuffer(blob, np.uint8, offset=13 + n).reshape(len(high), width - 1)
     steps = steps.view(U64).ravel()
     steps[0] = first[0]
     return np.cumsum(steps, dtype=U64)

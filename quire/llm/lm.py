@@ -1,12 +1,12 @@
 """LM scoring by a weighted backoff automaton (operator 5).
 
 Words, word pairs and triples are counted over all training documents by the exchange in blocks.py: a block sends its distinct hashes
-with counts, and the part that owns a hash answers with the corpus count. Triples are counted where both of their pairs were seen LEAST times or more; others aren't part of the model.
+with counts, and the part that owns a hash answers with the corpus count. Triples are counted where their first pair was seen LEAST times or more; others aren't part of the model.
 
-From the answers a block compiles the part of the automaton that its documents can reach. States are the root, known words, and pairs that begin counted triples; an arc leads from a state by a word to the longest
+From the answers a block compiles the part of the automaton that its documents can reach. States are the root, known words, and pairs seen LEAST times or more; an arc leads from a state by a word to the longest
 known end of what was read, with the smoothed log-probability; a failure arc leads to the state without its first word, with the weight held back. Documents are traversed from left to right, many
 at a time, each carrying its state: a word without an arc adds the weight of the failure arc and is tried again from there. Smoothing is by absolute discounting of words and pairs (discounts from the
-numbers of those seen once and twice) and, for triples, interpolation that holds back HELD * n ** -FADE after a pair that begins n of them. All unseen words are one class, as in the base score.
+numbers of those seen once and twice) and, for triples, interpolation that holds back HELD * n ** -FADE after a pair seen n times. All unseen words are one class, as in the base score.
 """
 
 from __future__ import annotations
@@ -134,16 +134,14 @@ class _Block:
         self.pair_of[self.second] = pair_of
 
     def triples(self, pairs: np.ndarray) -> None:
-        """Distinct triples of pairs whose corpus counts are LEAST or more: their counts here, their two pairs and last word; of each such pair, how many triples here it begins."""
+        """Distinct triples whose first pair's corpus count is LEAST or more: their counts here, their two pairs and last word."""
         hashes = np.zeros(len(self.token), H.U64)
         hashes[self.second] = self.pair_hash
         third = np.flatnonzero(self.place >= 2)
-        third = third[np.minimum(pairs[self.pair_of[third - 1]], pairs[self.pair_of[third]]) >= LEAST]
+        third = third[pairs[self.pair_of[third - 1]] >= LEAST]
         keys = H.pair(hashes[third - 1], self.token[third], 1) >> H.U64(64 - self.bits)
         self.triple, one, self.triple_counts, _ = _distinct(keys, self.train[third])
         self.one, self.two, self.third = self.pair_of[third[one] - 1], self.pair_of[third[one]], self.which[third[one]]
-        self.deep = np.flatnonzero(pairs >= LEAST)
-        self.begun = np.bincount(self.pair_of[third - 1], self.train[third], len(pairs)).astype(np.int64)[self.deep]
 
 
 class Automaton:
@@ -212,8 +210,9 @@ def score_lm(docs: DataFrame, holdout: int = 10, block_bytes: int = B.BLOCK_BYTE
     def more(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, bits)
         followers = np.bincount(b.before[_first(replies, 2, b.pair, bits, parts)], minlength=len(b.word))
+        often = _counts(replies, 1, b.word, bits, parts) > 1  # a word seen once has one follower
         b.triples(_counts(replies, 2, b.pair, bits, parts))
-        return pa.concat_tables([_asked(block, 3, b.triple, b.triple_counts, bits, parts), _asked(block, 4, b.word, followers, bits, parts), _asked(block, 5, b.pair[b.deep], b.begun, bits, parts)])
+        return pa.concat_tables([_asked(block, 3, b.triple, b.triple_counts, bits, parts), _asked(block, 4, b.word[often], followers[often], bits, parts)])
 
     def score(block: int, t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t, bits)
@@ -222,9 +221,9 @@ def score_lm(docs: DataFrame, holdout: int = 10, block_bytes: int = B.BLOCK_BYTE
         c, pairs = _counts(replies, 1, b.word, bits, parts), _counts(replies, 2, b.pair, bits, parts)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         b.triples(pairs)
-        triples, begun = _counts(replies, 3, b.triple, bits, parts), np.zeros(len(pairs), np.int64)
-        begun[b.deep] = _counts(replies, 5, b.pair[b.deep], bits, parts)
-        log = _automaton(b, c, pairs, triples, begun, _counts(replies, 4, b.word, bits, parts), n, v, _discount(n1, n2), _discount(p1, p2)).traverse(b.which, b.begin, b.end + 1)
+        triples, followers = _counts(replies, 3, b.triple, bits, parts), (c > 0).astype(np.int64)
+        followers[c > 1] = _counts(replies, 4, b.word[c > 1], bits, parts)
+        log = _automaton(b, c, pairs, triples, followers, n, v, _discount(n1, n2), _discount(p1, p2)).traverse(b.which, b.begin, b.end + 1)
         add = lambda x: np.add.reduceat(x, b.begin) if len(b.begin) else x[:0]
         return pa.table({
             "doc_id": b.t["doc_id"], "held_out": pa.array(b.held), "n_tokens": np.diff(np.append(b.begin, len(b.token))), "n_known": add((c > 0)[b.which].astype(np.int64)),
@@ -240,17 +239,18 @@ def _discount(once: int, twice: int) -> float:
     return min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def _automaton(b: _Block, c: np.ndarray, pairs: np.ndarray, triples: np.ndarray, begun: np.ndarray, followers: np.ndarray, n: int, v: int, d1: float, d2: float) -> Automaton:
+def _automaton(b: _Block, c: np.ndarray, pairs: np.ndarray, triples: np.ndarray, followers: np.ndarray, n: int, v: int, d1: float, d2: float) -> Automaton:
     words = len(b.word)
     root = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(len(c))  # arcs of the root, and its one for all unseen words
     fail = d2 * followers / np.maximum(c, 1)
     by_pair = np.where(pairs > 0, (pairs - d2) / np.maximum(c[b.before], 1), 0) + fail[b.before] * root[b.after]
-    held = np.where(begun > 0, HELD * np.maximum(begun, 1).astype(float) ** -FADE, 1)
+    held = HELD * np.maximum(pairs, 1).astype(float) ** -FADE
     two, three = np.flatnonzero(pairs > 0), np.flatnonzero(triples > 0)
-    first, deep = b.one[three], begun[two] > 0
-    by_triple = (1 - held[first]) * triples[three] / begun[first] + held[first] * by_pair[b.two[three]]
+    first = b.one[three]
+    by_triple = (1 - held[first]) * triples[three] / pairs[first] + held[first] * by_pair[b.two[three]]
     fail_log = np.log10(np.concatenate([[1.0], np.where(followers > 0, fail, 1), held]))
+    after = lambda k: np.where(pairs[k] >= LEAST, 1 + words + k, 1 + b.after[k])
     return Automaton(
         np.concatenate([1 + b.before[two], 1 + words + first]), np.concatenate([b.after[two], b.third[three]]), np.log10(np.concatenate([by_pair[two], by_triple])),
-        np.concatenate([np.where(deep, 1 + words + two, 1 + b.after[two]), 1 + words + b.two[three]]), fail_log, np.concatenate([[0], np.zeros(words, np.int64), 1 + b.after]), np.log10(root), np.where(c > 0, 1 + np.arange(words), 0),
+        np.concatenate([after(two), after(b.two[three])]), fail_log, np.concatenate([[0], np.zeros(words, np.int64), 1 + b.after]), np.log10(root), np.where(c > 0, 1 + np.arange(words), 0),
     )

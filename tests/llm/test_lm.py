@@ -23,19 +23,14 @@ def brute(rows):
     disc = lambda x: min(0.9, max(0.1, a / (a + 2 * b))) if (a := sum(k == 1 for k in x.values())) + (b := sum(k == 2 for k in x.values())) else 0.5
     d1, d2 = disc(c), disc(c2)
     p1 = lambda w: ((c[w] - d1) if c[w] else d1 * v) / n if n else 1.0
-    begun = Counter()
-    for (t, u, x), k in c3.items():
-        if c2[u, x] >= LEAST:
-            begun[t, u] += k
-
     def p2(u, x):
         return max(c2[u, x] - d2, 0) / c[u] + d2 * kinds[u] / c[u] * p1(x) if c[u] else p1(x)
 
     def p3(t, u, x):
-        if c2[t, u] < LEAST or not begun[t, u]:
+        if c2[t, u] < LEAST:
             return p2(u, x)
-        held = HELD * begun[t, u] ** -FADE
-        return (1 - held) * (c3[t, u, x] if c2[u, x] >= LEAST else 0) / begun[t, u] + held * p2(u, x)
+        held = HELD * c2[t, u] ** -FADE
+        return (1 - held) * c3[t, u, x] / c2[t, u] + held * p2(u, x)
 
     out = []
     for (i, w), h in zip(toks, held):
