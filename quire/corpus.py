@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from .kernels.objects import Name, Ref
 
@@ -125,9 +125,10 @@ def simple_font(name: str) -> dict:
     return {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(name), "Encoding": Name("WinAnsiEncoding")}
 
 
-def document(pages: list[bytes], flavour: str = "classic", info: dict[str, bytes] | None = None, page_attrs: dict | None = None, fonts: dict[str, dict] | None = None) -> bytes:
-    """A document of these content streams, with F1 (Helvetica) and F2 (its bold) unless fonts are given."""
+def document(pages: list[bytes], flavour: str = "classic", info: dict[str, bytes] | None = None, page_attrs: dict | None = None, fonts: dict[str, dict] | None = None, build: Callable[[Writer], dict] | None = None) -> bytes:
+    """A document of these content streams, with F1 (Helvetica) and F2 (its bold) unless fonts are given. `build` adds objects and gives further attributes of pages, resources among them."""
     w = Writer(flavour)
+    page_attrs = {**(page_attrs or {}), **(build(w) if build else {})}
     catalog, tree = w.add(None), w.add(None)
     fonts = {k: w.add(v) for k, v in (fonts or {"F1": simple_font("Helvetica"), "F2": simple_font("Helvetica-Bold")}).items()}
     kids = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from . import filters
+from . import filters, jpeg
 from .crypt import Decryptor
 from .objects import Name, Op, Parser, ParseError, Ref, Stream, indirect, text_string
 
@@ -321,6 +321,15 @@ class Document:
     def stream_data(self, s: Stream) -> bytes:
         return filters.decode(s.attrs, s.data, self.resolve, stop_at_image=False)
 
+    def image_data(self, s: Stream):
+        """(bytes, "samples"), or for a codec that has its own size (pixels h x w x n, "pixels")."""
+        name, parms, data = filters.to_image(s.attrs, s.data, self.resolve)
+        if name == "DCTDecode":
+            return jpeg.decode(data, parms.get("ColorTransform")), "pixels"
+        if name is not None:
+            raise filters.Unsupported(name)
+        return data, "samples"
+
     # pages
 
     def declared_pages(self) -> int:

@@ -1,4 +1,4 @@
-"""Stream decoding: the filter chain, its parameters and predictors. Image codecs stay encoded."""
+"""Stream decoding: the filter chain, its parameters and predictors. Codecs of continuous-tone images stay encoded."""
 
 from __future__ import annotations
 
@@ -7,19 +7,14 @@ import zlib
 
 import numpy as np
 
+from . import fax
+from .errors import Undecodable, Unsupported
+
 MAX_STAGES, MAX_BYTES = 32, 256 << 20
 IMAGE_CODECS = {"DCTDecode", "DCT", "JPXDecode"}
 _SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
 
 
-class Unsupported(ValueError):
-    """A filter that isn't read; its name is the message."""
-
-
-class Undecodable(ValueError):
-    pass
-
-
 def flate(data: bytes) -> bytes:
     """zlib; raw deflate where the header is broken; as much as can be read of damaged data."""
     for skip in (0, 1, 2):
@@ -192,6 +187,13 @@ def chain(attrs: dict, resolve=lambda x: x) -> list[tuple[str, dict]]:
     return [(n, at(k)) for k, n in enumerate(names)]
 
 
+def to_image(attrs: dict, data: bytes, resolve=lambda x: x) -> tuple[str | None, dict, bytes]:
+    """What is left when an image codec ends the chain, with its name and parameters; else no name and the decoded bytes."""
+    stages = chain(attrs, resolve)
+    left = next(((n, p) for n, p in stages if n in IMAGE_CODECS), (None, {}))
+    return _SHORT.get(left[0], left[0]), left[1], decode(attrs, data, resolve)
+
+
 def decode(attrs: dict, data: bytes, resolve=lambda x: x, stop_at_image: bool = True) -> bytes:
     """The decoded bytes; an image codec ends the chain (its data stays) or, if not allowed, is Unsupported."""
     stages = chain(attrs, resolve)
@@ -213,6 +215,8 @@ def decode(attrs: dict, data: bytes, resolve=lambda x: x, stop_at_image: bool =
             data = ascii_hex(data)
         elif name == "RunLengthDecode":
             data = run_length(data)
+        elif name == "CCITTFaxDecode":
+            data = fax.decode(data, {"Rows": resolve(attrs.get("Height", attrs.get("H"))), **parms})
         elif name != "Crypt":
             raise Unsupported(name)
         if len(data) > MAX_BYTES:

@@ -1,18 +1,19 @@
-"""Rendering: filled and stroked paths, clips, constant alpha, separable blend modes, axial and radial shadings, and unpacked images, to RGB and PNG.
+"""Rendering: filled and stroked paths, clips, constant alpha, soft masks, separable blend modes, shadings, patterns, images and appearances of annotations, to RGB and PNG.
 
-Glyphs come from embedded TrueType programs and Type 3 procedures. Other font programs, patterns, soft masks and image codecs are left out, each reported in the warnings.
+Glyphs come from embedded TrueType programs and Type 3 procedures. Other font programs and some image codecs are left out, each reported in the warnings.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from . import filters, fonts
+from . import colors, filters, fonts
 from .content import apply, concat, invert, operators
 from .glyphs import TrueType
 from .objects import Name, Ref, Stream
@@ -158,15 +159,10 @@ def dashed(lines: list[np.ndarray], dash: list[float], phase: float) -> list[np.
     return out
 
 
-def cmyk(c, m, y, k):
-    return tuple((1 - min(1, v + k)) for v in (c, m, y))
-
-
-def to_rgb(v: list[float], space: str = "") -> tuple[float, float, float]:
-    v = [min(1.0, max(0.0, float(x))) for x in v]
-    if len(v) == 4:
-        return cmyk(*v)
-    return tuple(v) if len(v) == 3 else (v[0],) * 3 if len(v) == 1 else (0.0, 0.0, 0.0)
+def to_rgb(v: list[float]) -> tuple[float, float, float]:
+    """A colour of a device space, by the number of its components."""
+    space = colors.of_count(len(v))
+    return space.one([float(x) for x in v]) if space else (0.0, 0.0, 0.0)
 
 
 #: The separable blend modes.
@@ -179,13 +175,14 @@ BLEND = {
 
 
 def function(doc, f):
-    """A sampled (one input), exponential or stitching function, or None."""
+    """A sampled, exponential, stitching or calculator function, or None. One of a single input takes a number, one of more takes a list."""
     f = doc.resolve(f)
     d = f.attrs if isinstance(f, Stream) else f
     if not isinstance(d, dict):
         return None
     get = lambda k, z=None: [doc.resolve(x) for x in v] if isinstance(v := doc.resolve(d.get(k)), list) else (z if v is None else v)
-    kind, (lo, hi) = get("FunctionType"), (get("Domain", [0, 1]) + [0, 1])[:2]
+    kind, domain = get("FunctionType"), get("Domain", [0, 1])
+    lo, hi = (domain + [0, 1])[:2]
     clip = lambda x: min(max(x, lo), hi)
     if kind == 2:
         a, b, n = get("C0", [0.0]), get("C1", [1.0]), get("N", 1)
@@ -204,18 +201,117 @@ def function(doc, f):
 
         return stitched
     if kind == 0 and isinstance(f, Stream):
-        size, bits, rng = get("Size", [0])[0], get("BitsPerSample", 8), get("Range", [0, 1])
-        n = len(rng) // 2
-        try:
-            t = np.frombuffer(doc.stream_data(f), np.uint8)[: size * n].reshape(-1, n) / 255 if bits == 8 else None
-        except ValueError:
-            t = None
-        if t is None or len(t) != size or not size:
-            return None
-        return lambda x: [rng[2 * j] + float(np.interp((clip(x) - lo) / ((hi - lo) or 1) * (size - 1), np.arange(size), t[:, j])) * (rng[2 * j + 1] - rng[2 * j]) for j in range(n)]
+        return _sampled(doc.stream_data(f), get("Size", [0]), get("BitsPerSample", 8), domain, get("Range", [0, 1]), get("Encode"), get("Decode"))
+    if kind == 4 and isinstance(f, Stream):
+        program, rng = _program(doc.stream_data(f)), get("Range", [])
+        return None if program is None else lambda x: _calculated(program, x if isinstance(x, list) else [x], domain, rng)
     return None
 
 
+def _sampled(data: bytes, size: list, bits: int, domain: list, rng: list, enc: list | None, dec: list | None):
+    """Interpolation between the samples of a grid of one or more inputs."""
+    n, many = len(rng) // 2, int(np.prod(size)) if size and all(isinstance(x, int) and x > 0 for x in size) else 0
+    if not n or not 0 < many * n <= 1 << 22 or bits not in (1, 2, 4, 8, 12, 16, 24, 32) or len(domain) < 2 * len(size) or len(data) * 8 < many * n * bits:
+        return None
+    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=many * n * bits).reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.uint64)[::-1])
+    t = flat.reshape(*size[::-1], n) / (2**bits - 1)
+    dec, enc = dec or rng, enc or [v for s in size for v in (0, s - 1)]
+    low, high = np.array(dec[0::2][:n], float), np.array(dec[1::2][:n], float)
+
+    def at(x):
+        x = x if isinstance(x, list) else [x]
+        v = t
+        for k in range(len(size) - 1, -1, -1):  # the last input varies slowest
+            lo, hi = domain[2 * k], domain[2 * k + 1]
+            p = enc[2 * k] + (min(max(x[k], lo), hi) - lo) / ((hi - lo) or 1) * (enc[2 * k + 1] - enc[2 * k])
+            p = min(max(p, 0), size[k] - 1)
+            a = min(int(p), max(0, size[k] - 2))
+            v = v[a] + (v[min(a + 1, size[k] - 1)] - v[a]) * (p - a)
+        return np.clip(low + v * (high - low), rng[0::2][:n], rng[1::2][:n]).tolist()
+
+    return at
+
+
+_WORD = re.compile(rb"[{}]|[^\s{}%]+")
+
+
+def _program(data: bytes) -> list | None:
+    """A calculator's program as nested lists."""
+    out: list = []
+    stack = [out]
+    for w in _WORD.findall(re.sub(rb"%[^\r\n]*", b"", data)):
+        if w == b"{":
+            stack.append([])
+            stack[-2].append(stack[-1])
+        elif w == b"}":
+            if len(stack) < 2:
+                return None
+            stack.pop()
+        else:
+            try:
+                stack[-1].append(float(w) if b"." in w or b"e" in w.lower() and w[:1].isdigit() else int(w))
+            except ValueError:
+                stack[-1].append(w.decode("latin-1"))
+    return out[0] if len(stack) == 1 and len(out) == 1 and isinstance(out[0], list) else None
+
+
+_TWO = {
+    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b if b else 0.0, "idiv": lambda a, b: int(a / b) if b else 0, "mod": lambda a, b: math.fmod(a, b) if b else 0,
+    "exp": lambda a, b: a**b, "atan": lambda a, b: math.degrees(math.atan2(a, b)) % 360, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b,
+    "le": lambda a, b: a <= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b, "xor": lambda a, b: a ^ b, "bitshift": lambda a, b: a << b if b >= 0 else a >> -b,
+}
+_ONE = {
+    "abs": abs, "neg": lambda a: -a, "ceiling": math.ceil, "floor": math.floor, "round": lambda a: math.floor(a + 0.5), "truncate": math.trunc, "sqrt": lambda a: math.sqrt(max(a, 0)), "sin": lambda a: math.sin(math.radians(a)),
+    "cos": lambda a: math.cos(math.radians(a)), "ln": lambda a: math.log(a) if a > 0 else 0.0, "log": lambda a: math.log10(a) if a > 0 else 0.0, "cvi": int, "cvr": float, "not": lambda a: not a if isinstance(a, bool) else ~a,
+}
+
+
+def _calculated(program: list, x: list, domain: list, rng: list) -> list:
+    s = [min(max(v, lo), hi) for v, lo, hi in zip(x, domain[0::2], domain[1::2], strict=False)]
+
+    def run(body: list) -> None:
+        for k, w in enumerate(body):
+            if isinstance(w, list):
+                continue
+            if not isinstance(w, str):
+                s.append(w)
+            elif w in _TWO:
+                b, a = s.pop(), s.pop()
+                s.append(_TWO[w](a, b))
+            elif w in _ONE:
+                s.append(_ONE[w](s.pop()))
+            elif w in ("true", "false"):
+                s.append(w == "true")
+            elif w == "pop":
+                s.pop()
+            elif w == "dup":
+                s.append(s[-1])
+            elif w == "exch":
+                s[-1], s[-2] = s[-2], s[-1]
+            elif w == "copy" and (n := int(s.pop())) > 0:
+                s.extend(s[-n:])
+            elif w == "index":
+                s.append(s[-1 - int(s.pop())])
+            elif w == "roll":
+                j, n = int(s.pop()), int(s.pop())
+                if n > 0:
+                    top, j = s[-n:], j % n
+                    s[-n:] = top[n - j :] + top[: n - j]
+            elif w == "if":
+                if s.pop():
+                    run(body[k - 1])
+            elif w == "ifelse":
+                run(body[k - 2] if s.pop() else body[k - 1])
+
+    try:
+        run(program)
+    except (IndexError, TypeError, OverflowError, ValueError):
+        s = []
+    n = len(rng) // 2
+    s = [0.0] * (n - len(s)) + [float(v) for v in s[-n:]]
+    return [min(max(v, lo), hi) for v, lo, hi in zip(s, rng[0::2], rng[1::2], strict=False)]
+
+
 class Canvas:
     def __init__(self, doc, page, scale: float):
         w, h = (max(1, math.ceil(v * scale - 1e-6)) for v in page.size)
@@ -294,6 +390,10 @@ class Canvas:
 
     def paint(self, mask: np.ndarray, color, st: dict, alpha: float) -> None:
         m = mask * alpha if st["clip"] is None else mask * st["clip"] * alpha
+        if st.get("soft") is not None:
+            m = m * st["soft"]
+        if isinstance(color, np.ndarray) and color.shape[-1] == 4:
+            m, color = m * color[:, :, 3], color[:, :, :3]
         ys, xs = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
         if not len(ys):
             return
@@ -303,8 +403,122 @@ class Canvas:
         blend = BLEND.get(st["blend"])
         self.px[box] = back + a * ((blend(back, np.broadcast_to(src, back.shape)) if blend else src) - back)
 
+    def layer(self, draw) -> tuple[np.ndarray, np.ndarray]:
+        """(colours, alpha) of what is drawn on nothing: drawn on white and on black, both are known."""
+        held, on = self.px, []
+        for ground in (np.ones, np.zeros):
+            self.px = ground(held.shape, np.float32)
+            draw()
+            on.append(self.px)
+        self.px = held
+        alpha = np.clip(1 - (on[0] - on[1]).mean(2), 0, 1)
+        return np.clip(on[1] / np.maximum(alpha, 1e-6)[:, :, None], 0, 1), alpha
+
+    def pattern(self, p, n: list[float], st: dict, key: str, scopes: list[dict], base, depth: int):
+        """The paint of a pattern: colours and alpha for each pixel; n colours an uncoloured one."""
+        r, d = self.doc.resolve, p.attrs if isinstance(p, Stream) else p
+        kind = r(d.get("PatternType")) if isinstance(d, dict) else None
+        m = [r(v) for v in r(d.get("Matrix")) or []] if isinstance(d, dict) else []
+        at = concat(tuple(m), base) if len(m) == 6 else base
+        plain = _fresh()
+        if kind == 2:
+            rgb, alpha = self.layer(lambda: self.shade(r(d.get("Shading")), at, plain))
+            return np.concatenate([rgb, alpha[:, :, None]], 2).astype(np.float32)
+        box, xs, ys = ([r(v) for v in r(d.get("BBox")) or []], r(d.get("XStep")), r(d.get("YStep"))) if kind == 1 and isinstance(p, Stream) else ([], 0, 0)
+        back = invert(at)
+        if len(box) != 4 or not xs or not ys or back is None or depth > 4:
+            self.warn["Pattern skipped"] += 1
+            return None
+        xs, ys = abs(float(xs)), abs(float(ys))
+        w, h = (max(1, min(2048, math.ceil(step * math.hypot(*v)))) for step, v in ((xs, at[:2]), (ys, at[2:4])))
+        cell = Canvas.__new__(Canvas)
+        cell.doc, cell.w, cell.h, cell.warn, cell.fonts, cell.faces, cell.px = self.doc, w, h, self.warn, self.fonts, self.faces, np.ones((h, w, 3), np.float32)
+        if r(d.get("PaintType")) == 2 and n:
+            space = st.get(f"{key} space")
+            plain["fill"] = plain["stroke"] = space.one(n) if space is not None else to_rgb(n)
+        own = r(d.get("Resources"))
+        x0, y0, x1, y1 = (float(v) for v in box)
+        body = self.doc.stream_data(p)
+
+        def draw():
+            # what reaches over the cell's edge is seen in the next one
+            for i in range(-min(4, math.ceil(x1 / xs)) + 1, min(4, math.ceil(-x0 / xs)) + 1) if x1 - x0 > xs or x0 < 0 or x1 > xs else (0,):
+                for j in range(-min(4, math.ceil(y1 / ys)) + 1, min(4, math.ceil(-y0 / ys)) + 1) if y1 - y0 > ys or y0 < 0 or y1 > ys else (0,):
+                    m = (w / xs, 0, 0, h / ys, i * w, j * h)
+                    state = dict(plain)
+                    state["clip"] = coverage(flatten([("m", x0, y0), ("l", x1, y0), ("l", x1, y1), ("l", x0, y1), ("h",)], m), w, h)
+                    cell.run(body, [own, *scopes] if isinstance(own, dict) else scopes, m, state, depth + 1)
+
+        rgb, alpha = cell.layer(draw)
+        x, y = np.meshgrid(np.arange(self.w) + 0.5, np.arange(self.h) + 0.5)
+        u, v = back[0] * x + back[2] * y + back[4], back[1] * x + back[3] * y + back[5]
+        i, j = ((np.mod(q, step) / step * k).astype(int).clip(0, k - 1) for q, step, k in ((u, xs, w), (v, ys, h)))
+        return np.concatenate([rgb, alpha[:, :, None]], 2).astype(np.float32)[j, i]
+
+    def soft_mask(self, g: dict, ctm, scopes: list[dict], depth: int) -> np.ndarray | None:
+        """The mask of a group's luminosity or alpha."""
+        r = self.doc.resolve
+        form = r(g.get("G"))
+        if not isinstance(form, Stream) or depth > 8:
+            self.warn["SoftMask skipped"] += 1
+            return None
+        draw = lambda: self.form(form, ctm, _fresh(), scopes, depth)
+        if str(r(g.get("S"))) == "Alpha":
+            return self.layer(draw)[1]
+        group = r(form.attrs.get("Group"))
+        space = self.space(group.get("CS")) if isinstance(group, dict) else None
+        ground = [float(r(v)) for v in r(g.get("BC")) or []]
+        held, self.px = self.px, np.zeros_like(self.px)
+        self.px[:] = space.one(ground) if ground and space is not None else to_rgb(ground) if ground else 0.0
+        draw()
+        seen, self.px = self.px, held
+        mask = seen @ np.array([0.3, 0.59, 0.11], np.float32)
+        if (f := function(self.doc, g["TR"]) if isinstance(r(g.get("TR")), (dict, Stream)) else None) is not None:
+            mask = np.interp(mask, np.arange(256) / 255, [f(k / 255)[0] for k in range(256)])
+        return np.clip(mask, 0, 1).astype(np.float32)
+
+    def form(self, x: Stream, ctm, st: dict, scopes: list[dict], depth: int) -> None:
+        r = self.doc.resolve
+        try:
+            body = self.doc.stream_data(x)
+        except ValueError as e:
+            self.warn[f"Form {e}"] += 1
+            return
+        m, own, box = r(x.attrs.get("Matrix")), r(x.attrs.get("Resources")), r(x.attrs.get("BBox"))
+        ctm = concat(tuple(r(v) for v in m), ctm) if isinstance(m, list) and len(m) == 6 else ctm
+        st = dict(st)
+        if isinstance(box, list) and len(box) == 4:
+            x0, y0, x1, y1 = (float(r(v)) for v in box)
+            clip = coverage(flatten([("m", x0, y0), ("l", x1, y0), ("l", x1, y1), ("l", x0, y1), ("h",)], ctm), self.w, self.h)
+            st["clip"] = clip if st["clip"] is None else clip * st["clip"]
+        self.run(body, [own, *scopes] if isinstance(own, dict) else scopes, ctm, st, depth + 1)
+
+    def annotations(self, page, base) -> None:
+        """Normal appearances, each fitted to its rectangle; hidden ones and those not for viewing are left out."""
+        r = self.doc.resolve
+        for a in r(page.attrs.get("Annots")) or []:
+            a = r(a)
+            if not isinstance(a, dict) or (r(a.get("F")) or 0) & 0b100010 or not isinstance(ap := r(a.get("AP")), dict):
+                continue
+            look = r(ap.get("N"))
+            if isinstance(look, dict):
+                look = r(look.get(str(r(a.get("AS")))))
+            rect = [r(v) for v in r(a.get("Rect")) or []]
+            if not isinstance(look, Stream) or len(rect) != 4:
+                continue
+            box, m = [float(r(v)) for v in r(look.attrs.get("BBox")) or []], r(look.attrs.get("Matrix"))
+            m = tuple(r(v) for v in m) if isinstance(m, list) and len(m) == 6 else (1, 0, 0, 1, 0, 0)
+            if len(box) != 4:
+                continue
+            corners = [apply(m, x, y) for x in box[::2] for y in box[1::2]]
+            (x0, x1), (y0, y1) = ((min(c), max(c)) for c in zip(*corners, strict=True))
+            fit = lambda lo, hi, a, b: ((max(a, b) - min(a, b)) / (hi - lo) if hi > lo else 1.0)
+            sx, sy = fit(x0, x1, rect[0], rect[2]), fit(y0, y1, rect[1], rect[3])
+            to = (sx, 0, 0, sy, min(rect[0], rect[2]) - x0 * sx, min(rect[1], rect[3]) - y0 * sy)
+            self.form(look, concat(to, base), _fresh(), [page.resources], 0)
+
     def run(self, data: bytes, scopes: list[dict], ctm, st: dict, depth: int = 0) -> None:
-        stack, path, start, pending = [], [], None, None
+        stack, path, start, pending, base = [], [], None, None, ctm
         tm = tlm = (1, 0, 0, 1, 0, 0)
         r = self.doc.resolve
 
@@ -315,6 +529,9 @@ class Canvas:
                     return r(d[str(name)])
             return None
 
+        def raw_resource(group, name):
+            return next((d[name] for s in scopes if isinstance(d := r(s.get(group)), dict) and name in d), None)
+
         for op, v, _, _ in operators(data):
             n = [float(x) for x in v if isinstance(x, (int, float)) and not isinstance(x, bool)]
             if op == "q":
@@ -357,17 +574,22 @@ class Canvas:
                 st[{"w": "w", "J": "cap", "j": "join"}[op]] = n[-1]
             elif op == "d" and v and isinstance(v[0], list):
                 st["dash"], st["phase"] = [float(x) for x in v[0] if isinstance(x, (int, float))], n[-1] if n else 0.0
-            elif op in ("g", "rg", "k") and n:
-                st["fill"] = to_rgb(n)
-            elif op in ("G", "RG", "K") and n:
-                st["stroke"] = to_rgb(n)
-            elif op in ("cs", "CS"):
-                st["fill" if op == "cs" else "stroke"] = (0.0, 0.0, 0.0)
+            elif op in ("g", "rg", "k", "G", "RG", "K") and n:
+                key = "fill" if op[0].islower() else "stroke"
+                st[key], st[f"{key} space"] = to_rgb(n), None
+            elif op in ("cs", "CS") and v:
+                key = "fill" if op == "cs" else "stroke"
+                space = self.space(v[-1], lambda name: raw_resource("ColorSpace", name))
+                st[f"{key} space"] = space
+                st[key] = _painted(space.one(space.first)) if space else (0.0, 0.0, 0.0)
+                if space is None and not self.is_pattern(v[-1], lambda name: raw_resource("ColorSpace", name)):
+                    self.warn[f"ColorSpace {_shown(v[-1])}"] += 1
             elif op in ("sc", "scn", "SC", "SCN"):
                 key = "fill" if op[0] == "s" else "stroke"
                 if v and isinstance(v[-1], Name):
-                    self.warn["Pattern skipped"] += 1
-                    st[key] = None
+                    st[key] = self.pattern(resource("Pattern", v[-1]), n, st, key, scopes, base, depth)
+                elif n and st.get(f"{key} space") is not None:
+                    st[key] = _painted(st[f"{key} space"].one(n))
                 elif n:
                     st[key] = to_rgb(n)
             elif op == "gs" and v and isinstance(g := resource("ExtGState", v[-1]), dict):
@@ -380,24 +602,20 @@ class Canvas:
                     st["blend"] = str(bm)
                     if str(bm) in ("Hue", "Saturation", "Color", "Luminosity"):
                         self.warn[f"BlendMode {bm}"] += 1
-                if isinstance(r(g.get("SMask")), dict):
-                    self.warn["SoftMask skipped"] += 1
+                if isinstance(soft := r(g.get("SMask")), dict):
+                    st["soft"] = self.soft_mask(soft, ctm, scopes, depth)
+                elif soft is not None:
+                    st["soft"] = None
             elif op == "sh" and v:
-                self.shade(resource("Shading", v[-1]), ctm, st)
+                self.shade(resource("Shading", v[-1]), ctm, st, lambda name: raw_resource("ColorSpace", name))
             elif op == "Do" and v:
                 x = resource("XObject", v[-1])
                 if isinstance(x, Stream) and x.attrs.get("Subtype") == "Form" and depth < 16:
-                    try:
-                        body = self.doc.stream_data(x)
-                    except ValueError as e:
-                        self.warn[f"Form {e}"] += 1
-                        continue
-                    m, own = r(x.attrs.get("Matrix")), r(x.attrs.get("Resources"))
-                    self.run(body, [own, *scopes] if isinstance(own, dict) else scopes, concat(m, ctm) if isinstance(m, list) and len(m) == 6 else ctm, dict(st), depth + 1)
+                    self.form(x, ctm, st, scopes, depth)
                 elif isinstance(x, Stream):
-                    self.image(x, ctm, st)
+                    self.image(x, ctm, st, lambda name: raw_resource("ColorSpace", name))
             elif op == "BI":
-                self.image(v[0], ctm, st)
+                self.image(v[0], ctm, st, lambda name: raw_resource("ColorSpace", name))
             elif op == "BT":
                 tm = tlm = (1, 0, 0, 1, 0, 0)
             elif op == "Tf" and len(v) >= 2 and n:
@@ -429,58 +647,83 @@ class Canvas:
         x, y = np.meshgrid(np.arange(self.w) + 0.5, np.arange(self.h) + 0.5)
         return inv[0] * x + inv[2] * y + inv[4], inv[1] * x + inv[3] * y + inv[5]
 
-    def image(self, x: Stream, ctm, st: dict) -> None:
+    def space(self, x, resources=None) -> colors.Space | None:
+        return colors.load(self.doc, x, function, resources)
+
+    def is_pattern(self, x, resources) -> bool:
+        x = self.doc.resolve(x)
+        if isinstance(x, str) and str(x) != "Pattern":
+            x = self.doc.resolve(resources(str(x)))
+        return str(self.doc.resolve(x[0]) if isinstance(x, list) and x else x) == "Pattern"
+
+    def samples(self, x: Stream, resources=None, mask: bool = False):
+        """(values in the space's ranges h x w x n, space, raw samples, bits) of an image, or None with a warning."""
         r, a = self.doc.resolve, x.attrs
-        w, h, bits = r(a.get("Width")), r(a.get("Height")), r(a.get("BitsPerComponent", 8))
-        stencil = r(a.get("ImageMask")) is True
-        space = r(a.get("ColorSpace"))
-        n = 1 if stencil else {"DeviceRGB": 3, "DeviceCMYK": 4, "DeviceGray": 1}.get(str(space), 0)
-        palette = None
-        if isinstance(space, list) and space and r(space[0]) == "Indexed" and len(space) > 3:
-            table = r(space[3])
-            try:
-                table = self.doc.stream_data(table) if isinstance(table, Stream) else table
-            except ValueError:
-                table = None
-            deep = {"DeviceRGB": 3, "DeviceCMYK": 4, "DeviceGray": 1}.get(str(r(space[1])), 0)
-            palette = np.frombuffer(table[: len(table) // deep * deep], np.uint8).reshape(-1, deep) / 255 if isinstance(table, bytes) and deep else None
-            n = 1 if palette is not None and len(palette) else 0
+        get = lambda k, short=None: r(a.get(k, a.get(short)))
+        w, h, bits = get("Width", "W"), get("Height", "H"), get("BitsPerComponent", "BPC")
+        stencil = get("ImageMask", "IM") is True
         try:
-            body = self.doc.stream_data(x)
+            body, kind = self.doc.image_data(x)
         except (filters.Unsupported, filters.Undecodable) as e:
             self.warn[f"Image {e}"] += 1
+            return None
+        named = get("ColorSpace", "CS")
+        space = colors.GRAY if stencil else self.space(named, resources) if named is not None else None
+        if kind == "pixels":  # a codec that has its own size and depth
+            h, w, n = body.shape
+            bits, raw = 8, body
+            space = space if space is not None and space.n == n else colors.of_count(n)
+        else:
+            bits = 1 if stencil else bits if bits is not None else 8
+            if space is None and named is None and mask:
+                space = colors.GRAY
+            if space is None or bits not in (1, 2, 4, 8, 16) or type(w) is not int or type(h) is not int or not 0 < w * h <= MAX_PIXELS:
+                self.warn["Image Unsupported"] += 1
+                return None
+            n = space.n
+            row = (w * n * bits + 7) // 8
+            if len(body) < row * h:
+                self.warn["Image Truncated"] += 1
+                body = body.ljust(row * h, b"\0")
+            raw = np.frombuffer(body, np.uint8)[: row * h].reshape(h, row)
+            if bits == 16:
+                raw = raw[:, : w * n * 2].reshape(h, -1, 2).astype(int) @ (256, 1)
+            elif bits < 8:
+                raw = (np.unpackbits(raw, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1]))[:, : w * n]
+            raw = raw[:, : w * n].reshape(h, w, n)
+        dec = [r(v) for v in get("Decode", "D") or []]
+        top = (1 << bits) - 1
+        spans = dec if len(dec) >= 2 * n and all(isinstance(v, (int, float)) for v in dec) else [0.0, float(top)] if space.spans == [0.0, -1.0] else space.spans
+        lo, hi = np.array(spans[0 : 2 * n : 2], float), np.array(spans[1 : 2 * n : 2], float)
+        return lo + raw * ((hi - lo) / top), space, raw, bits
+
+    def image(self, x: Stream, ctm, st: dict, resources=None) -> None:
+        r, a = self.doc.resolve, x.attrs
+        got, uv = self.samples(x, resources), self.grid(ctm)
+        if got is None or uv is None:
             return
-        bits = 1 if stencil else bits
-        if not n or bits not in (1, 2, 4, 8) or type(w) is not int or type(h) is not int or not 0 < w * h <= MAX_PIXELS:
-            self.warn["Image Unsupported"] += 1
-            return
-        row = (w * n * bits + 7) // 8
-        if len(body) < row * h:
-            self.warn["Image Truncated"] += 1
-            body = body.ljust(row * h, b"\0")
-        raw = np.frombuffer(body, np.uint8)[: row * h].reshape(h, row)
-        if bits < 8:
-            raw = (np.unpackbits(raw, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1]))[:, : w * n]
-        raw = raw[:, : w * n].reshape(h, w, n)
-        v = palette[np.minimum(raw[:, :, 0], len(palette) - 1)] if palette is not None else raw / ((1 << bits) - 1)
-        dec = r(a.get("Decode"))
-        if isinstance(dec, list) and len(dec) >= 2 * n and palette is None and dec[0] > dec[1]:
-            v = 1 - v
-        uv = self.grid(ctm)
-        if uv is None:
-            return
+        v, space, raw, _ = got
         u, t = uv
         inside = (u >= 0) & (u < 1) & (t >= 0) & (t < 1)
-        px = v[np.clip(((1 - t) * h).astype(int), 0, h - 1), np.clip((u * w).astype(int), 0, w - 1)]
-        if stencil:
+        at = lambda z: z[np.clip(((1 - t) * z.shape[0]).astype(int), 0, z.shape[0] - 1), np.clip((u * z.shape[1]).astype(int), 0, z.shape[1] - 1)]
+        if r(a.get("ImageMask", a.get("IM"))) is True:
             if st["fill"] is not None:
-                self.paint(inside * (px[:, :, 0] < 0.5).astype(np.float32), st["fill"], st, st["ca"])
+                self.paint(inside * (at(v)[:, :, 0] < 0.5).astype(np.float32), st["fill"], st, st["ca"])
             return
-        if px.shape[2] == 4:
-            px = 1 - np.minimum(1, px[:, :, :3] + px[:, :, 3:])
-        self.paint(inside.astype(np.float32), np.broadcast_to(px, (*px.shape[:2], 3)).astype(np.float32), st, st["ca"])
-
-    def shade(self, x, ctm, st: dict) -> None:
+        alpha = inside.astype(np.float32)
+        soft, mask = r(a.get("SMask")), r(a.get("Mask"))
+        if isinstance(soft, Stream):
+            if (m := self.samples(soft, resources, True)) is not None:
+                alpha = alpha * np.clip(at(m[0])[:, :, 0], 0, 1)
+        elif isinstance(mask, Stream):
+            if (m := self.samples(mask, resources, True)) is not None:
+                alpha = alpha * (at(m[0])[:, :, 0] < 0.5)
+        elif isinstance(mask, list) and len(mask) >= 2 * raw.shape[2]:
+            lo, hi = np.array([r(z) for z in mask[0::2]][: raw.shape[2]]), np.array([r(z) for z in mask[1::2]][: raw.shape[2]])
+            alpha = alpha * ~at(((raw >= lo) & (raw <= hi)).all(2))
+        self.paint(alpha.astype(np.float32), np.clip(np.nan_to_num(space.rgb(at(v))), 0, 1).astype(np.float32), st, st["ca"])
+
+    def shade(self, x, ctm, st: dict, resources=None, mask=None) -> None:
         d = x.attrs if isinstance(x, Stream) else x
         r = self.doc.resolve
         kind = r(d.get("ShadingType")) if isinstance(d, dict) else None
@@ -508,8 +751,22 @@ class Canvas:
             ok &= r0 + np.clip(t, 0 if not ext[0] else -1e9, 1 if not ext[1] else 1e9) * dr >= 0
         ok &= (t >= 0) | bool(ext[0])
         ok &= (t <= 1) | bool(ext[1])
-        lut = np.array([to_rgb([y for g in parts for y in g(lo + k / 255 * (hi - lo))]) for k in range(256)], np.float32)
-        self.paint(ok.astype(np.float32), lut[(np.clip(t, 0, 1) * 255).astype(int)], st, st["ca"])
+        space = self.space(d.get("ColorSpace"), resources)
+        values = [[y for g in parts for y in g(lo + k / 255 * (hi - lo))] for k in range(256)]
+        if space is None or any(len(z) < space.n for z in values):
+            self.warn["Shading Unsupported"] += 1
+            return
+        lut = np.clip(space.rgb(np.array([z[: space.n] for z in values], float)), 0, 1).astype(np.float32)
+        self.paint(ok.astype(np.float32) if mask is None else ok * mask, lut[(np.clip(t, 0, 1) * 255).astype(int)], st, st["ca"])
+
+
+def _painted(rgb: tuple[float, float, float]) -> tuple[float, float, float] | None:
+    """No paint for a colorant that marks nothing."""
+    return None if math.isnan(rgb[0]) else rgb
+
+
+def _shown(x) -> str:
+    return str(x[0]) if isinstance(x, list) and x else str(x)
 
 
 def _area(p: np.ndarray) -> float:
@@ -517,14 +774,37 @@ def _area(p: np.ndarray) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())
 
 
-def render(doc, page, scale: float = 1.0) -> tuple[int, int, bytes, list[str]]:
-    """(width, height, PNG, warnings) of a page."""
+def _fresh() -> dict:
+    """The graphics state that a page begins with."""
+    return {
+        "fill": (0.0,) * 3, "stroke": (0.0,) * 3, "w": 1.0, "cap": 0, "join": 0, "dash": [], "phase": 0.0, "ca": 1.0, "CA": 1.0, "blend": "Normal", "clip": None, "soft": None, "face": None, "size": 0.0, "tc": 0.0,
+        "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "mode": 0,
+    }
+
+
+#: Distinct warnings of a page that are listed; others are counted.
+MOST_WARNINGS = 64
+
+
+def report(warn: Counter) -> list[str]:
+    """Equal warnings once, with their number; what goes beyond the most is counted in a last line."""
+    shown = [f"{k} ({n})" if n > 1 else k for k, n in sorted(warn.items())]
+    return shown if len(shown) <= MOST_WARNINGS else [*shown[:MOST_WARNINGS], f"{sum(n for _, n in sorted(warn.items())[MOST_WARNINGS:])} more"]
+
+
+def draw(doc, page, scale: float = 1.0) -> tuple[np.ndarray, Counter]:
+    """Pixels (height x width x 3 bytes) of a page, and warnings."""
     canvas = Canvas(doc, page, scale)
-    state = {"fill": (0.0,) * 3, "stroke": (0.0,) * 3, "w": 1.0, "cap": 0, "join": 0, "dash": [], "phase": 0.0, "ca": 1.0, "CA": 1.0, "blend": "Normal", "clip": None, "face": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "mode": 0}
     ctm = base_matrix(page, scale)
     try:
-        canvas.run(page.content(), [page.resources], ctm, dict(state))
+        canvas.run(page.content(), [page.resources], ctm, _fresh())
     except (filters.Unsupported, filters.Undecodable) as e:
         canvas.warn[f"PageContents {e}"] += 1
-    rgb = np.clip(np.rint(canvas.px * 255), 0, 255).astype(np.uint8)
-    return canvas.w, canvas.h, png(rgb), [f"{k} ({n})" if n > 1 else k for k, n in sorted(canvas.warn.items())][:64]
+    canvas.annotations(page, ctm)
+    return np.clip(np.rint(canvas.px * 255), 0, 255).astype(np.uint8), canvas.warn
+
+
+def render(doc, page, scale: float = 1.0, level: int = 6) -> tuple[int, int, bytes, list[str]]:
+    """(width, height, PNG, warnings) of a page."""
+    rgb, warn = draw(doc, page, scale)
+    return rgb.shape[1], rgb.shape[0], png(rgb, level), report(warn)

@@ -1,6 +1,7 @@
 """Files to tables. A file is a row (content BINARY); each view is a narrow map over the rows, so no view shuffles, and only what a view needs is read from a document.
 
-Damaged or encrypted files give rows with an error (view `documents`) and none elsewhere; nothing raises in a task.
+A file that can't be opened gives a row with an error (view `documents`) and none elsewhere. A fault on a page costs the rows of that page alone, and view `skips` has a row of kind "page" for it;
+a fault that ends a view of the whole document is told in `documents.error`. Lack of memory fails the task.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ SCHEMAS = {
     "page_markdown": "page int, markdown string",
     "tree": "tree string",
     "png": "page int, width int, height int, png binary, warnings string",
+    "pixels": "page int, x int, y int, r int, g int, b int",
 }
 
 
@@ -94,9 +96,14 @@ def value_tree(doc: Document, data: str = "omit") -> dict:
 
 
 def _read(doc: Document) -> Iterator[tuple[int, list[Span], list[Ruling], dict]]:
+    """What is read of each page; nothing of one with a fault."""
     cache: dict = {}
     for k, p in enumerate(doc.pages):
-        r = read_page(doc, p, cache)
+        try:
+            r = read_page(doc, p, cache)
+        except FAULTS:
+            yield k, [], [], {}
+            continue
         yield k, r.spans, r.rulings, r.skips
 
 
@@ -108,6 +115,30 @@ def _blocks(doc: Document) -> list[list[L.Block]]:
     return pages
 
 
+#: What reading a damaged file may raise.
+FAULTS = (DocumentError, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError)
+
+
+def _pages(d: Document) -> Iterator[tuple[int, object]]:
+    yield from enumerate(d.pages)
+
+
+def _each(d: Document, rows: Callable, faults: list | None = None) -> Iterator[tuple]:
+    """The rows of each page by itself: a page with a fault has none, and the fault is noted."""
+    for k, p in _pages(d):
+        try:
+            out = list(rows(k, p))
+        except FAULTS as e:
+            if faults is not None:
+                faults.append((k, e))
+            continue
+        yield from out
+
+
+def _fault(e: BaseException) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def _v_documents(d):
     yield "{}.{}".format(*d.version), d.decryptor is not None, len(d.pages), d.declared_pages(), len(d.data), None
 
@@ -119,9 +150,12 @@ def _v_metadata(d):
 
 def _v_pages(d):
     box = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b, strict=True))
-    for k, p in enumerate(d.pages):
+
+    def rows(k, p):
         yield k, ({"num": p.ref.num, "gen": p.ref.gen} if p.ref else None), box(p.media_box), box(p.crop_box), p.rotate, *p.size, _dumps(to_json(p.resources))
 
+    return _each(d, rows)
+
 
 def _v_elements(d, content_ops=False):
     for k, e in enumerate(d.elements(content_ops=content_ops)):
@@ -137,36 +171,32 @@ def _v_xref(d):
 
 
 def _v_ops(d):
-    for k, p in enumerate(d.pages):
-        try:
-            for n, (op, v, a, b) in enumerate(operators(p.content())):
-                yield k, n, op, [_dumps(to_json(x)) for x in v], a, b
-        except ValueError:
-            continue
+    return _each(d, lambda k, p: ((k, n, op, [_dumps(to_json(x)) for x in v], a, b) for n, (op, v, a, b) in enumerate(operators(p.content()))))
+
+
+def _reading(d: Document, rows: Callable, faults: list | None = None) -> Iterator[tuple]:
+    """Rows from what is read of each page."""
+    cache: dict = {}
+    return _each(d, lambda k, p: rows(k, read_page(d, p, cache)), faults)
 
 
 def _v_spans(d):
-    for k, spans, _, _ in _read(d):
-        for n, s in enumerate(spans):
-            yield k, n, *s
+    return _reading(d, lambda k, r: ((k, n, *s) for n, s in enumerate(r.spans)))
 
 
 def _v_rulings(d):
-    for k, _, rulings, _ in _read(d):
-        for n, r in enumerate(rulings):
-            yield k, n, *r
+    return _reading(d, lambda k, r: ((k, n, *x) for n, x in enumerate(r.rulings)))
 
 
 def _v_skips(d):
-    for k, _, _, skips in _read(d):
-        for (kind, cause, detail), n in sorted(skips.items()):
-            yield k, kind, cause, detail, n
+    faults: list = []
+    yield from _reading(d, lambda k, r: [(k, kind, cause, detail, n) for (kind, cause, detail), n in sorted(r.skips.items())], faults)
+    for k, e in faults:
+        yield k, "page", "Unreadable", _fault(e), 1
 
 
 def _v_lines(d):
-    for k, spans, _, _ in _read(d):
-        for n, x in enumerate(y for seg in L.segments(spans) for y in L.group_lines(seg)):
-            yield k, n, x.text, x.x, x.y, x.end_x, x.size
+    return _reading(d, lambda k, r: ((k, n, x.text, x.x, x.y, x.end_x, x.size) for n, x in enumerate(y for seg in L.segments(r.spans) for y in L.group_lines(seg))))
 
 
 def _v_blocks(d):
@@ -176,8 +206,7 @@ def _v_blocks(d):
 
 
 def _v_text(d):
-    for k, spans, _, _ in _read(d):
-        yield k, L.text_of(spans)
+    return _reading(d, lambda k, r: [(k, L.text_of(r.spans))])
 
 
 def _v_document_text(d):
@@ -189,25 +218,36 @@ def _v_markdown(d):
 
 
 def _v_page_markdown(d):
-    for k, spans, rulings, _ in _read(d):
-        yield k, L.markdown([L.page_blocks(spans, rulings)])
+    return _reading(d, lambda k, r: [(k, L.markdown([L.page_blocks(r.spans, r.rulings)]))])
 
 
 def _v_tree(d):
     yield (_dumps(value_tree(d)),)
 
 
-def _v_png(d, scale=1.0):
+def _v_png(d, scale=1.0, compression=6):
     from ..kernels.raster import render
 
-    for k, p in enumerate(d.pages):
-        w, h, png, warnings = render(d, p, scale)
+    def rows(k, p):
+        w, h, png, warnings = render(d, p, scale, compression)
         yield k, w, h, png, "; ".join(warnings)
 
+    return _each(d, rows)
+
+
+def _v_pixels(d, scale=1.0):
+    from ..kernels.raster import draw
+
+    def rows(k, p):
+        rgb = draw(d, p, scale)[0].tolist()
+        return ((k, x, y, *c) for y, line in enumerate(rgb) for x, c in enumerate(line))
+
+    return _each(d, rows)
+
 
 VIEWS: dict[str, Callable] = {
     "documents": _v_documents, "metadata": _v_metadata, "pages": _v_pages, "elements": _v_elements, "xref_entries": _v_xref, "content_ops": _v_ops, "spans": _v_spans, "rulings": _v_rulings, "skips": _v_skips, "lines": _v_lines,
-    "blocks": _v_blocks, "text": _v_text, "document_text": _v_document_text, "markdown": _v_markdown, "page_markdown": _v_page_markdown, "tree": _v_tree, "png": _v_png,
+    "blocks": _v_blocks, "text": _v_text, "document_text": _v_document_text, "markdown": _v_markdown, "page_markdown": _v_page_markdown, "tree": _v_tree, "png": _v_png, "pixels": _v_pixels,
 }
 
 
@@ -240,11 +280,13 @@ def view(df: DataFrame, name: str, *keys: str, content: str = "content", passwor
     return inner.mapInArrow(run, schema)
 
 
-def _open(f: Callable, data: bytes | None, password: str, name: str, options: dict) -> list[tuple]:
+def _open(f: Callable, data: bytes | None, password: str, name: str, options: dict) -> Iterator[tuple]:
+    """The rows of a view, as they come: what a fault cuts off doesn't take back the rows before it."""
     try:
-        return list(f(Document(data or b"", password), **options))
-    except (DocumentError, RecursionError, MemoryError, ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError) as e:
-        return [(None, None, None, None, len(data or b""), f"{type(e).__name__}: {e}")] if name == "documents" else []
+        yield from f(Document(data or b"", password), **options)
+    except FAULTS as e:
+        if name == "documents":
+            yield None, None, None, None, len(data or b""), _fault(e)
 
 
 class PdfDataSource(DataSource):
