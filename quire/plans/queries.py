@@ -569,6 +569,84 @@ def render_shapes(spark, sf):
     return r.select("n_nationkey", "page", "width", "height", F.startswith(F.hex("png"), F.lit("89504E470D0A1A0A")).alias("is_png"), "warnings")
 
 
+#: What the boxes of a page of colours show, as RGB bytes by the key k (SQL). Boxes are 10 points wide, in order from the left, the second row above.
+_PAINTED = {
+    "gray": ("10.2 * k", "10.2 * k", "10.2 * k"), "rgb": ("10.2 * k", "102", "51"), "cmyk": ("(1 - least(1, 0.04 * k + 0.2)) * 255", "204", "204"), "separation": ("255", "255 - 10.2 * k", "255 - 4.08 * k"),
+    "indexed": ("k", "255 - k", "10 * k"), "icc": ("51", "10.2 * k", "102"), "smask": ("255 - 10 * k", "255 - 10 * k", "255 - 10 * k"), "alpha": ("191", "191", "191"),
+    "multiply": ("102", "10.2 * k * 0.4", "255 * 0.4"), "keyed": ("255", "255", "255"), "stencil": ("51", "102", "10.2 * k"), "devicen": ("255 - 10.2 * k", "255 - 102", "255"), "annotation": ("10.2 * k", "0", "102"),
+    "tiled": ("102", "10.2 * k", "0"), "lab": ("255", "255", "255"), "softmask": ("255 - 10.2 * k", "255 - 10.2 * k", "255 - 10.2 * k"),
+}
+
+
+def _colors(k):
+    t = k / 25
+    n = lambda *v: b" ".join(C.dump(float(x)) for x in v)
+    boxes = {
+        "gray": n(t) + b" g", "rgb": n(t, 0.4, 0.2) + b" rg", "cmyk": n(t, 0, 0, 0.2) + b" k", "separation": b"/Spot cs " + n(t) + b" scn", "indexed": b"/Table cs %d sc" % k, "icc": b"/Profile cs " + n(0.2, t, 0.4) + b" sc",
+        "smask": b"/Soft", "alpha": b"0 g /Quarter gs", "multiply": b"0.4 g", "keyed": b"/Keyed", "stencil": n(0.2, 0.4, t) + b" rg /Stencil", "devicen": b"/Pair cs " + n(t, 0.4) + b" scn", "annotation": b"",
+        "tiled": b"/Tinted cs " + n(0.4, t, 0) + b" /Tile scn", "lab": b"/Lab cs 100 0 0 sc", "softmask": b"0 g /Masked gs",
+    }
+
+    def at(i, op):
+        x, y = i % 8 * 10, i // 8 * 10
+        if op.startswith(b"/") and b" " not in op or op.endswith(b"/Stencil"):
+            color, _, name = op.rpartition(b"/")
+            return b"q %s 10 0 0 10 %d %d cm /%s Do Q\n" % (color, x, y, name)
+        return b"q %s %d %d 10 10 re f Q\n" % (op, x, y) if op else b""
+
+    content = b"".join(at(i, op) for i, op in enumerate(boxes.values()))
+    x, y = list(boxes).index("multiply") % 8 * 10, 10
+    content += b"q %s rg /Times gs %d %d 10 10 re f Q\n" % (n(1, t, 1), x, y)
+
+    def build(w):
+        image = lambda data, **attrs: w.stream(data, {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 1, "Height": 1, "BitsPerComponent": 8, **attrs})
+        gray = Name("DeviceGray")
+        tint = {"FunctionType": 2, "Domain": [0, 1], "C0": [0, 0, 0, 0], "C1": [0, 1, 0.4, 0], "N": 1}
+        pair = w.stream(b"{ exch 1 exch sub exch 1 exch sub 1 }", {"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1, 0, 1, 0, 1]})
+        form = lambda data, **attrs: w.stream(data, {"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 100, 100], **attrs})
+        look = form(b"%s rg 0 0 4 4 re f" % n(t, 0, 0.4), BBox=[0, 0, 4, 4])
+        tile = w.stream(b"0 0 3 3 re f", {"PatternType": 1, "PaintType": 2, "TilingType": 1, "BBox": [0, 0, 3, 3], "XStep": 3, "YStep": 3, "Resources": {}})
+        group = {"S": Name("Transparency"), "CS": gray}
+        ax, ay = list(boxes).index("annotation") % 8 * 10, 10
+        return {
+            "MediaBox": [0, 0, 80, 20], "Annots": [w.add({"Type": Name("Annot"), "Subtype": Name("Stamp"), "Rect": [ax, ay, ax + 10, ay + 10], "AP": {"N": look}})],
+            "Resources": {
+                "ColorSpace": {
+                    "Spot": [Name("Separation"), Name("Spot"), Name("DeviceCMYK"), tint], "Table": [Name("Indexed"), Name("DeviceRGB"), 24, bytes(v for j in range(25) for v in (j, 255 - j, 10 * j))],
+                    "Profile": [Name("ICCBased"), w.stream(b"", {"N": 3})], "Pair": [Name("DeviceN"), [Name("A"), Name("B")], Name("DeviceRGB"), pair], "Tinted": [Name("Pattern"), Name("DeviceRGB")],
+                    "Lab": [Name("Lab"), {"WhitePoint": [0.9642, 1, 0.8249]}],
+                },
+                "XObject": {
+                    "Soft": image(b"\0\0\0", ColorSpace=Name("DeviceRGB"), SMask=image(bytes([10 * k]), ColorSpace=gray)), "Keyed": image(bytes([k]), ColorSpace=gray, Mask=[k, k]),
+                    "Stencil": image(b"\0", ImageMask=True, BitsPerComponent=1),
+                },
+                "Pattern": {"Tile": tile},
+                "ExtGState": {"Quarter": {"ca": 0.25}, "Times": {"BM": Name("Multiply")}, "Masked": {"SMask": {"S": Name("Luminosity"), "G": form(n(t) + b" g 0 0 100 100 re f", Group=group)}}},
+            },
+        }
+
+    return C.document([content], C.FLAVOURS[k % 8], build=build)
+
+
+@registered("WITH n AS (SELECT n_nationkey AS k FROM nation) " + " UNION ALL ".join(f"SELECT k AS n_nationkey, '{name}' AS box, {', '.join(f'CAST(round({v}) AS INT) AS {c}' for c, v in zip('rgb', rgb))} FROM n" for name, rgb in _PAINTED.items()))
+def render_colors(spark, sf):
+    """The pixel in the middle of each box of colour."""
+    px = view(written(table(spark, sf, "nation").select("n_nationkey"), _colors, "n_nationkey"), "pixels").where("x % 10 = 5 and y % 10 = 5")
+    names = F.array(*map(F.lit, _PAINTED))
+    return px.select("n_nationkey", F.get(names, F.expr("int((1 - y div 10) * 8 + x div 10)")).alias("box"), "r", "g", "b")
+
+
+def _with_bad_page(key, name):
+    """Three pages; what the second shows nests deeper than anything may."""
+    return C.document([C.text_page([(f"{name} 1", 12, "F1")]), b"BT /F1 12 Tf " + b"[" * 4000 + b" TJ ET", C.text_page([(f"{name} 3", 12, "F1")])], C.FLAVOURS[key % 8])
+
+
+@registered("SELECT n_nationkey, page, n_name || ' ' || CAST(page + 1 AS VARCHAR) AS text FROM nation, (SELECT CAST(unnest([0, 2]) AS INT) AS page)")
+def good_pages_stay(spark, sf):
+    """One bad page among good ones: the good ones' text is there."""
+    return view(written(table(spark, sf, "nation").select("n_nationkey", "n_name"), _with_bad_page, "n_nationkey"), "text").where("trim(text) != ''")
+
+
 def _grid_page(key, name):
     return C.document([C.table_page([["k", name], ["1", "2"], ["3", "4"]], [72, 250], ruled=True)], C.FLAVOURS[key % 8])
 
