@@ -102,3 +102,12 @@ def hexdump(b: Column, width: int = 16) -> Column:
         return F.concat(F.lpad(F.lower(F.hex(k * width)), 8, "0"), F.lit("  "), F.rpad(spaced, width * 3 + 1, " "), F.lit(" |"), text, F.lit("|"))
 
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(rows, line))
+
+
+def result_bytes(result: Column, content: Column) -> Column:
+    """The bytes of the spans in a query's JSON result: an object with _span [start, end], or an array of such; null for other results."""
+    kind = "struct<_span: array<bigint>>"
+    one, many = F.from_json(result, kind), F.from_json(result, f"array<{kind}>")
+    spans = F.when(result.rlike(r"^\s*\["), F.transform(many, lambda x: x["_span"])).when(result.rlike(r"^\s*\{"), F.array(one["_span"]))
+    good = (F.size(spans) > 0) & F.forall(spans, lambda s: F.coalesce((F.size(s) == 2) & (s[0] >= 0) & (s[1] >= s[0]), F.lit(False)))
+    return F.when(good, F.transform(spans, lambda s: F.substring(content, (s[0] + 1).cast("int"), (s[1] - s[0]).cast("int"))))

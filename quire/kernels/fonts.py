@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from . import metrics
 from .objects import Name, Op, Parser, ParseError, Ref, Stream
 
 #: Glyph names that don't follow from a character's Unicode name.
@@ -136,7 +137,7 @@ class ToUnicode:
         return None
 
 
-#: Widths of the standard fonts stand in by class where a file has none: thousandths of an em.
+#: Widths by class, where a file has none and its font is no standard one: thousandths of an em.
 _NARROW, _WIDE = set("ijl.,:;'|!ftI[]()/\\` "), set("mwMWOQG@%")
 
 
@@ -198,8 +199,9 @@ class Font:
         first, widths = get(attrs, "FirstChar"), get(attrs, "Widths")
         missing = get(desc, "MissingWidth")
         mono = "courier" in self.name.lower() or "mono" in self.name.lower()
-        given = isinstance(widths, list)
-        self.widths = [float(missing) if isinstance(missing, (int, float)) else 500.0 if given else fallback_width(self.table[c] or " ", mono) for c in range(256)]
+        given, standard = isinstance(widths, list), metrics.face(self.name)
+        usual = lambda ch: (metrics.width(standard, ch) if standard else None) or fallback_width(ch, mono)
+        self.widths = [float(missing) if isinstance(missing, (int, float)) else 500.0 if given else usual(self.table[c] or " ") for c in range(256)]
         for k, w in enumerate(widths if given else []):
             c, w = (first if isinstance(first, int) else 0) + k, r(w)
             if 0 <= c < 256 and isinstance(w, (int, float)):

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from .content import Ruling, Span
 
+#: Fixed values of the layout rules: distances in points or em, shares of a width or height, least numbers of spans and lines.
 LINE, GLUE, PARAGRAPH, WORD_CELL = 0.5, 0.15, 1.8, 1.0
 GAP, BINS, COLUMN_SPANS, COLUMN_LINES, SIDE_SPANS, NEAR = 6.0, 128, 40, 6, 10, 6.0
+ACROSS, MIDDLE, SIDE_WIDTH, SIDE_HEIGHT = 0.5, (0.25, 0.75), 0.25, 0.4
 HEAD_CHARS, TITLE_CHARS = 120, 60
 _MARKER = re.compile(r"\s*(?:([•◦▪–\-*])|(\d{1,3})[.)])\s+")
 
@@ -116,12 +119,15 @@ def assemble(spans: list[Span]) -> Line | None:
 
 
 def occupancy(lo: float, hi: float, extents: list[tuple[float, float]]) -> list[int]:
-    bins = [0] * BINS
-    step = (hi - lo) / BINS or 1.0
+    """How many extents reach into each bin, by a running sum over where they begin and end."""
+    step, edge = (hi - lo) / BINS or 1.0, [0] * (BINS + 1)
     for a, b in extents:
-        for k in range(max(0, math.floor((a - lo) / step)), min(BINS, max(math.floor((a - lo) / step) + 1, math.ceil((b - lo) / step)))):
-            bins[k] += 1
-    return bins
+        first = max(0, math.floor((a - lo) / step))
+        end = min(BINS, max(first + 1, math.ceil((b - lo) / step)))
+        if first < end:
+            edge[first] += 1
+            edge[end] -= 1
+    return list(accumulate(edge[:-1]))
 
 
 def interior_gaps(bins: list[int], width: float, least: float = GAP) -> list[tuple[int, int]]:
@@ -137,36 +143,53 @@ def interior_gaps(bins: list[int], width: float, least: float = GAP) -> list[tup
     return out
 
 
+def gutter(spans: list[Span], lo: float, hi: float) -> float | None:
+    """Where the page's columns part: the only wide empty lane of a body that is taller than wide, in the middle, with a column on either side."""
+    low, high = min(s.y for s in spans), max(s.y for s in spans)
+    if len(spans) < COLUMN_SPANS or high - low <= hi - lo:
+        return None
+    step = (hi - lo) / BINS
+    lanes = interior_gaps(occupancy(lo, hi, [(min(s.x, s.end_x), max(s.x, s.end_x)) for s in spans]), step)
+    if len(lanes) != 1 or not MIDDLE[0] <= sum(lanes[0]) / 2 / BINS <= MIDDLE[1]:
+        return None
+    cut = lo + sum(lanes[0]) / 2 * step
+    sides = [[s for s in spans if max(s.x, s.end_x) <= cut], [s for s in spans if max(s.x, s.end_x) > cut]]
+    return cut if all(is_column(side, hi - lo, high - low) for side in sides) else None
+
+
+def is_column(side: list[Span], width: float, height: float) -> bool:
+    """Spans on several lines that take up enough of the page's text."""
+    if len(side) < SIDE_SPANS or len({round(s.y) for s in side}) < COLUMN_LINES:
+        return False
+    x = [v for s in side for v in (s.x, s.end_x)]
+    y = [s.y for s in side]
+    return max(x) - min(x) >= SIDE_WIDTH * width and max(y) - min(y) >= SIDE_HEIGHT * height
+
+
 def segments(spans: list[Span]) -> list[list[Span]]:
-    """Spans in reading order: where a page has two columns, what stands above, the left, the right, and so on between lines that cross the gutter."""
+    """Spans in reading order: where a page has two columns, what stands above, the left, the right, and so on between the wide lines that cross both."""
     if len(spans) < COLUMN_SPANS:
         return [spans]
-    lo, hi = min(s.x for s in spans), max(s.end_x for s in spans)
-    step = (hi - lo) / BINS
-    if step <= 0:
-        return [spans]
-    bins = occupancy(lo, hi, [(s.x, s.end_x) for s in spans])
-    few = max(1, len(spans) // 20)
-    best, lanes = None, interior_gaps([0 if n <= few else n for n in bins], step)
-    if len(lanes) > 1:  # more lanes than a gutter: a grid, which is read by rows
+    lo, hi = min(min(s.x, s.end_x) for s in spans), max(max(s.x, s.end_x) for s in spans)
+    wide = [abs(s.end_x - s.x) > ACROSS * (hi - lo) for s in spans]
+    body = [s for s, w in zip(spans, wide, strict=True) if not w]
+    cut = gutter(body, lo, hi) if body and math.isfinite(hi - lo) and hi > lo else None
+    if cut is None:
         return [spans]
-    for a, b in lanes:
-        mid = lo + (a + b) / 2 * step
-        across = [s for s in spans if s.x < mid - 1 and s.end_x > mid + 1]
-        left, right = [s for s in spans if s.end_x <= mid + 1], [s for s in spans if s.x >= mid - 1]
-        if len(across) <= few and all(len(side) >= SIDE_SPANS and len({round(s.y) for s in side}) >= COLUMN_LINES for side in (left, right)) and (best is None or b - a > best[0]):
-            best = b - a, mid, across
-    if best is None:
-        return [spans]
-    _, mid, across = best
-    edges = sorted({round(s.y, 2) for s in across}, reverse=True)
+    crossing: dict[float, list[Span]] = defaultdict(list)
+    for s, w in zip(spans, wide, strict=True):
+        if w:
+            crossing[s.y].append(s)
+    edges = sorted(crossing, reverse=True)
+    # bands from the top: a band takes what lies above its edge or on it
+    bands: list[tuple[list[Span], list[Span]]] = [([], []) for _ in range(len(edges) + 1)]
+    rising = [-y for y in edges]
+    for s in body:
+        bands[bisect_left(rising, -s.y)][max(s.x, s.end_x) > cut].append(s)
     out: list[list[Span]] = []
-    top = math.inf
-    for y in [*edges, -math.inf]:
-        band = [s for s in spans if s not in across and y < s.y < top]
-        out += [x for x in ([s for s in band if s.x < mid - 1], [s for s in band if s.x >= mid - 1]) if x]
-        out += [[s for s in spans if s in across and abs(s.y - y) < 0.01]] if y > -math.inf else []
-        top = y
+    for (left, right), y in zip(bands, [*edges, None], strict=True):
+        out += [side for side in (left, right) if side]
+        out += [crossing[y]] if y is not None else []
     return out
 
 

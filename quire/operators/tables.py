@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import half_points, is_page_number, normalise_line
+from ..functions.text import half_points, hexdump, is_page_number, normalise_line
 
 
 def merge_sections(entries: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -33,14 +33,19 @@ def resolve_refs(edges: DataFrame, most: int = 32) -> DataFrame:
     return step.select("node", F.when(~bad, F.coalesce("at", "node")).alias("target"), F.when(~bad, F.col("hops")).alias("hops"), F.when(bad, F.lit("cycle")).alias("error"))
 
 
-def inherit(nodes: DataFrame, attrs: list[str], most: int = 64) -> DataFrame:
-    """(node, depth, attributes): each attribute is the node's own or that of the nearest ancestor. nodes: node, parent and attributes; a level a join, until no parent is left."""
-    cur = nodes.select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), *attrs)
-    par = nodes.select(F.col("node").alias("p_node"), F.col("parent").alias("p_up"), *[F.col(a).alias(f"p_{a}") for a in attrs])
-    for _ in range(most):
+def inherit(nodes: DataFrame, attrs: list[str], most: int = 1 << 20) -> DataFrame:
+    """(node, depth, attributes, error): each attribute is the node's own or that of the nearest ancestor. nodes: node, parent and attributes.
+
+    Ancestors are reached by doubling, so the joins grow with the logarithm of the depth; where `most` levels leave a parent, as in a cycle, error says so.
+    """
+    cur = nodes.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), *attrs)
+    for _ in range(most.bit_length()):
         if cur.where("up is not null").isEmpty():
             break
-        cur = cur.join(par, F.col("up") == F.col("p_node"), "left").select("node", F.col("p_up").alias("up"), (F.col("depth") + F.col("up").isNotNull().cast("int")).alias("depth"), *[F.coalesce(a, f"p_{a}").alias(a) for a in attrs])
+        over = cur.select(F.col("node").alias("p_node"), F.col("up").alias("p_up"), F.col("depth").alias("p_depth"), *[F.col(a).alias(f"p_{a}") for a in attrs])
+        step = cur.join(over, F.col("up") == F.col("p_node"), "left")
+        cur = step.select("node", F.col("p_up").alias("up"), (F.col("depth") + F.coalesce("p_depth", F.lit(0))).alias("depth"), *[F.coalesce(a, f"p_{a}").alias(a) for a in attrs])
+    cur = cur.withColumn("error", F.when(F.col("up").isNotNull(), "too deep")).withColumn("depth", F.col("depth").cast("int"))
     return cur.drop("up")
 
 
@@ -127,3 +132,29 @@ def selector(df: DataFrame, text: str, elements: DataFrame, key: str = "doc_id")
     else:
         raise ValueError(f"unknown selector {text!r}")
     return e.select(key, F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+
+
+def element_marks(elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, offset, label): where the physical elements of each document begin; members of object streams have no boundary of their own."""
+    kind, entries = F.col("kind"), F.get_json_object("value", "$.entries")
+    label = (
+        F.when(kind == "object", F.concat_ws(" ", F.lit("obj"), F.col("ref.num").cast("string"), F.col("ref.gen").cast("string")))
+        .when(kind == "xref", F.concat(F.lit("xref"), F.coalesce(F.concat(F.lit(" ("), entries, F.lit(" entries)")), F.lit("")))).otherwise(kind)
+    )
+    physical = elements.where(F.col("span").isNotNull() & F.col("in_objstm").isNull() & kind.isin("header", "object", "xref", "trailer", "startxref", "eof"))
+    return physical.select(key, F.col("span.start").alias("offset"), label.alias("label"))
+
+
+def marked_hexdump(df: DataFrame, marks: DataFrame, key: str = "doc_id", content: str = "content", width: int = 16) -> DataFrame:
+    """(key, row, label, line): rows of a hexdump, and before each the marks (key, offset, label) that lie in it; a mark at the end follows the last row. Ordered by key, row, label first and offset."""
+    lines = df.select(key, F.octet_length(content).cast("long").alias("size"), F.posexplode(hexdump(F.col(content), width)).alias("at", "line"))
+    rows = lines.select(key, F.col("at").cast("long").alias("row"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("offset"), "line")
+    sized = marks.join(df.select(key, F.octet_length(content).cast("long").alias("size")), key).where(F.col("offset").between(0, F.col("size")))
+    last = F.ceil(F.col("size") / width).cast("long")
+    heads = sized.select(key, F.least(F.expr(f"offset div {width}"), last).alias("row"), "label", "offset", F.concat(F.lit("── "), "label", F.lit(" ──")).alias("line"))
+    return rows.unionByName(heads).orderBy(key, "row", F.col("offset").asc_nulls_last())
+
+
+def complete(documents: DataFrame, skips: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, complete): is nothing of a document skipped?"""
+    return documents.select(key).join(skips.select(key).distinct().withColumn("complete", F.lit(False)), key, "left").withColumn("complete", F.coalesce("complete", F.lit(True)))

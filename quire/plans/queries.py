@@ -525,15 +525,25 @@ def first_fit_lines(spark, sf):
 
 
 def _columns(key, name):
-    rows = [b"BT /F1 10 Tf\n"]
-    for k in range(20):
-        rows += [b"1 0 0 1 %d %d Tm %s" % (x, 700 - 14 * k, C.show(f"{side}{k} {name[-4:]} aaaa bbbb cccc")) for side, x in (("L", 50), ("R", 330))]
+    """By key: two columns; a block wider than tall; three columns; two columns with a wide line between; a right column that is too short."""
+    shape, rows = key % 5, [b"BT /F1 10 Tf\n"]
+    for k in range(20 if shape == 1 else 40):
+        y = 700 - 14 * k - (14 if shape == 3 and k >= 20 else 0)
+        for side, x in (("L", 50), ("M", 230), ("R", 410)) if shape == 2 else (("L", 50), ("R", 330)):
+            if shape != 4 or side == "L" or k < 12:
+                rows.append(b"1 0 0 1 %d %d Tm %s" % (x, y, C.show(f"{side}{k} {name[-4:]} aaaa bbbb cccc")))
+    if shape == 3:
+        rows.append(b"1 0 0 1 50 %d Tm %s" % (700 - 14 * 20, C.show("W" + " wide" * 15)))
     return C.document([b"".join(rows) + b"ET"], C.FLAVOURS[key % 8])
 
 
 @registered("""
-WITH l AS (SELECT c_custkey, c_name, s.o, s.side, k FROM customer, (VALUES (0, 'L'), (1, 'R')) s(o, side), range(0, 20) t(k))
-SELECT c_custkey, string_agg(side || k || ' ' || right(c_name, 4) || ' aaaa bbbb cccc', chr(10) ORDER BY o, k) AS text FROM l GROUP BY 1
+WITH s AS (SELECT * FROM (VALUES (0, 'L'), (1, 'M'), (2, 'R')) s(o, side), range(0, 40) t(k), range(0, 5) h(shape)),
+p AS (SELECT shape, CASE WHEN shape = 0 THEN o * 100 + k WHEN shape = 3 THEN (k // 20) * 10000 + o * 100 + k ELSE k END AS line, o, side || k AS mark FROM s
+  WHERE (side <> 'M' OR shape = 2) AND (shape <> 1 OR k < 20) AND (shape <> 4 OR side = 'L' OR k < 12)),
+l AS (SELECT c_custkey, line, string_agg(mark || ' ' || right(c_name, 4) || ' aaaa bbbb cccc', ' ' ORDER BY o) AS t FROM customer JOIN p ON c_custkey % 5 = shape GROUP BY 1, 2
+  UNION ALL SELECT c_custkey, 9999, 'W' || repeat(' wide', 15) FROM customer WHERE c_custkey % 5 = 3)
+SELECT c_custkey, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY 1
 """)
 def two_column_order(spark, sf):
     return view(written(table(spark, sf, "customer").select("c_custkey", "c_name"), _columns, "c_custkey"), "document_text")
@@ -657,10 +667,85 @@ def ruling_view(spark, sf):
     return r.groupBy("n_nationkey").agg(F.count_if(F.col("y0") == F.col("y1")).alias("horizontal"), F.count_if(F.col("x0") == F.col("x1")).alias("vertical"))
 
 
-@registered(f"SELECT doc_id, CAST(sum(CASE WHEN x = 'Tj' THEN 1 END) AS BIGINT) AS shown FROM (SELECT doc_id, unnest(['Tj' FOR x IN {_LINES}]) AS x FROM documents) GROUP BY 1")
+#: Each operator of a content stream as it is written, and what it is read as: operator, number of operands, first operand as JSON.
+_EVERY = [
+    *[(f"{v} {op}", op, v.count(" ") + 1, v.split(" ")[0]) for op, v in (
+        ("cm", "1 0 0 1 7 8"), ("w", "2"), ("J", "1"), ("j", "2"), ("M", "10"), ("i", "50"), ("m", "3 4"), ("l", "5 6"), ("c", "1 2 3 4 5 6"), ("v", "2 3 4 5"), ("y", "3 4 5 6"), ("re", "4 5 6 7"), ("Tc", "3"), ("Tw", "4"),
+        ("Tz", "90"), ("TL", "12"), ("Tr", "1"), ("Ts", "5"), ("Td", "6 7"), ("TD", "7 8"), ("Tm", "1 0 0 1 2 3"), ("d0", "500 0"), ("d1", "500 0 0 0 9 9"), ("SC", "1 2"), ("sc", "2 3"), ("G", "1"), ("g", "0"), ("RG", "1 0 0"),
+        ("rg", "0 1 0"), ("K", "1 0 0 0"), ("k", "0 1 0 0"),
+    )],
+    *[(op, op, 0, None) for op in "q Q h S s f F f* B B* b b* n W W* BT ET T* EMC BX EX".split()],
+    *[(f"/{v} {op}", op, 1, f'"{v}"') for op, v in (("ri", "Perceptual"), ("gs", "G0"), ("CS", "DeviceRGB"), ("cs", "DeviceGray"), ("sh", "S0"), ("Do", "X0"), ("MP", "Tag"), ("BMC", "Tag"), ("SCN", "P0"), ("scn", "P1"))],
+    ("[3 2] 0 d", "d", 2, "[3,2]"), ("/F1 9 Tf", "Tf", 2, '"F1"'), ("(shown) Tj", "Tj", 1, '"shown"'), ("[(a) -250 (b)] TJ", "TJ", 1, '["a",-250,"b"]'), ("(next) '", "'", 1, '"next"'), ('1 2 (spaced) "', '"', 3, "1"),
+    ("/Tag << /K 1 >> DP", "DP", 2, '"Tag"'), ("/Tag /Props BDC", "BDC", 2, '"Tag"'), ("BI /W 1 /H 1 /BPC 8 /CS /G ID x EI", "BI", 1, None),
+]
+
+
+def _every_operator(key, name):
+    return C.document(["\n".join(x[0] for x in _EVERY).encode()], C.FLAVOURS[key % 8])
+
+
+@registered(" UNION ALL ".join("SELECT n_nationkey, CAST({} AS INT) AS seq, '{}' AS op, CAST({} AS INT) AS operands, {} AS first FROM nation".format(k, op.replace("'", "''"), n, "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'") for k, (_, op, n, v) in enumerate(_EVERY)))
 def content_operators(spark, sf):
-    ops = view(_documents(spark, sf), "content_ops")
-    return ops.where("op = 'Tj'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shown"))
+    """Every operator of a content stream, in order, with its operands."""
+    ops = view(written(table(spark, sf, "nation").select("n_nationkey", "n_name"), _every_operator, "n_nationkey"), "content_ops")
+    return ops.select("n_nationkey", "seq", "op", F.size("operands").alias("operands"), F.when(F.col("op") != "BI", F.get("operands", F.lit(0))).alias("first"))
+
+
+@registered("""
+SELECT n_nationkey, CAST(0 AS BIGINT) AS "offset", 'header' AS label FROM nation UNION ALL SELECT n_nationkey, 15, 'obj 1 0' FROM nation
+UNION ALL SELECT n_nationkey, CAST(15 + length('1 0 obj') + 1 + length('<< /Type /Catalog /Pages 2 0 R >>') + 1 + 6 + 1 AS BIGINT), 'obj 2 0' FROM nation
+""")
+def element_marks(spark, sf):
+    """The first boundaries of each file."""
+    e = view(written(table(spark, sf, "nation").select("n_nationkey", "n_name"), lambda k, n: C.from_text(n), "n_nationkey"), "elements")
+    return O.element_marks(e, "n_nationkey").where("label in ('header', 'obj 1 0', 'obj 2 0')").select("n_nationkey", "offset", "label")
+
+
+@registered("""
+WITH r AS (SELECT item_id, CAST(ceil(octet_length(encode(text)) / 16.0) AS BIGINT) AS n, octet_length(encode(text)) AS size FROM benchmark),
+m AS (SELECT item_id, n, size, unnest([0, 20, 21, 32]) AS o FROM r)
+SELECT item_id, CAST(o // 16 AS BIGINT) AS k, '── at ' || o || ' ──' AS line FROM m WHERE o <= size AND o < n * 16 UNION ALL SELECT item_id, n, '── at ' || o || ' ──' FROM m WHERE o <= size AND o >= n * 16
+UNION ALL SELECT item_id, CAST(unnest(range(0, n)) AS BIGINT), 'row' FROM r
+""")
+def marked_hexdump(spark, sf):
+    """Dumped rows, and before each the marks that lie in it."""
+    d = table(spark, sf, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
+    marks = d.select("item_id", F.expr("explode(array(0L, 20L, 21L, 32L))").alias("offset")).withColumn("label", F.concat(F.lit("at "), "offset"))
+    return O.marked_hexdump(d, marks, "item_id").select("item_id", F.col("row").alias("k"), F.when(F.col("label").isNull(), "row").otherwise(F.col("line")).alias("line"))
+
+
+@registered("SELECT n_nationkey, lower(hex(encode('%PDF-1.7'))) AS bytes FROM nation")
+def span_bytes(spark, sf):
+    """The bytes of a span that a query of the tree gives."""
+    d = written(table(spark, sf, "nation").select("n_nationkey", "n_name"), lambda k, n: C.from_text(n), "n_nationkey")
+    return d.select("n_nationkey", F.explode(T.result_bytes(F.lit('[{"_span":[0,8]}]'), F.col("content"))).alias("bytes")).select("n_nationkey", F.lower(F.hex("bytes")).alias("bytes"))
+
+
+@registered("SELECT n_nationkey, n_nationkey % 2 = 0 AS complete FROM nation")
+def complete_reports(spark, sf):
+    """Documents without skips; every second one has a content stream in a filter that isn't read."""
+
+    def build(k, n):
+        return C.document([C.text_page([(n, 12, "F1")])], build=(lambda w: {"Contents": w.add({"Filter": C.Name("JBIG2Decode"), "Length": 1}, b"x")}) if k % 2 else None)
+
+    d = written(table(spark, sf, "nation").select("n_nationkey", "n_name"), build, "n_nationkey")
+    return O.complete(d.select("n_nationkey"), view(d, "skips"), "n_nationkey")
+
+
+@registered("SELECT n_nationkey, 'page' AS ranking, CAST(NULL AS INT) AS level FROM nation WHERE FALSE UNION ALL SELECT n_nationkey, unnest(['document', 'page']) AS ranking, CAST(1 AS INT) AS level FROM nation")
+def layout_json(spark, sf):
+    """Levels of a page's only large line, ranked over the document and over the page."""
+    d = written(table(spark, sf, "nation").select("n_nationkey", "n_name"), lambda k, n: C.document([C.text_page([(n, 20, "F1"), *[("body text", 12, "F1")] * 6])]), "n_nationkey")
+    both = [view(d, "layout", ranking=r).select("n_nationkey", F.lit(r).alias("ranking"), F.get_json_object("layout", "$.pages[0].blocks[0].level").cast("int").alias("level")) for r in ("document", "page")]
+    return both[0].unionAll(both[1])
+
+
+@registered("SELECT n_nationkey, n_name, CAST(round(x, 3) AS DOUBLE) AS advance FROM (SELECT n_nationkey, n_name, list_sum([CASE WHEN contains('ABEKPSVXY', c) THEN 667 WHEN contains('CDHNRUw', c) THEN 722 WHEN contains('FTZ', c) THEN 611 WHEN contains('GOQ', c) THEN 778 WHEN c = 'I' OR c = ' ' THEN 278 WHEN contains('0123456789_', c) THEN 556 WHEN c = 'J' THEN 500 WHEN c = 'L' THEN 556 WHEN c = 'M' THEN 833 WHEN c = 'W' THEN 944 END FOR c IN string_split(n_name, '')]) / 1000.0 * 10 AS x FROM nation)")
+def standard_widths(spark, sf):
+    """The advance of a name in the standard sans face at ten points."""
+    d = view(written(table(spark, sf, "nation").select("n_nationkey", "n_name"), lambda k, n: C.document([b"BT /F1 10 Tf 1 0 0 1 0 700 Tm " + C.show(n) + b"ET"]), "n_nationkey"), "spans")
+    return d.select("n_nationkey", F.col("text").alias("n_name"), F.round(F.col("end_x") - F.col("x"), 3).alias("advance"))
 
 
 @registered(f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS lines FROM documents WHERE len({_LINES}) > 0")

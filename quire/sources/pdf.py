@@ -41,6 +41,7 @@ SCHEMAS = {
     "document_text": "text string",
     "markdown": "markdown string",
     "page_markdown": "page int, markdown string",
+    "layout": "layout string",
     "tree": "tree string",
     "png": "page int, width int, height int, png binary, warnings string",
     "pixels": "page int, x int, y int, r int, g int, b int",
@@ -221,6 +222,27 @@ def _v_page_markdown(d):
     return _reading(d, lambda k, r: [(k, L.markdown([L.page_blocks(r.spans, r.rulings)]))])
 
 
+def _v_layout(d, ranking="document", pages=None, pretty=False):
+    """Blocks of pages as JSON; sizes are ranked over the document, or over each page."""
+    if ranking not in ("document", "page"):
+        raise ValueError("ranking is document or page")
+    only = None if pages is None else {page_index(p, len(d.pages)) for p in pages}
+    if ranking == "document":
+        found = list(enumerate(_blocks(d)))
+    else:
+        found = [(k, L.page_blocks(spans, rulings)) for k, spans, rulings, _ in _read(d)]
+    block = lambda b: {"kind": b.kind, "level": b.level, "role": b.role, "text": L.block_markdown(b), "bbox": list(b.bbox)}
+    out = {"pages": [{"page": k + 1, "blocks": [block(b) for b in bs]} for k, bs in found if only is None or k in only]}
+    yield (json.dumps(out, ensure_ascii=False, indent=2) if pretty else _dumps(out),)
+
+
+def page_index(page: int, count: int) -> int:
+    """The index of a page counted from 1."""
+    if not 1 <= page <= count:
+        raise ValueError(f"page {page} is out of range 1 to {count}")
+    return page - 1
+
+
 def _v_tree(d):
     yield (_dumps(value_tree(d)),)
 
@@ -247,7 +269,7 @@ def _v_pixels(d, scale=1.0):
 
 VIEWS: dict[str, Callable] = {
     "documents": _v_documents, "metadata": _v_metadata, "pages": _v_pages, "elements": _v_elements, "xref_entries": _v_xref, "content_ops": _v_ops, "spans": _v_spans, "rulings": _v_rulings, "skips": _v_skips, "lines": _v_lines,
-    "blocks": _v_blocks, "text": _v_text, "document_text": _v_document_text, "markdown": _v_markdown, "page_markdown": _v_page_markdown, "tree": _v_tree, "png": _v_png, "pixels": _v_pixels,
+    "blocks": _v_blocks, "text": _v_text, "document_text": _v_document_text, "markdown": _v_markdown, "page_markdown": _v_page_markdown, "layout": _v_layout, "tree": _v_tree, "png": _v_png, "pixels": _v_pixels,
 }
 
 
