@@ -83,6 +83,13 @@ for _a, _names in _HIGH.items():
         STANDARD[_a + _k], STANDARD_NAMES[_a + _k] = GLYPHS[_n], _n
 for _c in range(32, 127):
     STANDARD_NAMES[_c] = _BACK.get(STANDARD[_c], STANDARD[_c])
+
+
+def glyph_name(ch: str) -> str:
+    """The usual glyph name of a character."""
+    return _BACK.get(ch, ch if len(ch) == 1 and ch.isascii() and ch.isalpha() else f"uni{ord(ch[0]):04X}")
+
+
 ENCODINGS = {"WinAnsiEncoding": WIN_ANSI, "MacRomanEncoding": MAC_ROMAN, "StandardEncoding": STANDARD}
 PICTURES = ("symbol", "zapfdingbats", "wingdings", "webdings", "dingbats", "marlett")
 

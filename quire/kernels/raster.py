@@ -1,6 +1,6 @@
 """Rendering: filled and stroked paths, clips, constant alpha, soft masks, separable blend modes, shadings, patterns, images and appearances of annotations, to RGB and PNG.
 
-Glyphs come from embedded TrueType programs and Type 3 procedures. Other font programs and some image codecs are left out, each reported in the warnings.
+Glyphs come from embedded TrueType, compact and Type 1 programs and Type 3 procedures. Text in fonts that aren't embedded and some image codecs are left out, each reported in the warnings.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 
 from . import colors, filters, fonts
+from .cff import CFF, Type1
 from .content import apply, concat, invert, operators
 from .glyphs import TrueType
 from .objects import Name, Ref, Stream
@@ -349,12 +350,16 @@ class Canvas:
             kids = r(attrs.get("DescendantFonts"))
             inner = r(kids[0]) if isinstance(kids, list) and kids else attrs
             desc = r(inner.get("FontDescriptor")) if isinstance(inner, dict) else None
-            file = r(desc.get("FontFile2")) if isinstance(desc, dict) else None
-            if isinstance(file, Stream):
-                try:
-                    program = TrueType(self.doc.stream_data(file))
-                except ValueError:
-                    pass
+            for key_, kind in (("FontFile2", TrueType), ("FontFile3", _compact), ("FontFile", Type1)):
+                file = r(desc.get(key_)) if isinstance(desc, dict) else None
+                if isinstance(file, Stream):
+                    try:
+                        program = kind(self.doc.stream_data(file))
+                    except (ValueError, IndexError, KeyError):
+                        self.warn["Glyph font program"] += 1
+            names = _names(r(attrs.get("Encoding")), r)
+            if isinstance(program, (CFF, Type1)) and not font.two_bytes:
+                program.by_code = [program.glyph(c, names.get(c)) for c in range(256)]
         self.faces[key] = font, program, procs, matrix, own
         return self.faces[key]
 
@@ -372,7 +377,7 @@ class Canvas:
             code = int.from_bytes(raw, "big")
             at = concat((st["size"] * st["tz"], 0, 0, st["size"], 0, st["ts"]), concat(tm, ctm))
             if program is not None and st["mode"] in (0, 2, 4, 6) and st["fill"] is not None:
-                path = program.path(code if font.two_bytes else program.glyph(code, text))
+                path = program.path(_glyph(program, font, code, text))
                 if path:
                     self.paint(coverage(flatten(path, concat((0.001, 0, 0, 0.001, 0, 0), at)), self.w, self.h), st["fill"], st, st["ca"])
                     seen = True
@@ -769,6 +774,34 @@ def _shown(x) -> str:
     return str(x[0]) if isinstance(x, list) and x else str(x)
 
 
+def _compact(d: bytes):
+    """The program of a FontFile3, which may wrap either kind of outline."""
+    return TrueType(d) if d[:4] in (b"\0\1\0\0", b"true") else CFF(d)
+
+
+def _names(enc, r) -> dict[int, str]:
+    """Glyph names by code, as far as the font's encoding tells them."""
+    base = str(enc) if isinstance(enc, str) else str(r(enc.get("BaseEncoding")) or "") if isinstance(enc, dict) else ""
+    out = {c: fonts.glyph_name(t) for c, t in enumerate(fonts.ENCODINGS.get(base, [])) if t}
+    code = 0
+    for x in (r(enc.get("Differences")) or []) if isinstance(enc, dict) else []:
+        x = r(x)
+        if isinstance(x, Name):
+            out[code] = str(x)
+            code += 1
+        elif isinstance(x, int):
+            code = x
+    return out
+
+
+def _glyph(program, font, code: int, text: str):
+    if isinstance(program, TrueType):
+        return code if font.two_bytes else program.glyph(code, text)
+    if font.two_bytes:
+        return program.glyph_of_cid(code) if isinstance(program, CFF) else None
+    return program.by_code[code & 255]
+
+
 def _area(p: np.ndarray) -> float:
     q = np.roll(p, -1, 0)
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())
