@@ -279,7 +279,7 @@ def _revised(key, old, new):
 
 @registered("SELECT c_custkey, c_mktsegment AS title, CAST(2 AS BIGINT) AS sections, CAST(1 AS BIGINT) AS revised FROM customer")
 def xref_merge_latest(spark, sf):
-    d = written(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), _revised, "c_custkey").persist()
+    d = written(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), _revised, "c_custkey")
     x = view(d, "xref_entries")
     merged = O.merge_sections(x, "c_custkey")
     newest = x.where("section = 0").join(merged.select("c_custkey", "num", F.col("a").alias("merged_a")), ["c_custkey", "num"]).where("a = merged_a").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("revised"))

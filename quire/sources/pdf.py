@@ -7,23 +7,25 @@ a fault that ends a view of the whole document is told in `documents.error`. Lac
 from __future__ import annotations
 
 import base64
-import glob
+import fnmatch
 import json
 import math
 import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..kernels import layout as L
 from ..kernels.content import Ruling, Span, operators, read_page
 from ..kernels.document import METADATA, Document, DocumentError
 from ..kernels.objects import Name, Ref, Stream, text_string
+from .ranged import open_ranged
 
 SCHEMAS = {
     "documents": "version string, encrypted boolean, pages long, declared_pages long, size long, error string",
@@ -120,8 +122,15 @@ def _blocks(doc: Document) -> list[list[L.Block]]:
 FAULTS = (DocumentError, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError)
 
 
+#: Views with rows of single pages; these can be read a range of pages at a time.
+PAGE_VIEWS = ("pages", "content_ops", "spans", "rulings", "skips", "lines", "text", "page_markdown", "png", "pixels")
+
+
 def _pages(d: Document) -> Iterator[tuple[int, object]]:
-    yield from enumerate(d.pages)
+    """The pages asked for: all, or those of the document's part."""
+    first, end = getattr(d, "part", (0, None))
+    for k, p in enumerate(d.pages[first:end]):
+        yield first + k, p
 
 
 def _each(d: Document, rows: Callable, faults: list | None = None) -> Iterator[tuple]:
@@ -279,20 +288,57 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def view(df: DataFrame, name: str, *keys: str, content: str = "content", password: str = "", rows: int = 64, **options) -> DataFrame:
-    """A view of the documents in a binary column, beside the key columns. Options: content_ops (elements), scale (png)."""
+    """A view of the documents in a binary column, beside the key columns. Options: content_ops (elements), scale and compression (png), scale (pixels), ranking, pages and pretty (layout)."""
     keys = keys or tuple(c for c in df.columns if c != content)
-    inner = df.select(*[F.col(c) for c in keys], F.col(content).alias("__content"))
-    own = StructType.fromDDL(SCHEMAS[name])
-    schema = StructType([*inner.schema.fields[:-1], *own.fields])
-    arrow, f, n = to_arrow_schema(own), VIEWS[name], len(keys)
+    return _mapped(df, keys, [content], name, lambda data: _open(VIEWS[name], lambda: Document(data or b"", password), len(data or b""), name, options), rows)
+
+
+def ranged_view(df: DataFrame, name: str, *keys: str, path: str = "path", per: int = 32, password: str = "", **options) -> DataFrame:
+    """A view of single pages of files that tasks open themselves, by ranged reads of a path or http(s) address: no file is moved or held whole, and the pages of a large file are dealt over tasks, `per` at a time.
+
+    A file that can't be opened has no rows here; view `documents` of its bytes tells why.
+    """
+    if name not in PAGE_VIEWS:
+        raise ValueError(f"{name} isn't a view of single pages")
+    keys = keys or tuple(df.columns)
+    own = StructType([StructField("n_pages", IntegerType())])
+    counted = _mapped(df.withColumn("__path", F.col(path)), (*keys, "__path"), ["__path"], "", lambda p: _counted(p, password), 64, own)
+    # a number is given, as rows this narrow would be coalesced into one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = counted.where("n_pages > 0").select(*keys, "__path", F.explode(F.expr(f"sequence(0, n_pages - 1, {per})")).alias("__first")).repartition(tasks, "__path", "__first")
+
+    def read(p, first):
+        def opened():
+            d = open_ranged(p, password)
+            d.part = (first, first + per)
+            return d
+
+        yield from _open(VIEWS[name], opened, 0, name, options)
+
+    return _mapped(parts, keys, ["__path", "__first"], name, read, 1)
+
+
+def _counted(path: str, password: str) -> Iterator[tuple]:
+    try:
+        yield (len(open_ranged(path, password).pages),)
+    except (*FAULTS, OSError):
+        return
+
+
+def _mapped(df: DataFrame, keys: tuple[str, ...], given: list[str], name: str, read: Callable, rows: int, own: StructType | None = None) -> DataFrame:
+    """The key columns beside what is read of the given ones, so many rows at a time."""
+    inner = df.select(*[F.col(c) for c in keys], *[F.col(c).alias(f"__given{k}") for k, c in enumerate(given)])
+    own = own or StructType.fromDDL(SCHEMAS[name])
+    schema = StructType([*inner.schema.fields[: len(keys)], *own.fields])
+    arrow, n = to_arrow_schema(own), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
                 where, cols = [], [[] for _ in arrow]
-                for i, x in enumerate(b.column(n)):
-                    for row in _open(f, x.as_py(), password, name, options):
+                for i in range(b.num_rows):
+                    for row in read(*(b.column(n + k)[i].as_py() for k in range(len(given)))):
                         where.append(i)
                         for c, v in zip(cols, row, strict=True):
                             c.append(v)
@@ -302,13 +348,13 @@ def view(df: DataFrame, name: str, *keys: str, content: str = "content", passwor
     return inner.mapInArrow(run, schema)
 
 
-def _open(f: Callable, data: bytes | None, password: str, name: str, options: dict) -> Iterator[tuple]:
+def _open(f: Callable, document: Callable, size: int, name: str, options: dict) -> Iterator[tuple]:
     """The rows of a view, as they come: what a fault cuts off doesn't take back the rows before it."""
     try:
-        yield from f(Document(data or b"", password), **options)
+        yield from f(document(), **options)
     except FAULTS as e:
         if name == "documents":
-            yield None, None, None, None, len(data or b""), _fault(e)
+            yield None, None, None, None, size, _fault(e)
 
 
 class PdfDataSource(DataSource):
@@ -337,15 +383,44 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        found = sorted(p for p in glob.glob(self.options["path"], recursive=True) if os.path.isfile(p) and self.only in (None, p))
+        found = [p for p in listed(self.options["path"]) if self.only in (None, p)]
         return [InputPartition(found[k : k + 16]) for k in range(0, len(found), 16)] or [InputPartition([])]
 
     def read(self, partition):
-        name = self.options.get("view", "text")
+        name, password = self.options.get("view", "text"), self.options.get("password", "")
         for p in partition.value:
-            with open(p, "rb") as f:
-                for row in _open(VIEWS[name], f.read(), self.options.get("password", ""), name, {}):
-                    yield (p, *row)
+            fs, at = _file_system(p)
+            with fs.open_input_file(at) as f:
+                data = f.read()
+            for row in _open(VIEWS[name], lambda data=data: Document(data, password), len(data), name, {}):
+                yield (p, *row)
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def listed(pattern: str) -> list[str]:
+    """The files of a path or glob, on any file system that addresses name (file, hdfs, object stores), in order."""
+    fs, at = _file_system(pattern)
+    head = pattern[: len(pattern) - len(at)] if "://" in pattern and pattern.endswith(at) else ""
+    parts = at.split("/")
+    fixed = next((k for k, x in enumerate(parts) if any(c in x for c in "*?[")), len(parts))
+    if fixed == len(parts):
+        return [head + at] if fs.get_file_info(at).type == pafs.FileType.File else []
+    base, rest = "/".join(parts[:fixed]) or "/", parts[fixed:]
+    found = fs.get_file_info(pafs.FileSelector(base, recursive=len(rest) > 1, allow_not_found=True))
+    return sorted(head + x.path for x in found if x.type == pafs.FileType.File and _matches(x.path[len(base.rstrip("/")) + 1 :].split("/"), rest))
+
+
+def _matches(path: list[str], pattern: list[str]) -> bool:
+    """Do the parts of a path fit the parts of a glob? ** is any number of them."""
+    if not pattern:
+        return not path
+    if pattern[0] == "**":
+        return any(_matches(path[k:], pattern[1:]) for k in range(len(path) + 1))
+    return bool(path) and fnmatch.fnmatchcase(path[0], pattern[0]) and _matches(path[1:], pattern[1:])
 
 
 def register(spark: SparkSession) -> None:

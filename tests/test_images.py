@@ -365,3 +365,24 @@ def test_good_pages_stay():
     with pytest.raises(ValueError):
         pdf.page_index(0, 3)
     assert pdf.page_index(3, 3) == 2
+
+
+def test_pages_are_dealt(spark, tmp_path):
+    """Ranges of pages read by ranged reads, one file of many pages beside others, and one that is no document."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import pdf
+
+    want = []
+    for k, n in enumerate((1, 25, 0, 7)):
+        data = C.document([C.text_page([(f"file {k} page {j}", 12, "F1")]) for j in range(n)], C.FLAVOURS[k]) if n else b"nothing"
+        (tmp_path / f"{k}.pdf").write_bytes(data)
+        want += [(f"{k}.pdf", j, f"file {k} page {j}") for j in range(n)]
+    df = spark.createDataFrame([(str(tmp_path / f"{k}.pdf"),) for k in range(4)] + [(str(tmp_path / "missing.pdf"),)], "path string")
+    text = pdf.ranged_view(df, "text", per=4).select(F.substring_index("path", "/", -1), "page", F.trim("text"))
+    assert sorted(map(tuple, text.collect())) == sorted(want)
+    assert text.rdd.getNumPartitions() > 1
+    with pytest.raises(ValueError):
+        pdf.ranged_view(df, "markdown")
+    assert [p.rsplit("/", 1)[1] for p in pdf.listed(f"{tmp_path}/*.pdf")] == ["0.pdf", "1.pdf", "2.pdf", "3.pdf"] == [p.rsplit("/", 1)[1] for p in pdf.listed(f"file://{tmp_path.parent}/**/*.pdf") if tmp_path.name in p]
+    assert pdf.listed(f"{tmp_path}/none*") == [] and len(pdf.listed(f"{tmp_path}/1.pdf")) == 1
