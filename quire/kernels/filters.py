@@ -47,36 +47,39 @@ def _piecewise(data: bytes, bits: int) -> bytes:
     return bytes(out)
 
 
+_SINGLE = [bytes([k]) for k in range(256)] + [b"", b""]
+
+
 def lzw(data: bytes, early: int = 1) -> bytes:
-    out, table, width, prev = bytearray(), [bytes([k]) for k in range(256)] + [b"", b""], 9, None
-    acc = n = 0
-    for byte in data:
-        acc, n = acc << 8 | byte, n + 8
-        while n >= width:
-            code = acc >> (n - width) & ((1 << width) - 1)
-            n -= width
-            acc &= (1 << n) - 1
+    out, table, prev = [], _SINGLE[:], None
+    at, end, width, size, edge, total = 0, 8 * len(data), 9, 258, 512 - early, 0
+    data, number = data + bytes(4), int.from_bytes
+    while at + width <= end:
+        code = number(data[at >> 3 : (at >> 3) + 4], "big") >> (32 - width - (at & 7)) & ((1 << width) - 1)
+        at += width
+        if code < size:
             if code == 256:
-                del table[258:]
-                width, prev = 9, None
+                table, prev = _SINGLE[:], None
+                width, size, edge = 9, 258, 512 - early
                 continue
             if code == 257:
-                return bytes(out)
-            if code < len(table):
-                cur = table[code]
-            elif prev is not None and code == len(table):
-                cur = prev + prev[:1]
-            else:
-                return bytes(out)
-            out += cur
-            if prev is not None and len(table) < 4096:
-                table.append(prev + cur[:1])
-            prev = cur
-            size = len(table) + early
-            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-            if len(out) > MAX_BYTES:
-                raise Undecodable("too large")
-    return bytes(out)
+                break
+            cur = table[code]
+        elif prev is not None and code == size:
+            cur = prev + prev[:1]
+        else:
+            break
+        out.append(cur)
+        total += len(cur)
+        if total > MAX_BYTES:
+            raise Undecodable("too large")
+        if prev is not None and size < 4096:
+            table.append(prev + cur[:1])
+            size += 1
+            if size >= edge and width < 12:
+                width, edge = width + 1, 2 * (edge + early) - early
+        prev = cur
+    return b"".join(out)
 
 
 def ascii85(data: bytes) -> bytes:

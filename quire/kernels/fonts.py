@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -152,6 +153,12 @@ def fallback_width(ch: str, mono: bool) -> float:
     return 600.0 if mono else 278.0 if ch in _NARROW else 833.0 if ch in _WIDE else 667.0 if ch.isupper() else 556.0
 
 
+@functools.lru_cache(64)
+def _usual(face: str | None, mono: bool, table: tuple) -> tuple[float, ...]:
+    """Widths by code of a font that has none."""
+    return tuple((metrics.width(face, ch) if face else None) or fallback_width(ch, mono) for ch in (c or " " for c in table))
+
+
 class Font:
     def __init__(self, doc, attrs: dict):
         r = doc.resolve
@@ -206,9 +213,11 @@ class Font:
         first, widths = get(attrs, "FirstChar"), get(attrs, "Widths")
         missing = get(desc, "MissingWidth")
         mono = "courier" in self.name.lower() or "mono" in self.name.lower()
-        given, standard = isinstance(widths, list), metrics.face(self.name)
-        usual = lambda ch: (metrics.width(standard, ch) if standard else None) or fallback_width(ch, mono)
-        self.widths = [float(missing) if isinstance(missing, (int, float)) else 500.0 if given else usual(self.table[c] or " ") for c in range(256)]
+        given = isinstance(widths, list)
+        if isinstance(missing, (int, float)) or given:
+            self.widths = [float(missing) if isinstance(missing, (int, float)) else 500.0] * 256
+        else:
+            self.widths = list(_usual(metrics.face(self.name), mono, tuple(self.table)))
         for k, w in enumerate(widths if given else []):
             c, w = (first if isinstance(first, int) else 0) + k, r(w)
             if 0 <= c < 256 and isinstance(w, (int, float)):
@@ -246,12 +255,22 @@ class Font:
         return next((x for lo, hi, x in self.cid_ranges if lo <= c <= hi), self.default) if w is None else w
 
 
+#: Fonts without references, by what they say; the same few stand in most documents.
+_PLAIN: dict[str, Font] = {}
+
+
 def load(doc, ref_or_dict, cache: dict) -> Font | None:
     key = ref_or_dict.num if isinstance(ref_or_dict, Ref) else id(ref_or_dict)
     if key not in cache:
         d = doc.resolve(ref_or_dict)
+        plain = repr(sorted(d.items())) if isinstance(d, dict) and len(d) < 8 and all(isinstance(v, (Name, int)) for v in d.values()) else None
+        if plain in _PLAIN:
+            cache[key] = _PLAIN[plain]
+            return cache[key]
         try:
             cache[key] = Font(doc, d) if isinstance(d, dict) else None
         except (TypeError, ValueError, KeyError, AttributeError, IndexError):
             cache[key] = None
+        if plain is not None and len(_PLAIN) < 256:
+            _PLAIN[plain] = cache[key]
     return cache[key]
