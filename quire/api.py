@@ -11,6 +11,21 @@ from .kernels.objects import Stream, pretty
 from .sources.pdf import VIEWS, to_json, value_tree
 
 
+#: Compression of rendered pages, as levels; and which fonts draw text: embedded ones, or none.
+COMPRESSION, FONTS = {"none": 0, "fast": 1, "default": 6, "best": 9}, ("embedded", "none")
+
+
+def render_options(scale: float = 1.0, fonts: str = "embedded", compression: str = "default") -> dict:
+    """Checked options of rendering; ValueError names what isn't known."""
+    if not isinstance(scale, (int, float)) or not 0 < scale <= 64:
+        raise ValueError(f"scale must be above 0 and 64 at most, not {scale!r}")
+    if fonts not in FONTS:
+        raise ValueError(f"fonts must be one of {', '.join(FONTS)}, not {fonts!r}")
+    if compression not in COMPRESSION:
+        raise ValueError(f"compression must be one of {', '.join(COMPRESSION)}, not {compression!r}")
+    return {"scale": float(scale), "level": COMPRESSION[compression], "glyphs": fonts == "embedded"}
+
+
 class Page:
     def __init__(self, doc: Document, number: int):
         self.doc, self.number, self._page = doc, number, doc._doc.pages[number]
@@ -35,10 +50,14 @@ class Page:
         r = self.read()
         return layout.markdown([layout.page_blocks(r.spans, r.rulings)])
 
-    def render(self, scale: float = 1.0) -> bytes:
+    def render(self, scale: float = 1.0, fonts: str = "embedded", compression: str = "default") -> bytes:
+        return self.render_reporting(scale, fonts, compression)[0]
+
+    def render_reporting(self, scale: float = 1.0, fonts: str = "embedded", compression: str = "default") -> tuple[bytes, list[str]]:
+        """The PNG, and what was left out."""
         from .kernels.raster import render
 
-        return render(self.doc._doc, self._page, scale)[2]
+        return render(self.doc._doc, self._page, **render_options(scale, fonts, compression))[2:]
 
 
 class Document:
@@ -100,5 +119,16 @@ class Document:
     def tree(self, data: str = "omit") -> dict:
         return value_tree(self._doc, data)
 
-    def render_pages(self, pages: list[int] | None = None, scale: float = 1.0) -> list[bytes]:
-        return [self[k].render(scale) for k in (range(len(self)) if pages is None else pages)]
+    def render_pages(self, pages: list[int] | None = None, scale: float = 1.0, fonts: str = "embedded", compression: str = "default") -> list[bytes]:
+        render_options(scale, fonts, compression)
+        return [self[k].render(scale, fonts, compression) for k in (range(len(self)) if pages is None else pages)]
+
+    def fork(self) -> Document:
+        """Another reader of the same bytes and cross-references, with caches of its own."""
+        twin = Document.__new__(Document)
+        twin._doc, twin._fonts = self._doc.fork(), {}
+        return twin
+
+    def write(self, output: str) -> str:
+        """All pages through one of layout.OUTPUTS, by name."""
+        return layout.OUTPUTS[output]([self[k].read() for k in range(len(self))])

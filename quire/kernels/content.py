@@ -149,6 +149,10 @@ def box_ruling(a, b) -> Ruling | None:
     return Ruling(x0, m, x1, m, h) if h <= w else Ruling(m, y0, m, y1, w)
 
 
+#: What an error means for a report, the first that fits.
+_CAUSES = ((filters.Unsupported, "UnsupportedFilter"), (ParseError, "Parse"), ((RecursionError, OverflowError), "LimitExceeded"), (KeyError, "Missing"))
+
+
 class Reader:
     """Walks a page's operators. font_cache is shared by the pages of a document."""
 
@@ -160,14 +164,14 @@ class Reader:
         self.forms = 0
 
     def skip(self, kind: str, err: Exception) -> None:
-        cause = "UnsupportedFilter" if isinstance(err, filters.Unsupported) else "Unreadable"
+        cause = next((c for kinds, c in _CAUSES if isinstance(err, kinds)), "Unreadable")
         self.skips[kind, cause, str(err)] += 1
 
     def page(self, page) -> None:
         try:
             data = page.content()
         except (filters.Unsupported, filters.Undecodable) as e:
-            self.skip("content", e)
+            self.skip("PageContents", e)
             return
         self.run(data, [page.resources], IDENTITY, 0)
 
@@ -257,12 +261,12 @@ class Reader:
             return
         self.forms += 1
         if depth >= MAX_FORM_DEPTH or self.forms > MAX_FORMS:
-            self.skips["form", "LimitExceeded", "nested forms"] += 1
+            self.skips["Form", "LimitExceeded", "nested forms"] += 1
             return
         try:
             data = self.doc.stream_data(x)
         except (filters.Unsupported, filters.Undecodable) as e:
-            self.skip("form", e)
+            self.skip("Form", e)
             return
         m = self.doc.resolve(x.attrs.get("Matrix"))
         m = [self.doc.resolve(v) for v in m] if isinstance(m, list) else []
@@ -308,7 +312,7 @@ def read_page(doc, page, font_cache: dict) -> Reader:
     try:
         r.page(page)
     except (TypeError, ValueError, KeyError, IndexError, AttributeError, OverflowError, RecursionError) as e:
-        r.skip("page", e)
+        r.skip("PageContents", e)
     return r
 
 

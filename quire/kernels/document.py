@@ -318,6 +318,13 @@ class Document:
                 raise DocumentError("references form a cycle")
         return x
 
+    def fork(self) -> Document:
+        """Shares what doesn't change, the bytes and tables, and has caches of its own."""
+        twin = type(self).__new__(type(self))
+        twin.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("_pages", "part")})
+        twin._cache, twin._busy, twin._stores = {}, set(), {}
+        return twin
+
     def stream_data(self, s: Stream) -> bytes:
         return filters.decode(s.attrs, s.data, self.resolve, stop_at_image=False)
 

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from . import fax
+from . import fax, jbig2
 from .errors import Undecodable, Unsupported
 
 MAX_STAGES, MAX_BYTES = 32, 256 << 20
@@ -220,6 +220,12 @@ def decode(attrs: dict, data: bytes, resolve=lambda x: x, stop_at_image: bool =
             data = run_length(data)
         elif name == "CCITTFaxDecode":
             data = fax.decode(data, {"Rows": resolve(attrs.get("Height", attrs.get("H"))), **parms})
+        elif name == "JBIG2Decode":
+            size = [resolve(attrs.get(k)) for k in ("Width", "Height")]
+            if not all(type(v) is int for v in size) or attrs.get("Subtype") != "Image":
+                raise Unsupported(name)
+            shared = parms.get("JBIG2Globals")
+            data = jbig2.decode(data, decode(shared.attrs, shared.data, resolve) if hasattr(shared, "attrs") else b"", *size)
         elif name != "Crypt":
             raise Unsupported(name)
         if len(data) > MAX_BYTES:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 from . import metrics
+from .glyphs import platforms
 from .objects import Name, Op, Parser, ParseError, Ref, Stream
 
 #: Glyph names that don't follow from a character's Unicode name.
@@ -188,18 +189,27 @@ class Font:
         if self.two_bytes:
             self._cid_widths(inner, r)
         else:
-            self._simple(attrs, desc, get, r)
+            self._simple(doc, attrs, desc, get, r)
 
     def _style(self, weight) -> None:
         low = self.name.lower()
         self.bold = isinstance(weight, (int, float)) and weight >= 600 or bool(self.flags & 1 << 18) or any(s in low for s in ("bold", "black", "heavy"))
         self.italic = bool(self.flags & 1 << 6) or any(s in low for s in ("italic", "oblique"))
 
-    def _simple(self, attrs: dict, desc, get, r) -> None:
+    @staticmethod
+    def _for_windows(doc, file: Stream) -> bool:
+        """Does the embedded program have a character map for Windows?"""
+        try:
+            return 3 in platforms(doc.stream_data(file))
+        except ValueError:
+            return False
+
+    def _simple(self, doc, attrs: dict, desc, get, r) -> None:
         enc = get(attrs, "Encoding")
         base = str(enc) if isinstance(enc, str) else str(get(enc, "BaseEncoding") or "")
         self.table: list[str | None] = list(ENCODINGS[base]) if base in ENCODINGS else [None] * 256 if self.pictures else list(STANDARD)
-        if base not in ENCODINGS and not self.pictures and isinstance(desc, dict) and isinstance(get(desc, "FontFile2"), Stream):
+        file = get(desc, "FontFile2") if base not in ENCODINGS and not self.pictures and isinstance(desc, dict) else None
+        if isinstance(file, Stream) and self._for_windows(doc, file):
             self.table = [s or w for s, w in zip(STANDARD, WIN_ANSI, strict=True)]
         code = 0
         for x in (get(enc, "Differences") or []) if isinstance(enc, dict) else []:

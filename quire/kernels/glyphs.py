@@ -165,3 +165,15 @@ def _contour(pts: list[tuple[float, float, bool]]) -> list[tuple]:
             out.append(("l", x, y))
             at = (x, y)
     return [*out, ("h",)]
+
+
+def platforms(data: bytes) -> set[int]:
+    """The platforms that a program's character maps are made for; none if it can't be read."""
+    try:
+        for k in range(struct.unpack_from(">H", data, 4)[0]):
+            tag, _, off, _ = struct.unpack_from(">4sIII", data, 12 + 16 * k)
+            if tag == b"cmap":
+                return {struct.unpack_from(">H", data, off + 4 + 8 * n)[0] for n in range(struct.unpack_from(">H", data, off + 2)[0])}
+    except struct.error:
+        pass
+    return set()

@@ -565,3 +565,14 @@ def table_markdown(b: Block) -> str:
         return "<table>\n" + "\n".join(rows) + "\n</table>"
     rows = ["| " + " | ".join(escape(c.text.strip()) if c else "" for c, _ in r) + " |" for r in b.rows]
     return "\n".join([rows[0], "| " + " | ".join("---" for _ in b.rows[0]) + " |", *rows[1:]])
+
+
+def _as_markdown(pages: list) -> str:
+    sizes = Sizes(s for p in pages for s in p.spans)
+    blocks = [page_blocks(p.spans, p.rulings, sizes) for p in pages]
+    tag_roles(blocks)
+    return markdown(blocks)
+
+
+#: Outputs by name: what is read of all pages, to text.
+OUTPUTS = {"text": lambda pages: "\f".join(text_of(p.spans) for p in pages), "markdown": _as_markdown}

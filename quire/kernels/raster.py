@@ -314,6 +314,8 @@ def _calculated(program: list, x: list, domain: list, rng: list) -> list:
 
 
 class Canvas:
+    glyphs = True
+
     def __init__(self, doc, page, scale: float):
         w, h = (max(1, math.ceil(v * scale - 1e-6)) for v in page.size)
         if w * h > MAX_PIXELS:
@@ -365,6 +367,8 @@ class Canvas:
 
     def show(self, s: bytes, st: dict, tm, ctm, scopes, depth: int):
         """Paints a string and moves the text matrix."""
+        if not self.glyphs:
+            return tm
         if st["face"] is None or st["face"][0] is None:
             self.warn["Glyph NoGlyph"] += 1
             return tm
@@ -825,9 +829,10 @@ def report(warn: Counter) -> list[str]:
     return shown if len(shown) <= MOST_WARNINGS else [*shown[:MOST_WARNINGS], f"{sum(n for _, n in sorted(warn.items())[MOST_WARNINGS:])} more"]
 
 
-def draw(doc, page, scale: float = 1.0) -> tuple[np.ndarray, Counter]:
-    """Pixels (height x width x 3 bytes) of a page, and warnings."""
+def draw(doc, page, scale: float = 1.0, glyphs: bool = True) -> tuple[np.ndarray, Counter]:
+    """Pixels (height x width x 3 bytes) of a page, and warnings; without glyphs, text leaves no mark and no warning."""
     canvas = Canvas(doc, page, scale)
+    canvas.glyphs = glyphs
     ctm = base_matrix(page, scale)
     try:
         canvas.run(page.content(), [page.resources], ctm, _fresh())
@@ -837,7 +842,7 @@ def draw(doc, page, scale: float = 1.0) -> tuple[np.ndarray, Counter]:
     return np.clip(np.rint(canvas.px * 255), 0, 255).astype(np.uint8), canvas.warn
 
 
-def render(doc, page, scale: float = 1.0, level: int = 6) -> tuple[int, int, bytes, list[str]]:
+def render(doc, page, scale: float = 1.0, level: int = 6, glyphs: bool = True) -> tuple[int, int, bytes, list[str]]:
     """(width, height, PNG, warnings) of a page."""
-    rgb, warn = draw(doc, page, scale)
+    rgb, warn = draw(doc, page, scale, glyphs)
     return rgb.shape[1], rgb.shape[0], png(rgb, level), report(warn)

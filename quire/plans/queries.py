@@ -476,7 +476,7 @@ def _lossy(key, name):
     return b.replace(b"/ASCIIHexDecode", b"/JBIG2Decode   ", 1) if key % 7 == 0 else b
 
 
-@registered("SELECT c_custkey, CAST(0 AS INT) AS page, 'content' AS kind, 'UnsupportedFilter' AS cause, 'JBIG2Decode' AS detail, CAST(1 AS BIGINT) AS count FROM customer WHERE c_custkey % 7 = 0")
+@registered("SELECT c_custkey, CAST(0 AS INT) AS page, 'PageContents' AS kind, 'UnsupportedFilter' AS cause, 'JBIG2Decode' AS detail, CAST(1 AS BIGINT) AS count FROM customer WHERE c_custkey % 7 = 0")
 def skip_report(spark, sf):
     return view(written(table(spark, sf, "customer").select("c_custkey", "c_name"), _lossy, "c_custkey"), "skips")
 

@@ -1,6 +1,6 @@
 """Files to tables. A file is a row (content BINARY); each view is a narrow map over the rows, so no view shuffles, and only what a view needs is read from a document.
 
-A file that can't be opened gives a row with an error (view `documents`) and none elsewhere. A fault on a page costs the rows of that page alone, and view `skips` has a row of kind "page" for it;
+A file that can't be opened gives a row with an error (view `documents`) and none elsewhere. A fault on a page costs the rows of that page alone, and view `skips` has a row of kind "PageContents" for it;
 a fault that ends a view of the whole document is told in `documents.error`. Lack of memory fails the task.
 """
 
@@ -202,7 +202,7 @@ def _v_skips(d):
     faults: list = []
     yield from _reading(d, lambda k, r: [(k, kind, cause, detail, n) for (kind, cause, detail), n in sorted(r.skips.items())], faults)
     for k, e in faults:
-        yield k, "page", "Unreadable", _fault(e), 1
+        yield k, "PageContents", "Unreadable", _fault(e), 1
 
 
 def _v_lines(d):

@@ -358,7 +358,7 @@ def test_good_pages_stay():
     pdf.read_page = bad
     try:
         assert [r[0] for r in pdf.VIEWS["text"](d)] == [0, 1]
-        assert list(pdf.VIEWS["skips"](d)) == [(2, "page", "Unreadable", "ValueError: broken", 1)]
+        assert list(pdf.VIEWS["skips"](d)) == [(2, "PageContents", "Unreadable", "ValueError: broken", 1)]
         assert "page 1" in next(pdf.VIEWS["document_text"](d))[0]
     finally:
         pdf.read_page = real

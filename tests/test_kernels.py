@@ -163,7 +163,7 @@ def test_forms():
     w.trailer["Root"] = cat
     d = Document(w.bytes())
     r = content.read_page(d, d.pages[0], {})
-    assert r.spans[0][:3] == ("in form", 105.0, 205.0) and r.spans[0].bold and r.spans[0].italic and r.skips["form", "LimitExceeded", "nested forms"] == 1 and len(r.spans) == 16
+    assert r.spans[0][:3] == ("in form", 105.0, 205.0) and r.spans[0].bold and r.spans[0].italic and r.skips["Form", "LimitExceeded", "nested forms"] == 1 and len(r.spans) == 16
 
 
 def md(*pages, **k):
