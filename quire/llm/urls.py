@@ -1,6 +1,6 @@
 """URL filters: host and path rules, then a weighted vocabulary (operator 9).
 
-Where no rule fits, one Aho-Corasick automaton finds all terms in the lower-cased host and path; a hit counts where neither neighbour is a letter or digit. One strict term blocks, as do
+Where no rule fits, one Aho-Corasick automaton finds all terms in the lower-cased host and path; a hit counts where neither neighbour is one of a-z and 0-9. One strict term blocks, as do
 soft terms whose distinct weights add up to the limit; terms of harmless contexts weigh below zero.
 """
 
@@ -31,6 +31,8 @@ SOFT = {term: weight for weight, terms in (
 ) for term in terms.split()}
 SOFT_LIMIT = 10
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: What may not stand beside a term.
+_JOINED = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -79,7 +81,7 @@ class Vocabulary:
         if len(self.automaton):
             for end, (term, weight) in self.automaton.iter(text):
                 a, b = end - len(term), end + 1
-                if (a < 0 or not text[a].isalnum()) and (b == len(text) or not text[b].isalnum()):
+                if (a < 0 or text[a] not in _JOINED) and (b == len(text) or text[b] not in _JOINED):
                     if weight is None:
                         strict += 1
                     else:

@@ -57,11 +57,14 @@ def test_urls(spark):
         ("http://x.com/DE/", "x.com", "/DE/", None, "allow"), ("http://org", "org", "", None, "allow"), ("http://myexample.org/es/", "myexample.org", "/es/", "org/", "allow"), (None, "", "", None, "allow"), ("x.org/a", "", "", None, "allow"),
         ("http://?a", "", "", None, "allow"), ("http://a.net/porn", "a.net", "/porn", None, "block"), ("http://a.net/popcorn", "a.net", "/popcorn", None, "allow"), ("http://poker.net/a-casino?q", "poker.net", "/a-casino", None, "block"),
         ("http://poker.net/poker", "poker.net", "/poker", None, "allow"), ("", "", "", None, "allow"),
+        ("http://a.net/éporn", "a.net", "/éporn", None, "block"), ("http://a.net/porn²", "a.net", "/porn²", None, "block"), ("http://a.net/pornö", "a.net", "/pornö", None, "block"), ("http://a.net/porn1", "a.net", "/porn1", None, "allow"),
+        ("http://a.net/" + "x/" * 100_000 + "porn", "a.net", "/" + "x/" * 100_000 + "porn", None, "block"),
     ]
     pages = spark.createDataFrame([(k, c[0], "h") for k, c in enumerate(cases)] + [(None, None, None)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages).collect()}
     assert [got[k] for k in range(len(cases))] == [c[1:] for c in cases] and got[None] == ("", "", None, "allow")
     assert judge_urls(pages.limit(0)).collect() == []
+    assert judge_urls(pages.where("page_id = 0").unionAll(pages.where("page_id = 0"))).count() == 2
 
 
 def test_rules_brute():
