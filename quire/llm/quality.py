@@ -94,7 +94,8 @@ def fit(texts: list[str], bad: list[int], rounds: int = 300, least_docs: int = 3
 def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
     """A model from at most `most` labelled documents (doc_id, quality 0 or 1, toxic 0 or 1); a null label counts as fit."""
     some = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").select("text", "bad").limit(2 * most).collect()
+    # one row of each labelled id, that of its least text
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("bad").alias("bad")).orderBy("doc_id").select("text", "bad").collect()
     return fit([r[0] or "" for r in rows], [r[1] for r in rows])
 
 
@@ -119,7 +120,7 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), pa.array([m(t) for t in b.column(0).to_pylist()], pa.float64())], [*b.schema.names[1:], "evidence"])
 
     # numbered columns, as docs may have any names
-    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "h"), (path, "p"))]
+    site = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for c, n in ((host, "h"), (path, "p"))]  # a null is a site of its own
     inner = docs.select(F.col("text").alias("t"), *site, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     folder = f"{spark.sparkContext.getCheckpointDir()}/judged-{uuid.uuid4().hex}"
     inner.mapInArrow(score, ", ".join(f"{n} {k}" for n, k in inner.dtypes[1:]) + ", evidence double").write.parquet(folder)
