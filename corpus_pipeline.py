@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpoints, table
-from quire.llm.near import near_copies, with_nodes
+from quire.llm.near import one_of_each
 from quire.llm.packing import pack
 from quire.llm.phrases import dedup_phrases
 from quire.llm.quality import fit_labels, judge
@@ -28,13 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document of least doc_id stays; rows without an id stay unless a linked row has one."""
-    copies = near_copies(docs.select("doc_id", "text"))
-    least = copies.groupBy("root").agg(F.min("least").alias("component_id"))
-    rows = with_nodes(docs.select("doc_id", "text")).select("doc_id", "node")
-    gone = rows.join(copies.join(least, "root").select("node", "component_id"), "node").where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) one row stays, that of least doc_id; rows without an id stay only where no linked row has one."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

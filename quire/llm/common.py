@@ -23,9 +23,21 @@ def rename(df: DataFrame, **names: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """The shared folder is the cluster's (spark.checkpoint.dir); only where none is named, as in tests, a temporary one."""
+    """The shared folder is the one that spark.checkpoint.dir names. Without it a local session, as in tests, gets a temporary folder; a cluster has none that all its machines see, so that is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def join_often(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined by `key` to a table with a row for each value and `n`, how many rows have it. Values of over a thousandth of all rows, a thousand at most, are broadcast, so that no hot value meets in one task."""
+    often, seldom = (table.where(F.col("n") > total // 1000).drop("n"), table.where(F.col("n") <= total // 1000).drop("n"))
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
 def clean(text: Column) -> Column:

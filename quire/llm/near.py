@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoints
+from .common import checkpoints, join_often
 from .components import components
 from .hashing import U64, batches, buffers, mix, runs_of, word_hashes, words
 from .simhash import Tree, gray_rank
@@ -150,6 +150,28 @@ def confirmed(sets: list[np.ndarray]) -> np.ndarray:
     return up
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Of each group of near copies one row: that of least doc_id, then least hash of the whole row; rows without an id come last. Of rows that are equal in all columns one is left.
+
+    docs: doc_id, text and any others. What is compared are rows, not ids: a text that no other is like stays, whatever other rows have its id. Empty texts and nulls are copies of each other.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("row"))
+    keyed = docs.withColumn("own_key", key)
+    copies = near_copies(docs.select("doc_id", "text"), width)
+    rows = with_nodes(keyed.select("text", "own_key"), width).select("own_key", "node").checkpoint()
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    rooted = join_often(rows, counts.join(copies.select("node", "root"), "node"), "node", total)
+    found = rooted.groupBy("root", "own_key").agg(F.count(F.lit(1)).alias("same"))
+    least = found.groupBy("root").agg(F.min(F.struct("own_key", "same")).alias("least"), F.sum("same").alias("n")).where("n > 1").select("root", "least", "n").checkpoint()
+    # rows of groups of one row aren't looked at again
+    gone = join_often(found, least.select("root", "n", "least"), "root", total).where("own_key != least.own_key").select("own_key").distinct()
+    twice = least.where("least.same > 1").selectExpr("least.own_key own_key")
+    kept = keyed.join(gone, "own_key", "left_anti")
+    once, several = kept.join(twice, "own_key", "left_anti"), kept.join(twice, "own_key", "left_semi").dropDuplicates(["own_key"])
+    return once.unionByName(several).select(*[f"`{c}`" for c in docs.columns])
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, root, least) of each node: root is one for each component of near copies, least the least doc_id of the node's rows.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoints
+from .common import checkpoints, join_often
 from .components import components
 from .hashing import U64
 
@@ -225,7 +225,4 @@ def near_dups(docs: DataFrame, d: int = 2, width: int = 3) -> DataFrame:
     named = known.groupBy("root").agg(F.min("least").alias("component"))
     tied = known.join(named, "root").select("fp", "component")
     named = groups.join(tied, "fp", "left").selectExpr("fp", "n", "if(component is null, least, component) component_id").checkpoint()
-    # fingerprints of over a thousandth of all rows are a thousand at most; rows of others spread over the join's keys
-    often = named.where(F.col("n") > total // 1000).drop("n")
-    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(named.where(F.col("n") <= total // 1000).drop("n"), "fp")
-    return rows.join(F.broadcast(often), "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    return join_often(rows, named, "fp", total).select("doc_id", "fp", "component_id")

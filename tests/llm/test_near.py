@@ -86,3 +86,12 @@ def test_confirmed():
     sets = [np.array(sorted(r.sample(range(14), r.randint(5, 12))), np.uint64) for _ in range(120)]
     want = brute_components(range(120), lambda a, b: near(set(sets[a].tolist()), set(sets[b].tolist())))
     assert confirmed(sets).tolist() == [want[k] for k in range(120)] and confirmed([]).tolist() == []
+
+
+def test_rows_not_ids(spark):
+    """Repeated rows, ids with several texts, and rows without an id are decided row by row."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (5, None)], key=str)
