@@ -49,6 +49,68 @@ def test_shrinkage(spark):
     assert abs(got["c", "x"].path_rate - g) < 0.25 and abs(got["a", "y"].path_rate - got["a", "y"].host_rate) < 0.1 and abs(got["b", "z"].path_rate - got["b", "z"].host_rate) < 0.12
 
 
+def plain_rates(rows):
+    """The rates of sites straight from the formulas, row by row."""
+    hosts = {}
+    for h, _, n, bad in rows:
+        a = hosts.setdefault(h, [0, 0.0])
+        a[0], a[1] = a[0] + n, a[1] + bad
+    n, bad = sum(x[0] for x in hosts.values()), sum(x[1] for x in hosts.values())
+    g = min(0.999, max(0.001, (bad + 0.5) / (n + 1)))
+
+    def weight(sites):
+        between, chance = sum(n * (r - up) ** 2 for n, r, up in sites), sum(up * (1 - up) for _, _, up in sites)
+        total, within = sum(n for n, _, _ in sites), sum(n * up * (1 - up) for n, _, up in sites)
+        spread = (between - chance) / total
+        return min(1e6, max(10.0, within / total / spread)) if spread > 0 else 1e6
+
+    k = weight([(n, b / n, g) for n, b in hosts.values()])
+    rate = {h: (b + k * g) / (n + k) for h, (n, b) in hosts.items()}
+    m = weight([(n, b / n, rate[h]) for h, _, n, b in rows])
+    clip = lambda x: min(0.999, max(0.001, x))
+    return {(h, p): (clip(rate[h]), clip((b + m * rate[h]) / (n + m)), g) for h, p, n, b in rows}
+
+
+def test_sparse_sites(spark):
+    """Many sites of one or two documents beside a few large ones, against the formulas; a sparse path lies nearer its host's rate than its own, and a sparse host nearer the global one."""
+    import random
+
+    r = random.Random(9)
+    rows = [(f"h{h}", f"p{p}", n, round(n * r.betavariate(1, 4), 3)) for h in range(60) for p in range(r.randint(1, 6)) for n in [r.choice([1, 1, 1, 2, 3, 40, 900])]]
+    got = {(x.site_host, x.site_path): (x.host_rate, x.path_rate, x.global_rate) for x in site_rates(spark.createDataFrame(rows, "h string, p string, n long, bad double")).collect()}
+    want = plain_rates(rows)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    for h, p, n, bad in rows:
+        host, path, g = got[h, p]
+        if n == 1 and 0.002 < path < 0.998:
+            assert abs(path - host) <= abs(bad / n - host) * 0.2 + 1e-9
+    assert site_rates(spark.createDataFrame([], "h string, p string, n long, bad double")).collect() == []
+
+
+def test_null_sites(spark):
+    """A null host isn't the empty one."""
+    rows = [(1, "alpha " * 3, None), (2, "alpha " * 3, ""), (3, "beta", ""), (4, "beta", "")] + [(9 + k, "alpha", "x") for k in range(40)]
+    got = {x.doc_id: x.host_rate for x in judge(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' lang"), Model(({"alpha": 5.0}, {}, {}), -2.0)).collect()}
+    assert got[1] != got[2] and got[2] == got[3]
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path, docs, empty):
+    """Nulls in any column, repeated rows and ids, clashing columns and an empty table go through every stage."""
+    for name, rows in (("odd", docs), ("none", empty)):
+        folder = tmp_path / name
+        spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(folder / "labels.parquet"))
+        rows.write.parquet(str(folder / "documents.parquet"))
+        last = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, f in P.STAGES[:-1]:
+            last = f(spark, last, str(folder))
+            assert tuple(last.columns) == P.COLUMNS
+            last.write.parquet(str(folder / stage))
+            last = spark.read.parquet(str(folder / stage))
+        packed = P.run(spark, str(folder))
+        assert packed.select("doc_id").distinct().count() == last.select("doc_id").distinct().count()
+        assert (packed.count() == 0) == (name == "none")
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     out, docs = [spark.read.parquet(f"{SF}/documents.parquet")], None
@@ -68,19 +130,11 @@ def test_pipeline(spark, stages):
     known = [r for i, r in labels.items()]
     clean = [r for r in known if r.quality and not r.toxic]
     assert sum(r.doc_id in kept for r in clean) >= 0.99 * len(clean) and sum(r.doc_id in kept for r in known if r not in clean) <= 0.05 * len(known)
-    from test_simhash import brute_fp
-
-    rows = sorted((r.doc_id, r.text) for r in good.collect())
-    fps = [(i, brute_fp(t)) for i, t in rows]
-    up = {}
-    for k, (i, f) in enumerate(fps):  # ascending ids: the root of a row is the least id it can reach
-        up[i] = i
-        for j, g in fps[:k]:
-            if bin(f ^ g).count("1") <= 2:
-                a, b = _find(up, i), _find(up, j)
-                up[max(a, b)] = min(a, b)
-    roots = {i for i in up if _find(up, i) == i}
-    assert {r.doc_id for r in single.collect()} == roots
+    from test_near import brute_roots
+
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    want = brute_roots(rows)
+    assert {r.doc_id for r in single.collect()} == {i for i in want if want[i] == i} and single.count() < good.count()
     from test_windows import brute_phrases
 
     rows = sorted((r.doc_id, r.text) for r in single.collect())
@@ -92,12 +146,6 @@ def test_pipeline(spark, stages):
     assert total.m <= 2048 and total.n * 2048 < 1.02 * total.s
 
 
-def _find(up, x):
-    while up[x] != x:
-        x = up[x]
-    return x
-
-
 def test_run(spark, stages):
     from pyspark.sql import functions as F
 

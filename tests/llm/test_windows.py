@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quire.llm import blocks as B
 from quire.llm import hashing as H
@@ -60,6 +61,69 @@ def test_phrases_carry(docs):
     assert len(got) == docs.count() and set(got[0].asDict()) == {"doc_id", "n_words", "n_removed", "kept", "lang", "source"}
 
 
+def test_automata_decide():
+    """A block cuts what the phrases that it is sent cover and nothing else: without one of them its repeats stay."""
+    import pyarrow as pa
+
+    from quire.llm.phrases import _Block
+
+    w = [f"w{k}" for k in range(200)]
+    text = lambda *spans: " ".join(x for a, z in spans for x in w[a:z])
+    b = _Block(pa.table({"doc_id": pa.array([1, 2, 3]), "text": [text((0, 60)), text((100, 130), (10, 50), (150, 180)), "  \n" + text((10, 50)).replace(" ", "\t")]}), 20)
+    one, two = (text((10, 40)).encode(), False), (text((30, 50)).encode(), False)
+    count = lambda phrases: np.add.reduceat(b.located(phrases), b.first[:-1]).tolist()
+    assert count([one, two]) == [40, 40, 40] and count([one]) == [30, 30, 30] and count([two]) == [20, 20, 20] and count([]) == [0, 0, 0]
+    assert count([(text((10, 50)).encode(), True)]) == [0, 40, 40]  # the first occurrence stays
+    assert count([(text((10, 50)).encode()[:-1], False)]) == [0, 0, 0]  # no hit ends within a word
+
+
+def test_shards(monkeypatch):
+    """Phrases spread over many automata are located as by one."""
+    import pyarrow as pa
+
+    from quire.llm import phrases as F
+
+    r = random.Random(4)
+    t = pa.table({"doc_id": pa.array(range(30)), "text": [" ".join(r.choice("abcd") for _ in range(r.randint(0, 60))) for _ in range(30)]})
+    b = F._Block(t, 3)
+    some = [(" ".join(r.choice("abcd") for _ in range(r.randint(3, 6))).encode(), r.random() < 0.5) for _ in range(60)]
+    want = b.located(some)
+    monkeypatch.setattr(F, "SHARD_PHRASES", 7)
+    assert (b.located(some) == want).all() and want.any()
+
+
+def test_radix_groups():
+    """Groups of equal strings, told apart by digits alone where all share a bucket."""
+    from quire.llm.radix import equal_groups
+
+    r = random.Random(3)
+    for same in (True, False):
+        words = [bytes(r.choice(b"ab") for _ in range(8)) + bytes(r.choice(b"xyz") for _ in range(8)) for _ in range(3000)]
+        at = [np.array([int.from_bytes(x[k : k + 8], "big") for x in words], np.uint64) for k in (0, 8)]
+        bucket = np.zeros(len(words), np.uint64) if same else at[0] * np.uint64(31)
+        members, group = equal_groups(bucket, lambda k, of: at[k][of], 2)
+        got = [[words[m] for m in members[group == g]] for g in np.unique(group)]
+        assert all(len(set(x)) == 1 and len(x) > 1 for x in got)
+        n = {x: words.count(x) for x in set(words)}
+        assert {x[0]: len(x) for x in got} == {x: k for x, k in n.items() if k > 1}
+        assert not same or [x[0] for x in got] == sorted(x[0] for x in got)
+
+
+def test_clustered_ids(spark):
+    """Blocks stay near their size where ids cluster and long texts stand together."""
+    rows = [(k, "x" * 3000) for k in range(300)] + [(10**15 + k, "y" * (90000 if k < 20 else 100)) for k in range(400)] + [(None, "z"), (-(10**17), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts, all_ = B.blocked(df, 1 << 17)
+    got = {}
+    for row in texts.collect():
+        t = B._got(pa.table({"rows": pa.array([bytes(row.rows)], pa.binary())}))
+        got.setdefault(row.block, []).extend(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
+    assert sorted((r for b in got.values() for r in b), key=str) == sorted(rows, key=str)
+    assert max(sum(len(t) for _, t in b) for b in got.values()) < 4 << 17 and len(got) > all_["blocks"] // 3
+    edge = [[i for i, _ in got[b] if i is not None] for b in sorted(got)]
+    assert all(max(x) < min(y) for x, y in zip([e for e in edge if e], [e for e in edge if e][1:]))
+
+
 def test_suffixes_brute(docs):
     for size, block in ((50, 2000), (20, 900), (50, 1 << 22)):
         got = [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in dedup_suffixes(docs, size, block).collect()]
