@@ -84,3 +84,55 @@ def _plain(spark, words, bins):
 def test_short(spark, t):
     s = signature(spark.createDataFrame([(t,)], "t string"), "t", "s").first()["s"]
     assert (len(s) > 0) == bool(t) and len(s) <= 32
+
+
+def plain_signature(text, k=2, bins=32):
+    """The method step by step, with the hash of the SQL functions: XXH64 with seed 42, further arguments seeded by the hash before."""
+    import re
+    import struct
+
+    import xxhash
+
+    def h(*args):
+        seed = 42
+        for a in args:
+            raw = a.encode() if isinstance(a, str) else a
+            seed = xxhash.xxh64_intdigest(raw, seed)
+        return seed
+
+    long, small = lambda v: struct.pack("<q", v), lambda v: struct.pack("<i", v)
+    words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
+    mask = (1 << 35) - 1
+    mers = [(h(*words[i : i + k]) >> 28 & mask, i) for i in range(max(1, len(words) - k + 1))] if words else []
+    seen, numbered = {}, []
+    for x, i in sorted(mers):
+        n = seen[x] = seen.get(x, -1) + 1  # which occurrence in the text this is
+        numbered.append((x, i) if not n else (h(long(x << 28), small(n)) >> 28 & mask, i))
+    out, shift = {}, 35 - (bins.bit_length() - 1)
+    for x, i in sorted(numbered):
+        out.setdefault(x >> shift, []).append((i, x))
+    sig = []
+    for b, entries in sorted(out.items()):
+        two = [x for _, x in sorted(entries[:2])]  # the two least, in the order of the text
+        sig.append(b << 27 | h(*map(long, two)) & (1 << 27) - 1)
+    return sig
+
+
+def test_plain_at_the_registered_setting(spark, docs):
+    """Signatures and likenesses of the query's setting, two words a k-mer and 32 bins, against the plain method."""
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["a", "bb", "the", "Ünï", "x" * 40, "日本語日本語日本語日本語日本語日本語"]) for _ in range(r.randint(0, 120))) for _ in range(60)]
+    rows = [(9000 + k, t) for k, t in enumerate(texts)] + [(x.doc_id, x.text) for x in docs.collect() if x.doc_id is not None]
+    rows = list(dict(rows).items())
+    got = {x.doc_id: x for x in edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    shown = lambda sig: "".join(f"{v:08X}" for v in sig)
+
+    def like(a, b):
+        bins = {v >> 27 for v in a} | {v >> 27 for v in b}
+        return len(set(a) & set(b)) / len(bins) if bins else 1.0
+
+    for (i, _, _, t, nxt) in edits(rows):
+        m = len(t) // 4
+        own, edited, after = plain_signature(t), plain_signature(t[: len(t) - m] + nxt[:m]), plain_signature(nxt)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own), shown(edited)), i
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((like(own, edited), like(own, after)))
