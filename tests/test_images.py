@@ -386,3 +386,11 @@ def test_pages_are_dealt(spark, tmp_path):
         pdf.ranged_view(df, "markdown")
     assert [p.rsplit("/", 1)[1] for p in pdf.listed(f"{tmp_path}/*.pdf")] == ["0.pdf", "1.pdf", "2.pdf", "3.pdf"] == [p.rsplit("/", 1)[1] for p in pdf.listed(f"file://{tmp_path.parent}/**/*.pdf") if tmp_path.name in p]
     assert pdf.listed(f"{tmp_path}/none*") == [] and len(pdf.listed(f"{tmp_path}/1.pdf")) == 1
+
+
+def test_inherit_tells_cycles(spark):
+    from quire.operators.tables import inherit
+
+    rows = [("a", None, 1), ("b", "a", None), *[(f"n{k}", f"n{k - 1}" if k else "b", None) for k in range(200)], ("x", "y", None), ("y", "x", 7)]
+    got = {r.node: (r.depth, r.v, r.error) for r in inherit(spark.createDataFrame(rows, "node string, parent string, v int"), ["v"], most=256).collect()}
+    assert got["a"] == (0, 1, None) and got["b"] == (1, 1, None) and got["n199"] == (201, 1, None) and got["x"][2] == got["y"][2] == "too deep"
