@@ -374,7 +374,7 @@ class Canvas:
             return tm
         font, program, procs, matrix, own = st["face"]
         step = 2 if font.two_bytes else 1
-        seen = False
+        seen, blank = False, True
         for k in range(0, len(s) - step + 1, step):
             raw = s[k : k + step]
             text, w, _, space = font.show(raw)
@@ -391,9 +391,9 @@ class Canvas:
                     seen = True
                 except ValueError as e:
                     self.warn[f"Glyph {e}"] += 1
-            seen = seen or not text.strip()
+            blank = blank and not text.strip()
             tm = concat((1, 0, 0, 1, (w * st["size"] + st["tc"] + (st["tw"] if space else 0.0)) * st["tz"], 0), tm)
-        if s and not seen and st["mode"] != 3:
+        if not seen and not blank and st["mode"] != 3:
             self.warn["Glyph NoGlyph"] += 1
         return tm
 
