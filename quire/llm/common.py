@@ -34,10 +34,13 @@ def checkpoints(spark: SparkSession) -> None:
 
 
 def join_often(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined by `key` to a table with a row for each value and `n`, how many rows have it. Values of over a thousandth of all rows, a thousand at most, are broadcast, so that no hot value meets in one task."""
-    often, seldom = (table.where(F.col("n") > total // 1000).drop("n"), table.where(F.col("n") <= total // 1000).drop("n"))
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key)
-    return rows.join(F.broadcast(often), key).unionByName(rest)
+    """rows joined by `key` to a table with a row for each value and `n`, how many rows have it. Rows of a value that over a thousandth of all have are salted with the number of the task that reads them, so that
+    no hot value meets in one task; the list of such values, a thousand at most, is broadcast, and their rows of the table are repeated, two thousand times at most in all."""
+    step = max(1, total // 1000)
+    often = table.where(F.col("n") > step).select(key, (F.floor(F.col("n") / step) + 1).cast("int").alias("own_salts"))
+    marked = rows.join(F.broadcast(often), key, "left").withColumn("own_salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("own_salts")), F.lit(0))).drop("own_salts")
+    salts = F.when(F.col("n") > step, F.floor(F.col("n") / step)).otherwise(0).cast("int")
+    return marked.join(table.withColumn("own_salt", F.explode(F.sequence(F.lit(0), salts))).drop("n"), [key, "own_salt"]).drop("own_salt")
 
 
 def clean(text: Column) -> Column:

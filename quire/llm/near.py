@@ -178,10 +178,12 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs: doc_id, text. Rows of equal shingle sets share a node (empty texts and nulls too). A node's text is compared in one task with those of its candidate component.
     """
     checkpoints(docs.sparkSession)
-    prints = _prints(docs, width).groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in _FP)).checkpoint()
+    prints = _prints(docs, width).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in _FP)).checkpoint()
     tied = components(candidates(prints))
     tied = tied.unionAll(tied.selectExpr("root node", "root").distinct())
-    texts = with_nodes(docs.select("text"), width).join(tied, "node").dropDuplicates(["node"])
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # the rows of a node have the same shingles; a task sends one of them on
+    texts = join_often(with_nodes(docs.select("text"), width), tied.join(prints.select("node", "n"), "node"), "node", total).dropDuplicates(["node"])
 
     def exact(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
