@@ -1,7 +1,15 @@
 """What queries do with larger tables: numbers of tasks and of readings, memory, ties."""
 
+import random
+import re
+import time
+
 import pytest
 
+from quire.kernels import layout as L
+from quire.kernels import objects
+from quire.kernels.content import Span
+from quire.kernels.objects import Parser
 from quire.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +24,35 @@ def test_documents_are_dealt(spark, name):
 def test_dealt_evenly(spark):
     rows = Q.dealt(spark.range(0, 16000, 1, 1)).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
     assert sum(rows) == 16000 and max(rows) < 2 * 16000 / len(rows)
+
+
+def test_group_lines():
+    """First fit as defined, and in time that grows with the spans."""
+    rnd = random.Random(3)
+    for n in (5, 40, 300):
+        spans = [Span("x", rnd.uniform(0, 500), rnd.uniform(0, 400), 600.0, rnd.choice((6.0, 8.0, 24.0)), "F", False, False) for _ in range(n)]
+        groups: list[list] = []
+        for s in spans:
+            g = next((g for g in groups if abs(g[0] - s.y) <= 0.5 * max(g[1], s.size)), None)
+            if g:
+                g[1], g[2] = max(g[1], s.size), [*g[2], s]
+            else:
+                groups.append([s.y, s.size, [s]])
+        want = [sorted(g[2], key=lambda s: s.x) for g in sorted(groups, key=lambda g: -g[0])]
+        assert [x.spans for x in L.group_lines(spans)] == want
+    many = [Span("x", 0.0, 20.0 * k, 6.0, 10.0, "F", False, False) for k in range(40000)]
+    t = time.perf_counter()
+    assert len(L.group_lines(many)) == 40000 and time.perf_counter() - t < 10
+
+
+@pytest.mark.parametrize("body", [b"/A 1 /B 2 0 R /C (s) /D /N /E -1.5 /A 3", b"/A#20B 1/C/D/E[1 2 0 R]/F<</G 1>>", b"/A null /B true /C 1 2 /D 5", b"/A(x\\)y)/B 00012 % c\n/C 1. /D .5 >> 1", b"/A 1 0 R/B 2 0 RX /C"])
+def test_dictionaries_at_one_go(body):
+    """Common entries are read as the parser reads them."""
+    data = b"<< " + body + b" >> "
+    whole, plain = Parser(data), Parser(data)
+    pair, objects._PAIR = objects._PAIR, re.compile(rb"(?!)")
+    try:
+        want = plain.value(), plain.pos
+    finally:
+        objects._PAIR = pair
+    assert (whole.value(), whole.pos) == want
