@@ -10,7 +10,9 @@ from quire.kernels import layout as L
 from quire.kernels import objects
 from quire.kernels.content import Span
 from quire.kernels.objects import Parser
+from quire.operators import tables as O
 from quire.plans import queries as Q
+from quire.sources.pdf import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +58,43 @@ def test_dictionaries_at_one_go(body):
     finally:
         objects._PAIR = pair
     assert (whole.value(), whole.pos) == want
+
+
+def readings(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_selectors_share_a_reading(spark):
+    """One writing and one reading of the documents for all selectors."""
+    assert readings(Q.QUERIES["selector_spans"](spark, SF)) == 2
+
+
+def test_ladder_reads_once(spark):
+    assert readings(Q.QUERIES["size_ladder"](spark, SF)) == 2
+
+
+def test_merge_reads_sections_once(spark):
+    """Written and read for the sections, written and read for the metadata."""
+    assert readings(Q.QUERIES["xref_merge_latest"](spark, SF)) == 4
+
+
+def test_round_trip_keeps_running_lines(spark):
+    """Lines at the edges of pages that repeat are lines of the text all the same."""
+    text = "\n".join(["first line"] + ["the same line."] * 200)
+    d = Q.written(spark.createDataFrame([(1, text)], "doc_id long, text string"), Q._headed)
+    whole, short = (view(d, "markdown", running=r).first().markdown for r in (True, False))
+    assert whole.count("the same line.") == 200 and short.count("the same line.") == 190
+
+
+def test_elements_without_values(spark):
+    d = Q._documents(spark, SF)
+    all_, bare = (view(d, "elements", **o).where("span is not null").select("doc_id", "seq", "kind", "span").collect() for o in ({}, {"logical": False, "values": False}))
+    assert sorted(all_) == sorted(bare) and view(d, "elements", values=False).where("value is not null").count() == 0
+
+
+def test_equal_intervals_are_peers(spark):
+    """A part is what its intervals say: no order of equal ones may be asked of a sort."""
+    d = spark.createDataFrame([(1, 0, 5), (1, 20, 30), (1, 20, 30), (1, 33, 34)], "k int, lo long, hi long")
+    out = O.packed(d, ["k"], "lo", "hi", 6)
+    assert sorted(tuple(r) for r in out.select("lo", "hi", "n").collect()) == [(0, 5, 1), (20, 34, 3)]
+    assert "RangeFrame" in out._jdf.queryExecution().analyzed().toString()
