@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import half_points, hexdump, is_page_number, normalise_line
 
 
-def merge_sections(entries: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The newest entry of each object number: that of the lowest section. A max over structs, so it aggregates before it shuffles."""
+def merge_sections(entries: DataFrame, doc: str = "doc_id", history: bool = False) -> DataFrame:
+    """The newest entry of each object number: that of the lowest section. A max over structs, so it aggregates before it shuffles. history: also all entries, with their sections, so that comparing with them needs no second reading."""
     rest = [c for c in entries.columns if c not in (doc, "num", "section")]
-    best = F.min_by(F.struct(*rest), "section").alias("e")
-    return entries.groupBy(doc, "num").agg(best).select(doc, "num", *[F.col("e")[c].alias(c) for c in rest])
+    best = [F.min_by(F.struct(*rest), "section").alias("e"), *([F.collect_list(F.struct("section", *rest)).alias("history")] if history else [])]
+    return entries.groupBy(doc, "num").agg(*best).select(doc, "num", *[F.col("e")[c].alias(c) for c in rest], *(["history"] if history else []))
 
 
 def last_definition(objects: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -290,10 +290,10 @@ def _revised(key, old, new):
 def xref_merge_latest(spark, sf):
     d = written(dealt(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")), _revised, "c_custkey")
     x = view(d, "xref_entries")
-    merged = O.merge_sections(x, "c_custkey")
-    newest = x.where("section = 0").join(merged.select("c_custkey", "num", F.col("a").alias("merged_a")), ["c_custkey", "num"]).where("a = merged_a").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("revised"))
-    n = x.groupBy("c_custkey").agg(F.countDistinct("section").alias("sections"))
-    return view(d, "metadata").selectExpr("c_custkey", "Title title").join(n, "c_custkey").join(newest, "c_custkey")
+    merged = O.merge_sections(x, "c_custkey", history=True)
+    revised = F.sum(F.expr("size(filter(history, h -> h.section = 0 and h.a = a))")).cast("long").alias("revised")
+    n = merged.groupBy("c_custkey").agg(F.size(F.array_distinct(F.flatten(F.collect_list("history.section")))).cast("long").alias("sections"), revised).where("revised > 0")
+    return view(d, "metadata").selectExpr("c_custkey", "Title title").join(n, "c_custkey")
 
 
 def _duplicated(key, old, new):
