@@ -81,7 +81,8 @@ def packed(intervals: DataFrame, keys: list[str], lo: str, hi: str, near: float
     """Intervals that overlap or nearly meet, merged."""
     w = Window.partitionBy(*keys).orderBy(lo, hi)
     new = F.coalesce(F.col(lo) > F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)) + near, F.lit(True))
-    marked = intervals.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # equal intervals are peers, whatever order a sort leaves them in: the sum reaches to the last of them
+    marked = intervals.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy(*keys, "part").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
