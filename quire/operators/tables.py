@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,20 +124,39 @@ def selector(df: DataFrame, text: str, elements: DataFrame, key: str = "doc_id")
         return df.select(key, F.lit(int(a, 0)).cast("long").alias("start"), F.lit(int(b, 0)).cast("long").alias("end"))
     e = elements.where("span is not null")
     if kind == "obj":
-        n, _, g = arg.partition(",")
-        e = e.where((F.col("kind") == "object") & (F.col("ref.num") == int(n)))
-        e = e.where(F.col("ref.gen") == int(g)) if g else e
+        e = e.where(_chosen(text))
     elif kind in ("xref", "trailer"):
         nth = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
         e = e.where(F.col("kind") == "xref").withColumn("nth", nth).where(F.col("nth") == (int(arg) if arg else 1))
     elif kind in ("header", "startxref", "eof"):
-        e = e.where(F.col("kind") == kind)
+        e = e.where(_chosen(text))
     else:
         raise ValueError(f"unknown selector {text!r}")
     return e.select(key, F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
 def element_marks(elements: DataFrame, key: str = "doc_id") -> DataFrame:
+def _chosen(text: str) -> Column:
+    """Does a selector that needs one element alone choose it?"""
+    kind, _, arg = text.partition(":")
+    if kind != "obj":
+        return F.col("kind") == kind
+    n, _, g = arg.partition(",")
+    chosen = (F.col("kind") == "object") & (F.col("ref.num") == int(n))
+    return chosen & (F.col("ref.gen") == int(g)) if g else chosen
+
+
+def selectors(df: DataFrame, texts: list[str], elements: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, selector, start, end) of several selectors: those that need one element alone share one reading of the elements."""
+    shared = [t for t in texts if t.partition(":")[0] in ("obj", "header", "startxref", "eof")]
+    out = [selector(df, t, elements, key).select(key, F.lit(t).alias("selector"), "start", "end") for t in texts if t not in shared]
+    if shared:
+        hits = F.array_compact(F.array(*[F.when(_chosen(t), F.lit(t)) for t in shared]))
+        e = elements.where("span is not null").select(key, F.explode(hits).alias("selector"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+        out.append(e)
+    return functools.reduce(DataFrame.unionAll, out)
+
+
     """(key, offset, label): where the physical elements of each document begin; members of object streams have no boundary of their own."""
     kind, entries = F.col("kind"), F.get_json_object("value", "$.entries")
     label = (

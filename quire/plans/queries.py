@@ -263,14 +263,14 @@ WITH p AS (SELECT doc_id, {_PAGES} AS n FROM documents)
 SELECT doc_id, k.kind, CAST(CASE k.kind WHEN 'object' THEN 4 + 2 * n + CASE WHEN doc_id % 8 = 6 THEN 2 ELSE 0 END WHEN 'page' THEN n WHEN 'font' THEN 2 * n ELSE 1 END AS BIGINT) AS n FROM p, (VALUES ('font'), ('header'), ('object'), ('page'), ('startxref'), ('eof'), ('xref')) k(kind) WHERE k.kind <> 'xref' OR doc_id % 8 <> 7
 """)
 def element_kind_counts(spark, sf):
-    e = view(_documents(spark, sf), "elements")
+    e = view(_documents(spark, sf), "elements", values=False)
     return e.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered("SELECT doc_id, TRUE AS in_order, TRUE AS covered FROM documents")
 def element_order(spark, sf):
     d = _documents(spark, sf)
-    e = view(d.withColumn("size", F.octet_length("content")), "elements", "doc_id", "size").where("span is not null")
+    e = view(d.withColumn("size", F.octet_length("content")), "elements", "doc_id", "size", logical=False, values=False).where("span is not null")
     w = Window.partitionBy("doc_id").orderBy("seq")
     e = e.select("doc_id", "size", "span", F.coalesce(F.lag("span.start").over(w), F.lit(0)).alias("before"))
     return e.groupBy("doc_id").agg(F.min(F.col("before") <= F.col("span.start")).alias("in_order"), F.max(F.col("span.end") >= F.col("size") - 1).alias("covered"))
@@ -447,15 +447,14 @@ WITH p AS (SELECT doc_id FROM documents)
 SELECT doc_id, 'header' AS selector, CAST(0 AS BIGINT) AS "start", CAST(8 AS BIGINT) AS length FROM p UNION ALL SELECT doc_id, 'range:5-9', 5, 4 FROM p UNION ALL SELECT doc_id, 'obj:1', 15, CAST(length('1 0 obj') + 1 + length('<< /Type /Catalog /Pages 2 0 R >>') + 1 + 6 AS BIGINT) FROM p WHERE doc_id % 8 <> 6
 """)
 def selector_spans(spark, sf):
-    d = _documents(spark, sf)
-    e = view(d, "elements")
-    out = [O.selector(d, s, e).select("doc_id", F.lit(s).alias("selector"), "start", (F.col("end") - F.col("start")).alias("length")) for s in ("header", "range:5-9", "obj:1")]
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    e = view(_documents(spark, sf), "elements", logical=False, values=False)
+    out = O.selectors(table(spark, sf, "documents"), ["header", "range:5-9", "obj:1"], e)  # a range takes no more than the keys
+    return out.select("doc_id", "selector", "start", (F.col("end") - F.col("start")).alias("length"))
 
 
 @registered("SELECT c_custkey, CAST(1 AS BIGINT) AS hits FROM customer WHERE contains(lower(c_mktsegment), 'build')")
 def object_search(spark, sf):
-    e = view(written(dealt(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")), lambda k, a, b: C.document([b""], "classic", {"Subject": b.encode()}), "c_custkey"), "elements")
+    e = view(written(dealt(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")), lambda k, a, b: C.document([b""], "classic", {"Subject": b.encode()}), "c_custkey"), "elements", logical=False)
     return O.search(e.where("kind = 'object'"), "BUILD").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("hits"))
 
 

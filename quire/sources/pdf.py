@@ -169,11 +169,12 @@ def _v_pages(d):
     return _each(d, rows)
 
 
-def _v_elements(d, content_ops=False):
-    for k, e in enumerate(d.elements(content_ops=content_ops)):
+def _v_elements(d, content_ops=False, logical=True, values=True):
+    """Elements in order; without the logical ones no page is looked for, and without values none is turned to JSON."""
+    for k, e in enumerate(d.elements(logical=logical, content_ops=content_ops)):
         span = {"start": e["span"][0], "end": max(e["span"])} if e["span"] else None
         inside = {"num": e["in_objstm"][0], "start": e["in_objstm"][1][0], "end": e["in_objstm"][1][1]} if e["in_objstm"] else None
-        yield k, e["kind"], span, ({"num": e["ref"][0], "gen": e["ref"][1]} if e["ref"] else None), e["page"], inside, (None if e["value"] is None else _dumps(to_json(e["value"]))), e["error"]
+        yield k, e["kind"], span, ({"num": e["ref"][0], "gen": e["ref"][1]} if e["ref"] else None), e["page"], inside, (None if e["value"] is None or not values else _dumps(to_json(e["value"]))), e["error"]
 
 
 def _v_xref(d):
