@@ -59,8 +59,9 @@ def size_histogram(spans: DataFrame, *keys: str) -> DataFrame:
 
 def size_ladder(histogram: DataFrame, *keys: str) -> DataFrame:
     """Body size of each document (most characters, the smaller of equals) and the level of each larger size: its rank, 6 at most."""
-    body = histogram.groupBy(*keys).agg(F.min_by("half_points", F.struct(-F.col("chars"), F.col("half_points"))).alias("body"))
-    big = histogram.join(body, list(keys)).where("half_points >= body + 2")
+    # over a window, not joined: what the histogram is made of is read once
+    body = F.min_by("half_points", F.struct(-F.col("chars"), F.col("half_points"))).over(Window.partitionBy(*keys))
+    big = histogram.withColumn("body", body).where("half_points >= body + 2")
     level = F.least(F.lit(6), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("half_points"))))
     return big.select(*keys, "body", "half_points", level.cast("int").alias("level"))
 
@@ -135,7 +136,6 @@ def selector(df: DataFrame, text: str, elements: DataFrame, key: str = "doc_id")
     return e.select(key, F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
-def element_marks(elements: DataFrame, key: str = "doc_id") -> DataFrame:
 def _chosen(text: str) -> Column:
     """Does a selector that needs one element alone choose it?"""
     kind, _, arg = text.partition(":")
@@ -157,6 +157,7 @@ def selectors(df: DataFrame, texts: list[str], elements: DataFrame, key: str = "
     return functools.reduce(DataFrame.unionAll, out)
 
 
+def element_marks(elements: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, offset, label): where the physical elements of each document begin; members of object streams have no boundary of their own."""
     kind, entries = F.col("kind"), F.get_json_object("value", "$.entries")
     label = (
