@@ -7,7 +7,7 @@ import time
 import pytest
 
 from quire import corpus as C
-from quire.kernels import content, filters, objects
+from quire.kernels import content, filters, fonts, objects
 from quire.kernels import layout as L
 from quire.kernels.content import Span, operators
 from quire.kernels.objects import Parser
@@ -133,6 +133,13 @@ def test_arrays_at_one_go(body, monkeypatch):
     assert fast == [read(True), read(False)]
 
 
+def test_maps_at_one_go(monkeypatch):
+    data = b"2 beginbfchar <01> <0041>\n<2> < 00 42 > endbfchar 1 beginbfrange <10> <12> [<0043> /a <0045>] <20><22><0061> endbfrange"
+    fast = vars(fonts.ToUnicode(data))
+    monkeypatch.setattr(fonts, "_HEX", NEVER)
+    assert fast == vars(fonts.ToUnicode(data)) and fast["single"] == {1: "A", 32: "B", 16: "C", 17: "a", 18: "E"}
+
+
 def test_codes_of_every_width():
     """Codes of 9 to 12 bits, and what is cut off."""
     def packed(data):
