@@ -52,9 +52,14 @@ SCHEMAS = {
 
 def to_json(x, data: str = "omit", doc: Document | None = None):
     """A value as JSON-ready Python: names and text as strings, references as {"_r": [num, gen]}, other bytes as {"_bytes": base64}, a stream as its dictionary and what is asked of its data."""
-    if isinstance(x, Ref):
+    kind = type(x)
+    if kind is Name:
+        return str(x)
+    if kind is int:
+        return x
+    if kind is Ref:
         return {"_r": [x.num, x.gen]}
-    if isinstance(x, bytes):
+    if kind is bytes:
         try:
             return text_string(x) if x[:2] == b"\xfe\xff" or x[:3] == b"\xef\xbb\xbf" else x.decode()
         except UnicodeDecodeError:
@@ -78,23 +83,21 @@ def to_json(x, data: str = "omit", doc: Document | None = None):
     return str(x) if isinstance(x, Name) else x
 
 
-def _dumps(x) -> str:
-    return json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+_dumps = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
 
 
 def value_tree(doc: Document, data: str = "omit") -> dict:
     """One JSON document of a file: header, objects by number, pages, sections, trailer and startxref."""
     out: dict = {"header": None, "objects": {}, "pages": [], "xref": [], "trailer": to_json(doc.trailer), "startxref": None}
-    for e in doc.elements():
+    for e in doc.elements(logical=False):
         span = list(e["span"]) if e["span"] else None
         if e["kind"] == "object" and not e["error"]:
             out["objects"]["{} {}".format(*e["ref"])] = {"value": to_json(e["value"], data, doc), "_span": span}
-        elif e["kind"] == "page":
-            out["pages"].append({"ref": list(e["ref"]) if e["ref"] else None, "value": to_json(e["value"])})
         elif e["kind"] == "xref":
             out["xref"].append({"_span": span})
         elif e["kind"] in ("header", "startxref"):
             out[e["kind"]] = e["value"]
+    out["pages"] = [{"ref": list(p.ref) if p.ref else None, "value": to_json(p.attrs)} for p in doc.pages]
     return out
 
 

@@ -7,7 +7,7 @@ import time
 import pytest
 
 from quire import corpus as C
-from quire.kernels import content, filters, fonts, objects
+from quire.kernels import content, document, filters, fonts, objects
 from quire.kernels import layout as L
 from quire.kernels.content import Span, operators
 from quire.kernels.objects import Parser
@@ -133,6 +133,16 @@ def test_arrays_at_one_go(body, monkeypatch):
     assert fast == [read(True), read(False)]
 
 
+def test_tables_at_one_go(monkeypatch):
+    """Usual entries are read as others are, and odd ones still are."""
+    b = C.from_text("x\ny")
+    at = b.index(b"xref\n0")
+    fast = document.classic_section(b, at)
+    odd = document.classic_section(b.replace(b" n \n", b" n\n"), at)
+    monkeypatch.setattr(document, "_USUAL", NEVER)
+    assert fast == document.classic_section(b, at) and fast.entries == odd.entries and len(fast.entries) > 5
+
+
 def test_maps_at_one_go(monkeypatch):
     data = b"2 beginbfchar <01> <0041>\n<2> < 00 42 > endbfchar 1 beginbfrange <10> <12> [<0043> /a <0045>] <20><22><0061> endbfrange"
     fast = vars(fonts.ToUnicode(data))
