@@ -13,7 +13,7 @@ from quire.kernels.content import Span, operators
 from quire.kernels.objects import Parser
 from quire.operators import tables as O
 from quire.plans import queries as Q
-from quire.sources.pdf import view
+from quire.sources.pdf import value_tree, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -179,6 +179,12 @@ def test_codes_of_every_width():
     assert filters.lzw(C.lzw(data)) == data and filters.lzw(C.lzw(data)[:300])[:250] == data[:250] and filters.lzw(b"") == b""
 
 
+def test_tree_looks_at_pages_alone():
+    """What a page uses isn't read for the tree, so a fault there doesn't cost it."""
+    tree = value_tree(document.Document(C.document([b""], page_attrs={"Annots": 5})))
+    assert [p["value"]["Annots"] for p in tree["pages"]] == [5]
+
+
 def readings(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
