@@ -357,11 +357,16 @@ def _mapped(df: DataFrame, keys: tuple[str, ...], given: list[str], name: str, r
 
 def _open(f: Callable, document: Callable, size: int, name: str, options: dict) -> Iterator[tuple]:
     """The rows of a view, as they come: what a fault cuts off doesn't take back the rows before it."""
+    d = None
     try:
-        yield from f(document(), **options)
+        d = document()
+        yield from f(d, **options)
     except FAULTS as e:
         if name == "documents":
             yield None, None, None, None, size, _fault(e)
+    finally:
+        if d is not None:  # pages know their document: without them it goes at once, and no collector has to find it
+            d.__dict__.pop("_pages", None)
 
 
 class PdfDataSource(DataSource):
