@@ -276,3 +276,37 @@ def test_documents_go_at_once(monkeypatch):
         assert [r[2] for r in pdf._open(pdf.VIEWS["lines"], lambda: pdf.Document(data), len(data), "lines", {})] == ["a", "b"] and kept[0]() is None
     finally:
         gc.enable()
+
+
+def test_filters_at_one_go(monkeypatch):
+    """Plain stretches of codes, whole groups and whole pairs are decoded together, and as they are one by one."""
+    rnd = random.Random(4)
+    whole = C.lzw(bytes(rnd.randrange(256) for _ in range(9000)))
+    odd = [bytes(rnd.choice(whole) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    cut = [whole[:k] for k in (0, 1, 2, 225, 226, 227, 5000)] + [whole[:300] + b"\xff\xff" + whole[302:], whole[:450] + b"\x80\x00" + whole[452:]]
+    nine = "".join(f"{c:09b}" for c in [256, *range(253), 256, *range(3), 257])  # the longest stretch of nine bits, then a clear code
+    data = [whole, *odd, *cut, int(nine.ljust(-(-len(nine) // 8) * 8, "0"), 2).to_bytes(-(-len(nine) // 8), "big")]
+    fast = [[filters.lzw(x, early) for early in (0, 1)] for x in data]
+    assert fast[-1][1] == bytes([*range(253), *range(3)])
+    monkeypatch.setattr(filters, "_plain_codes", lambda whole, at, end, most: (b"", at, False))
+    assert fast == [[filters.lzw(x, early) for early in (0, 1)] for x in data]
+
+    def tried(x):
+        try:
+            return filters.ascii85(x)
+        except filters.Undecodable:
+            return None
+
+    texts = [b"87cURD]i,\"Ebo80~>", b"87cUR D]i,\"E\nbo7&~>" * 2, b"!!!!!z87cURD]i,\"Ebo80", b"s8W-!" * 6, b"s8W-\"" * 6, b"uuuuu" * 6, b"!" * 26, b"!" * 27, b"!" * 30 + b"\x7f", b"!!!!! ~ >" * 4]
+    fast = [tried(x) for x in texts]
+    monkeypatch.setattr(filters, "_QUINTETS", NEVER)
+    assert fast == [tried(x) for x in texts] and fast[3] == b"\xff" * 24 and fast[4] is None
+    assert [filters.ascii_hex(x) for x in (b"0aFF>", b"0a f\nf>00", b"0a7", b"0g1>", b"", b"\xff12>")] == [b"\x0a\xff", b"\x0a\xff", b"\x0a\x70", b"\x01", b"", b"\x12"]
+
+
+def test_long_codes_are_few_steps(monkeypatch):
+    """A stream of plain stretches takes a step for thousands of codes, not one for each."""
+    steps, plain = [], filters._plain_codes
+    monkeypatch.setattr(filters, "_plain_codes", lambda *a: steps.append(1) or plain(*a))
+    data = bytes(range(256)) * 400
+    assert filters.lzw(C.lzw(data)) == data and len(steps) < 60
