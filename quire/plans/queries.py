@@ -136,7 +136,7 @@ def _sized(doc_id, rows):
 
 def _sized_spans(spark, sf):
     o = dealt(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("t"))).alias("rows"))
-    return view(written(o, _sized), "spans")
+    return view(written(o, _sized), "spans", columns=("text", "size"))
 
 
 @registered(_SIZES)
@@ -758,7 +758,7 @@ def standard_widths(spark, sf):
 
 @registered(f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS lines FROM documents WHERE len({_LINES}) > 0")
 def line_view(spark, sf):
-    return view(_documents(spark, sf), "lines").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    return view(_documents(spark, sf), "lines", columns=("seq",)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @registered("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'damaged' ELSE 'good' END AS state FROM customer")

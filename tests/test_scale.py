@@ -278,6 +278,17 @@ def test_documents_go_at_once(monkeypatch):
         gc.enable()
 
 
+def test_columns_asked_for(spark):
+    """A query that needs a few columns of a view has no others made."""
+    d = Q._documents(spark, SF)
+    whole, some = view(d, "spans"), view(d, "spans", columns=("text", "size"))
+    assert some.columns == ["doc_id", "text", "size"]
+    assert sorted(some.collect()) == sorted(whole.select(*some.columns).collect())
+    for name, made in (("size_histogram", "text"), ("line_view", "seq")):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert f"{made}#" in plan and "end_x" not in plan
+
+
 def test_filters_at_one_go(monkeypatch):
     """Plain stretches of codes, whole groups and whole pairs are decoded together, and as they are one by one."""
     rnd = random.Random(4)
