@@ -321,3 +321,11 @@ def test_long_codes_are_few_steps(monkeypatch):
     monkeypatch.setattr(filters, "_plain_codes", lambda *a: steps.append(1) or plain(*a))
     data = bytes(range(256)) * 400
     assert filters.lzw(C.lzw(data)) == data and len(steps) < 60
+
+
+def test_strings_by_their_map():
+    """A string's text and advance are those of its codes one by one."""
+    f = fonts.Font(document.Document(C.document([b""])), C.simple_font("Helvetica"))
+    f.show(b"")
+    for s in (b"", b"a b", bytes(range(256)), bytes(range(32, 256)) * 9):
+        assert f.show(s) == ("".join(f._texts[c] for c in s), sum(f.widths[c] for c in s) * f.scale, len(s), s.count(b" "))
